@@ -51,33 +51,29 @@ def key_slot(key: Column) -> Column:
 
 def owner_token(key: Column) -> Column:
     """Machine token of an owner key without group: top, acc3, bodyparts0, slot12."""
-    idx = owner_index(key)
-    in_domain = (idx >= 0) & (idx < len(K.SLOT_TOKENS))
-    return (F.when(key >= K.BODY_BASE, F.concat(F.lit("bodyparts"), idx))
-            .when(key >= K.ACCESSORY_BASE, F.concat(F.lit("acc"), idx))
-            .when(in_domain, F.try_element_at(_names(K.SLOT_TOKENS), idx + 1))
-            .otherwise(F.concat(F.lit("slot"), idx)))
+    return (F.when(key >= K.BODY_BASE, F.concat(F.lit("bodyparts"), key - K.BODY_BASE))
+            .when(key >= K.ACCESSORY_BASE, F.concat(F.lit("acc"), key - K.ACCESSORY_BASE))
+            .otherwise(F.coalesce(F.get(_names(K.SLOT_TOKENS), key), F.concat(F.lit("slot"), key))))
 
 
 def slot_name(key: Column) -> Column:
-    idx = owner_index(key)
-    in_domain = (idx >= 0) & (idx < len(K.SLOT_NAMES))
     return (F.when(key >= K.BODY_BASE, F.lit(K.BODY_NAME))
-            .when(key >= K.ACCESSORY_BASE, F.concat(F.lit(K.ACCESSORY_SLOT_PREFIX), idx))
-            .when(in_domain, F.try_element_at(_names(K.SLOT_NAMES), idx + 1))
-            .otherwise(F.concat(F.lit(K.CLOTHES_SLOT_PREFIX), idx)))
+            .when(key >= K.ACCESSORY_BASE, F.concat(F.lit(K.ACCESSORY_SLOT_PREFIX), key - K.ACCESSORY_BASE))
+            .otherwise(F.coalesce(F.get(_names(K.SLOT_NAMES), key), F.concat(F.lit(K.CLOTHES_SLOT_PREFIX), key))))
 
 
 def group_name(group: Column) -> Column:
-    return (F.when(group <= K.BODY_GROUP, F.lit(K.BODY_GROUP_NAME))
-            .when(group <= len(K.GROUP_NAMES), F.try_element_at(_names(K.GROUP_NAMES), group))
-            .otherwise(F.concat(F.lit(K.GROUP_PREFIX), group)))
+    return F.when(group <= K.BODY_GROUP, F.lit(K.BODY_GROUP_NAME)).otherwise(
+        F.coalesce(F.get(_names(K.GROUP_NAMES), group - 1), F.concat(F.lit(K.GROUP_PREFIX), group)))
+
+
+def group_slot_name(group: Column, key: Column) -> Column:
+    return F.concat(group_name(group), F.lit(K.GROUP_SLOT_SEPARATOR), slot_name(key))
 
 
 def owner_name(key: Column) -> Column:
-    """Display name; group keys show group and slot."""
-    grouped = F.concat(group_name(key_group(key)), F.lit(K.GROUP_SLOT_SEPARATOR), slot_name(key_slot(key)))
-    return F.when(is_group_key(key), grouped).otherwise(slot_name(key))
+    """Display name; group keys show group and slot. Give it a plain column: it refers to it often."""
+    return F.when(is_group_key(key), group_slot_name(key_group(key), key_slot(key))).otherwise(slot_name(key))
 
 
 def owner_order(key: Column) -> Column:

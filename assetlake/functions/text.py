@@ -19,7 +19,7 @@ def signature(key: Column, material: Column, prop: Column) -> Column:
 def signatures_chara(obj_type: Column, coord: Column, slot: Column, material: Column, prop: Column) -> Column:
     """P7 for grouped containers: array of the grouped signature and, for body types, the group-less one."""
     key = keys.owner_key(obj_type, slot)
-    grouped = F.concat_ws("|", keys.owner_name(keys.pack_group(keys.group_of(obj_type, coord), key)),
+    grouped = F.concat_ws("|", keys.group_slot_name(keys.group_of(obj_type, coord), key),
                           norm_material(material), F.coalesce(prop, F.lit("")))
     return F.when(obj_type >= 3, F.array(grouped, signature(key, material, prop))).otherwise(F.array(grouped))
 
