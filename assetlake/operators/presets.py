@@ -155,34 +155,40 @@ def missed_rules(asset_rules: DataFrame, hits: DataFrame, sigs: DataFrame, conta
         "container_id", "preset_id", "rule_no")
 
 
-def build_preset(bindings: DataFrame, container_id, preset_id: str, owner_rules: DataFrame = None,
-                 asset_rules: DataFrame = None, kind: str = "clothes", min_match: float = 0.5,
-                 source: str = "", uniform=None) -> dict:
-    """Preset tables from one container: presets, sigs, owner_rules, asset_rules.
+def build_presets(bindings: DataFrame, owner_rules: DataFrame = None, asset_rules: DataFrame = None,
+                  kind: str = "clothes", min_match: float = 0.5, uniform=None) -> dict:
+    """One preset per container of ``bindings``; preset_id is the container_id as text.
 
-    asset_rules: asset_id, rule; their signatures come from the container (an array per asset, bounded by
-    the bindings of that one asset). ``min_match`` above 1 is a percentage."""
+    Tables: presets, sigs (fingerprint, long form), owner_rules (only owners the container has) and
+    asset_rules with the signatures the asset has on that container (bounded by its own bindings).
+    asset_rules: container_id, asset_id, rule. ``min_match`` above 1 is a percentage."""
     grouped = kind == "chara"
-    own = bindings.where(F.col("container_id") == container_id)
+    pid = F.col("container_id").cast("string").alias("preset_id")
     level = min_match / 100.0 if min_match > 1 else float(min_match)
-    sigs = fingerprint(own, grouped).select(F.lit(preset_id).alias("preset_id"), "sig")
-    head = own.sparkSession.range(1).select(
-        F.lit(preset_id).alias("preset_id"), F.lit(source).alias("source"), F.lit(kind).alias("kind"),
-        F.lit(level).alias("min_match"), (no_rule() if uniform is None else uniform).alias("uniform"))
-    out = {"presets": head, "sigs": sigs}
+    out = {
+        "presets": bindings.select(pid).distinct().select(
+            "preset_id", F.col("preset_id").alias("source"), F.lit(kind).alias("kind"), F.lit(level).alias("min_match"),
+            (no_rule() if uniform is None else uniform).alias("uniform")),
+        "sigs": fingerprint(bindings, grouped).select(pid, "sig"),
+    }
     if owner_rules is not None:
-        out["owner_rules"] = owner_rules.select(F.lit(preset_id).alias("preset_id"), "owner_key", "rule")
+        owners = bindings.select("container_id", "owner_key").distinct()
+        out["owner_rules"] = owners.join(owner_rules.select("owner_key", "rule"), "owner_key").select(
+            pid, "owner_key", "rule")
     if asset_rules is not None:
-        per = asset_signatures(own, grouped).join(asset_rules.select("asset_id"), "asset_id", "left_semi")
-        per = per.groupBy("asset_id").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
-        rows = asset_rules.join(per, "asset_id", "left").select(
-            F.lit(preset_id).alias("preset_id"), F.col("asset_id").cast("int").alias("rule_no"),
-            F.col("asset_id").cast("string").alias("asset_id"),
+        per = asset_signatures(bindings, grouped).groupBy(*ASSET_KEY).agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
+        rows = asset_rules.select(*ASSET_KEY, "rule").join(per, ASSET_KEY, "left")
+        out["asset_rules"] = rows.select(
+            pid, F.col("asset_id").cast("int").alias("rule_no"), F.col("asset_id").cast("string").alias("asset_id"),
             F.coalesce("sigs", F.array().cast("array<string>")).alias("sigs"), "rule")
-        out["asset_rules"] = rows
     return out
 
 
+def build_preset(bindings: DataFrame, container_id, **kw) -> dict:
+    """R10 for one container."""
+    return build_presets(bindings.where(F.col("container_id") == container_id), **kw)
+
+
 def infer_kind(owner_rules: DataFrame) -> DataFrame:
     """A preset with any group x slot key is for grouped containers."""
     return owner_rules.groupBy("preset_id").agg(

@@ -55,14 +55,15 @@ def a7(v):
 
 
 @query("A7_fingerprint_chara", f"""
-WITH b AS (SELECT *, 'x' FROM V_gbindings WHERE NOT (obj_type >= 3 AND container_id < 5)),
+WITH b AS (SELECT V_gbindings.* FROM V_gbindings JOIN supplier ON s_suppkey = container_id WHERE NOT (obj_type >= 3 AND s_acctbal < 4000)),
 body AS (SELECT DISTINCT container_id, {T.sig('slot_key', 'material', 'property')} AS sig FROM b WHERE obj_type >= 3)
 SELECT * FROM body UNION
 SELECT container_id, ({T.owner_name('owner_key')}) || '|' || {T.norm_material('material')} || '|' || property AS sig FROM b
 WHERE container_id NOT IN (SELECT container_id FROM body)""")
 def a7b(v):
-    # the first suppliers lose their body bindings so that the fallback has containers to work on
-    return S.fingerprint(v.bindings.where("not (obj_type >= 3 and container_id < 5)"), grouped=True)
+    # containers of low-balance suppliers lose their body bindings, so that the fallback has work to do
+    b = v.bindings.join(v.supplier, F.col("s_suppkey") == F.col("container_id"))
+    return S.fingerprint(b.where("not (obj_type >= 3 and s_acctbal < 4000)"), grouped=True)
 
 
 @query("A8_part_summary", """

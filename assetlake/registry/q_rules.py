@@ -177,17 +177,23 @@ def r9b(v):
         "owner_key", "rule.format", "rule.size")
 
 
-@query("R10_build_preset", f"""
-WITH own AS (SELECT * FROM V_asset_sigs WHERE container_id = 3)
-SELECT asset_id AS name, array_to_string(list_sort(list(sig)), ';') AS sigs, 'asset' AS part FROM own GROUP BY 1 UNION ALL
-SELECT DISTINCT NULL, sig, 'fingerprint' FROM own""")
+@query("R10_build_presets", """
+SELECT CAST(container_id AS VARCHAR) AS preset_id, CAST(asset_id AS VARCHAR) AS name, array_to_string(list_sort(list(sig)), ';') AS value,
+  'asset' AS part FROM V_asset_sigs GROUP BY 1, 2 UNION ALL
+SELECT CAST(container_id AS VARCHAR), NULL, sig, 'fingerprint' FROM V_csigs UNION ALL
+SELECT DISTINCT CAST(container_id AS VARCHAR), CAST(owner_key AS VARCHAR), format, 'owner' FROM V_bindings JOIN V_owner_rules USING (owner_key)
+UNION ALL SELECT DISTINCT CAST(container_id AS VARCHAR), 'clothes', '0.5', 'preset' FROM V_bindings""")
 def r10(v):
-    wanted = v.bindings.where("container_id = 3").select("asset_id").distinct().withColumn("rule", rule("png", 256))
-    p = P.build_preset(v.bindings, 3, "three", v.owner_rules, wanted, min_match=50)
-    rules = p["asset_rules"].select(F.col("asset_id").cast("long").alias("name"), F.array_join("sigs", ";").alias("sigs"),
-                                    F.lit("asset").alias("part"))
-    return rules.unionByName(p["sigs"].select(F.lit(None).cast("long").alias("name"), F.col("sig").alias("sigs"),
-                                              F.lit("fingerprint").alias("part")))
+    wanted = v.bindings.select("container_id", "asset_id").distinct().withColumn("rule", rule("png", 256))
+    p = P.build_presets(v.bindings, v.owner_rules, wanted, min_match=50)
+    none = F.lit(None).cast("string")
+
+    def part(df, name, value, kind):
+        return df.select("preset_id", name.alias("name"), value.alias("value"), F.lit(kind).alias("part"))
+    return (part(p["asset_rules"], F.col("asset_id"), F.array_join("sigs", ";"), "asset")
+            .unionByName(part(p["sigs"], none, F.col("sig"), "fingerprint"))
+            .unionByName(part(p["owner_rules"], F.col("owner_key").cast("string"), F.col("rule.format"), "owner"))
+            .unionByName(part(p["presets"], F.col("kind"), F.col("min_match").cast("string"), "preset")))
 
 
 @query("R11_final_handling", f"""
