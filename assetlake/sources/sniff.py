@@ -9,7 +9,7 @@ def sniff(c: Column) -> Column:
     """PNG, JPEG, HDR, EXR or UNKNOWN from the leading bytes; fewer than four bytes are UNKNOWN."""
     n = F.length(c)
     lead = F.hex(F.substring(c, 1, 4))
-    text = F.decode(F.substring(c, 1, 64), F.lit("ISO-8859-1"))
+    text = F.decode(F.substring(c, 1, 64), "ISO-8859-1")
     radiance = (n >= 10) & lead.startswith("233F") & (text.contains("RADIANCE") | text.contains("RGBE"))
     return (F.when(c.isNull() | (n < 4), F.lit("UNKNOWN"))
             .when((n > 8) & (lead == PNG_MAGIC_HEX[:8]), F.lit("PNG"))
@@ -27,7 +27,7 @@ def header_dims(c: Column, fmt: Column = None) -> Column:
     """S5 for PNG and HDR: struct(width, height), zeros when unreadable. JPEG needs its segment walk,
     which the inventory job does while it has the bytes at hand."""
     fmt = sniff(c) if fmt is None else fmt
-    text = F.decode(F.substring(c, 1, 65536), F.lit("ISO-8859-1"))
+    text = F.decode(F.substring(c, 1, 65536), "ISO-8859-1")
     head = F.regexp_extract(text, r"(?s)^((?:[^\n]+\n){1,%d})\r?\n" % HDR_HEADER_LINES, 1)
     line = F.when(head != "", F.split(F.substring(text, F.length(head) + 1, F.lit(1200)), "\n"))
     # what follows the header: an empty line, then the resolution line
