@@ -9,13 +9,12 @@ from assetlake.operators.summaries import fingerprint
 from assetlake.schemas import ASSET_KEY
 
 
-def all_sigs(presets: DataFrame, asset_rules: DataFrame) -> DataFrame:
-    """Distinct (preset_id, sig): the stored fingerprint if there is one, else the signatures of
-    the preset's asset rules. presets: preset_id, sigs; asset_rules: preset_id, sigs."""
-    stored = presets.where(F.size("sigs") > 0).select("preset_id", F.explode("sigs").alias("sig"))
-    bare = presets.where(F.coalesce(F.size("sigs"), F.lit(0)) <= 0).select("preset_id")
+def all_sigs(presets: DataFrame, stored: DataFrame, asset_rules: DataFrame) -> DataFrame:
+    """Distinct (preset_id, sig): the stored fingerprint if there is one, else the signatures of the
+    preset's asset rules. presets: preset_id; stored: preset_id, sig; asset_rules: preset_id, sigs."""
+    bare = presets.select("preset_id").join(stored.select("preset_id"), "preset_id", "left_anti")
     own = asset_rules.join(bare, "preset_id", "left_semi").select("preset_id", F.explode("sigs").alias("sig"))
-    return stored.unionByName(own).distinct()
+    return stored.select("preset_id", "sig").unionByName(own).distinct()
 
 
 def sig_overlap(a, b):
@@ -49,50 +48,47 @@ def score_against(containers: DataFrame, container_sigs: DataFrame, preset_sigs:
     return out.withColumn("score", score).drop("n_hits", "n_sigs")
 
 
-def similar_containers(containers: DataFrame, container_sigs: DataFrame, min_match: float = 0.5) -> DataFrame:
-    """Ordered pairs (a, b) in one directory and of one kind where b holds at least ``min_match``
-    of a's signatures. containers: container_id, rel_dir, kind.
+def similar_containers(presets: DataFrame, preset_sigs: DataFrame, containers: DataFrame, container_sigs: DataFrame,
+                       min_match: float = 0.5) -> DataFrame:
+    """Containers of a preset's directory and kind that hold at least ``min_match`` of its signatures.
 
-    Exact prefix filter: if b holds >= need of a's n signatures, b holds at least one of any
-    n - need + 1 of them, so only a's rarest signatures generate candidates. Rarity is taken in
-    power-of-two bands (at most 64 rows per container in the running sum), a whole band is kept, so the
-    probe set is a superset of the minimum. Copies (same signature set, same directory) collapse to one
-    representative before pairing and fan out at the end."""
+    presets: preset_id, rel_dir, kind; containers: container_id, rel_dir, kind; both sig tables long form.
+
+    Exact prefix filter: a container that holds >= need of a preset's n signatures holds at least one of
+    any n - need + 1 of them, so only the preset's rarest signatures generate candidates. Rarity is taken
+    in power-of-two bands (at most 64 rows per preset in the running sum) and a whole band is kept, so
+    the probe set is a superset of the minimum. Copies (same signature set, directory and kind) collapse
+    to one representative before matching and fan out at the end, once per preset."""
     place = ["rel_dir", "kind"]
-    sigs = container_sigs.select("container_id", "sig").distinct().withColumn("_h", F.xxhash64("sig"))
+    sigs = container_sigs.select("container_id", "sig").distinct()
     # fingerprint of a whole set: order-free, 2 x 64 bits plus the size
     mark = sigs.groupBy("container_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("_h").alias("h1"),
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("h1"),
         F.bit_xor(F.xxhash64("sig", F.lit(7))).alias("h2"))
     named = containers.select("container_id", *place).join(mark, "container_id")
     same = place + ["n", "h1", "h2"]
     reps = named.groupBy(*same).agg(F.min("container_id").alias("rep"))
     members = named.join(reps, same).select("container_id", "rep")
-    rep_info = reps.select("rep", *place, "n")
-    rs = sigs.select(F.col("container_id").alias("rep"), "sig").join(rep_info, "rep")
-    freq = rs.groupBy(*place, "sig").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("band"))
-    rs = rs.join(freq, place + ["sig"])
-    need = F.greatest(F.ceil(F.col("n") * F.lit(float(min_match)) - F.lit(1e-9)), F.lit(1))
-    bands = rs.groupBy("rep", "n", "band").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(
-        Window.partitionBy("rep").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    probe_bands = bands.withColumn("_before", before).where(F.col("_before") < F.col("n") - need + 1)
-    probes = rs.join(probe_bands.select("rep", "band"), ["rep", "band"], "left_semi")
-    probes = probes.select(F.col("rep").alias("a"), *place, "sig")
-    cand = probes.join(rs.select(F.col("rep").alias("b"), *place, "sig"), place + ["sig"])
-    # both ends identical means the pair (rep, rep): it stands for the pairs among its copies
-    cand = cand.select("a", "b").distinct()
-    own = rs.select(F.col("rep").alias("a"), "sig", F.col("n").alias("n_sigs"))
-    other = rs.select(F.col("rep").alias("b"), "sig")
-    hits = (cand.join(own, "a").join(other, ["b", "sig"])
-            .groupBy("a", "b", "n_sigs").agg(F.count(F.lit(1)).alias("n_hits")))
-    hits = hits.where(F.col("n_hits") >= F.greatest(
-        F.ceil(F.col("n_sigs") * F.lit(float(min_match)) - F.lit(1e-9)), F.lit(1)))
-    ma = members.select(F.col("rep").alias("a"), F.col("container_id").alias("container_a"))
-    mb = members.select(F.col("rep").alias("b"), F.col("container_id").alias("container_b"))
-    out = hits.join(ma, "a").join(mb, "b").where(F.col("container_a") != F.col("container_b"))
-    return out.select("container_a", "container_b", "n_hits", "n_sigs",
-                      (F.col("n_hits") / F.col("n_sigs")).alias("score"))
+    rep_sigs = sigs.withColumnRenamed("container_id", "rep").join(reps.select("rep", *place), "rep")
+    freq = rep_sigs.groupBy(*place, "sig").agg(F.count(F.lit(1)).alias("_n"))
+    own = preset_sigs.select("preset_id", "sig").distinct()
+    total = own.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n_sigs"))
+    own = own.join(presets.select("preset_id", *place), "preset_id").join(total, "preset_id")
+    # a signature no container of the place has sits in the lowest band and matches nothing
+    banded = own.join(freq, place + ["sig"], "left").withColumn(
+        "band", F.coalesce(F.floor(F.log2("_n")).cast("int") + 1, F.lit(0)))
+    need = F.greatest(F.ceil(F.col("n_sigs") * F.lit(float(min_match)) - F.lit(1e-9)), F.lit(1))
+    bands = banded.groupBy("preset_id", "n_sigs", "band").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(
+        Window.partitionBy("preset_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = bands.withColumn("_before", before).where(F.col("_before") < F.col("n_sigs") - need + 1)
+    probes = banded.where("band > 0").join(chosen.select("preset_id", "band"), ["preset_id", "band"], "left_semi")
+    cand = probes.select("preset_id", *place, "sig").join(rep_sigs, place + ["sig"]).select("preset_id", "rep").distinct()
+    hits = (cand.join(own.select("preset_id", "sig", "n_sigs"), "preset_id").join(rep_sigs.select("rep", "sig"), ["rep", "sig"])
+            .groupBy("preset_id", "rep", "n_sigs").agg(F.count(F.lit(1)).alias("n_hits")))
+    hits = hits.where(F.col("n_hits") >= need)
+    return hits.join(members, "rep").select(
+        "preset_id", "container_id", "n_hits", "n_sigs", (F.col("n_hits") / F.col("n_sigs")).alias("score"))
 
 
 def route_containers(scored: DataFrame, preset_kind: str, min_match=0.5, force: bool = False,

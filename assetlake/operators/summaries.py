@@ -50,12 +50,13 @@ def describe(containers: DataFrame, stats: DataFrame) -> DataFrame:
 def part_summary(bindings: DataFrame, assets: DataFrame, materials: bool = False) -> DataFrame:
     """Per container and owner; an asset counts once per owner, exclusive means one owner only.
 
+    Owner sets are built once per asset (map-side combined, bounded by the owner keys of a container),
+    meet the asset sizes on the same key and are spread again, so bindings are exchanged once.
     ``materials`` adds the sorted names (bounded by one owner's binding list inside one container)."""
-    rows = bindings.groupBy(*ASSET_KEY, "owner_key").agg(F.lit(1).alias("_one"))
-    ends = bindings.groupBy(*ASSET_KEY).agg(
-        (F.min("owner_key") == F.max("owner_key")).alias("exclusive"))
-    known = assets.select(*ASSET_KEY, "n_bytes").join(ends, ASSET_KEY)
-    sized = rows.join(known, ASSET_KEY)
+    sets = bindings.groupBy(*ASSET_KEY).agg(F.collect_set("owner_key").alias("_owners"))
+    sized = assets.select(*ASSET_KEY, "n_bytes").join(sets, ASSET_KEY)
+    sized = sized.select("container_id", "n_bytes", (F.size("_owners") == 1).alias("exclusive"),
+                         F.explode("_owners").alias("owner_key"))
     own = F.when(F.col("exclusive"), F.col("n_bytes")).otherwise(F.lit(0))
     out = sized.groupBy("container_id", "owner_key").agg(
         F.count(F.lit(1)).alias("n_assets"), F.sum("n_bytes").alias("n_bytes"),

@@ -197,13 +197,6 @@ def g8(v):
     return G.blockiness(v.mosaic).withColumn("blockiness", F.round("blockiness", 6))
 
 
-def _box(table, cols):
-    taps = "(SELECT unnest(range(-1, 2)) AS k)"
-    one = f"""(SELECT c.img_id, c.y, c.x, {', '.join(f'sum(s.{n}) / 3.0 AS {n}' for n in cols)} FROM {table} c, {taps} k
-      JOIN {table} s ON s.img_id = c.img_id AND s.y = c.y AND s.x = greatest(least(c.x + k.k, 7), 0) GROUP BY 1, 2, 3)"""
-    return one
-
-
 def _box2(name, table, cols):
     def axis(src, vary, hold):
         return (f"SELECT c.img_id, c.y, c.x, {', '.join(f'sum(s.{n}) / 3.0::DOUBLE AS {n}' for n in cols)} FROM {src} c CROSS JOIN taps "
@@ -313,9 +306,37 @@ def _symbols(v):
     return v.documents.select("source", F.explode(F.split("text", "")).alias("s"))
 
 
-@query("G17_process_grid")
+# Images keep their size, halve it, shrink to 3 x 3 or grow to 12 x 12, by label
+def _nb_n(table):
+    def join(dy, dx, name):
+        return (f"JOIN {table} {name} ON {name}.img_id = c.img_id AND {name}.y = greatest(least(c.y + {dy}, c.n - 1), 0) "
+                f"AND {name}.x = greatest(least(c.x + {dx}, c.n - 1), 0)")
+    return f"{table} c " + " ".join(join(dy, dx, "n" + "mzp"[dy + 1] + "mzp"[dx + 1]) for dy, dx in ((-1, 1), (0, 1), (1, 1), (0, -1)))
+
+
+@query("G17_process_grid", f"""
+WITH {_BLOCKS}, lab AS (SELECT vec_id AS img_id, label FROM embeddings),
+wa AS ({_W_AREA}), wk AS ({_w_kernel(_LANCZOS3, 3.0)}),
+ha AS (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wa ON wa.i = V_pixels.x WHERE label % 4 = 2 GROUP BY 1, 2, 3),
+hk AS (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wk ON wk.i = V_pixels.x WHERE label % 4 = 3 GROUP BY 1, 2, 3),
+pa AS (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM ha JOIN wa ON wa.i = ha.y GROUP BY 1, 2, 3),
+pk AS (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM hk JOIN wk ON wk.i = hk.y GROUP BY 1, 2, 3),
+changed AS (
+  SELECT img_id, y::INT AS y, x::INT AS x, {each('CAST((s{c} + n // 2) // n AS INT) AS {c}')}, 4 AS n FROM blocks JOIN lab USING (img_id) WHERE label % 4 = 1 UNION ALL
+  SELECT img_id, y::INT, x::INT, {each(_BYTE.replace('{v}', '{c}'))}, 3 FROM pa UNION ALL
+  SELECT img_id, y::INT, x::INT, {each(_BYTE.replace('{v}', '{c}'))}, 12 FROM pk)
+SELECT img_id, y, x, {each('{c}')} FROM V_pixels WHERE label % 4 = 0 UNION ALL
+SELECT c.img_id, c.y, c.x, {', '.join(_cas(c, repr(-1.0 / (8.0 - 3.0 * 0.6))) for c in CH[:3])}, c.a FROM {_nb_n('changed')}""")
 def g17(v):
+    return G.process_grid(v.px, _g17_rules(v), sharpen="cas", strength=1.5)
+
+
+@query("G17_process_grid_denoised")
+def g17b(v):
+    return G.process_grid(v.px, _g17_rules(v), denoise="all", sharpen="edge", strength=0.6, k_edge=2.5, premul=True)
+
+
+def _g17_rules(v):
     n = F.col("label") % 4
     size = F.when(n == 0, 8).when(n == 1, 4).when(n == 2, 3).otherwise(12)
-    rules = v.embeddings.select(F.col("vec_id").alias("img_id"), size.alias("new_width"), size.alias("new_height"))
-    return G.process_grid(v.px, rules, denoise="all", sharpen="cas", strength=1.5)
+    return v.embeddings.select(F.col("vec_id").alias("img_id"), size.alias("new_width"), size.alias("new_height"))

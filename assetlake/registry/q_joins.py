@@ -113,26 +113,29 @@ def j10(v):
     return out.withColumn("score", F.round("score", 9))
 
 
-# containers of J11: directory = region of the supplier, kind by its balance; a third of overlap is similar
+# directory = region of the supplier, kind by its balance; in every directory and kind the container
+# with the lowest balance is the one a preset was saved from
 _J11_MIN = 0.3
 
 
 @query("J11_similar_containers", f"""
-WITH c AS (SELECT s_suppkey AS container_id, n_regionkey AS rel_dir, CASE WHEN s_acctbal < 3000 THEN 'chara' ELSE 'clothes' END AS kind
+WITH c AS (SELECT s_suppkey AS container_id, n_regionkey AS rel_dir, CASE WHEN s_acctbal < 3000 THEN 'chara' ELSE 'clothes' END AS kind, s_acctbal
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-n AS (SELECT container_id, count(*) AS n_sigs FROM V_csigs GROUP BY ALL)
-SELECT container_a, container_b, n_hits, n_sigs, round(n_hits / n_sigs, 9) AS score FROM (
-  SELECT ca.container_id AS container_a, cb.container_id AS container_b, count(*) AS n_hits FROM c ca
-  JOIN V_csigs sa ON sa.container_id = ca.container_id JOIN V_csigs sb ON sb.sig = sa.sig
-  JOIN c cb ON cb.container_id = sb.container_id AND cb.rel_dir = ca.rel_dir AND cb.kind = ca.kind
-  WHERE ca.container_id <> cb.container_id GROUP BY ALL)
-JOIN n ON n.container_id = container_a WHERE n_hits >= ceil(n_sigs * {_J11_MIN} - 1e-9)""")
+p AS (SELECT rel_dir, kind, min_by(container_id, (s_acctbal, container_id)) AS preset_id FROM c GROUP BY ALL),
+n AS (SELECT container_id AS preset_id, count(*) AS n_sigs FROM V_csigs GROUP BY ALL)
+SELECT preset_id, container_id, n_hits, n_sigs, round(n_hits / n_sigs, 9) AS score FROM (
+  SELECT p.preset_id, c.container_id, count(*) AS n_hits FROM p JOIN V_csigs sa ON sa.container_id = p.preset_id
+  JOIN V_csigs sb ON sb.sig = sa.sig JOIN c ON c.container_id = sb.container_id AND c.rel_dir = p.rel_dir AND c.kind = p.kind GROUP BY ALL)
+JOIN n USING (preset_id) WHERE n_hits >= ceil(n_sigs * {_J11_MIN} - 1e-9)""")
 def j11(v):
     c = v.supplier.join(v.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("container_id"), F.col("n_regionkey").alias("rel_dir"),
-        F.when(F.col("s_acctbal") < 3000, "chara").otherwise("clothes").alias("kind"))
-    out = P.similar_containers(c, S.fingerprint(v.bindings), _J11_MIN)
-    return out.withColumn("score", F.round("score", 9))
+        F.when(F.col("s_acctbal") < 3000, "chara").otherwise("clothes").alias("kind"), "s_acctbal")
+    p = c.groupBy("rel_dir", "kind").agg(F.min(F.struct("s_acctbal", "container_id")).alias("m")).select(
+        F.col("m.container_id").alias("preset_id"), "rel_dir", "kind")
+    sigs = S.fingerprint(v.bindings)
+    own = sigs.withColumnRenamed("container_id", "preset_id").join(p.select("preset_id"), "preset_id", "left_semi")
+    return P.similar_containers(p, own, c, sigs, _J11_MIN).withColumn("score", F.round("score", 9))
 
 
 @query("J12_sharing_pairs", """
@@ -177,11 +180,8 @@ def j14(v):
 WITH ar AS ({ASSET_RULES_SQL}), stored AS (SELECT DISTINCT preset_id, sig FROM V_preset_sigs WHERE preset_id < 'Brand#2')
 SELECT * FROM stored UNION SELECT preset_id, unnest(sigs) AS sig FROM ar WHERE preset_id NOT IN (SELECT preset_id FROM stored)""")
 def x1(v):
-    stored = v.preset_sigs.where("preset_id < 'Brand#2'").groupBy("preset_id").agg(F.collect_set("sig").alias("sigs"))
     every = v.part.select(F.col("p_brand").alias("preset_id")).distinct()
-    presets = every.join(stored, "preset_id", "left").withColumn(
-        "sigs", F.coalesce("sigs", F.array().cast("array<string>")))
-    return P.all_sigs(presets, asset_rules(v))
+    return P.all_sigs(every, v.preset_sigs.where("preset_id < 'Brand#2'"), asset_rules(v))
 
 
 @query("X2_sig_overlap", """

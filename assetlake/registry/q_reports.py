@@ -101,8 +101,8 @@ x AS (SELECT a.class, plan_id, a.n_bytes, width, height, CASE WHEN coalesce(k.n_
   SELECT c.*, plan_id, CASE WHEN (CASE class WHEN 'maintex' THEN m ELSE r END) > 0 THEN (CASE class WHEN 'maintex' THEN m ELSE r END)
     ELSE greatest(width, height) END AS cap0 FROM V_classed c CROSS JOIN p) a LEFT JOIN V_asset_class k USING (container_id, asset_id)),
 t AS (SELECT *, CASE WHEN greatest(width, height) > cap THEN cap::DOUBLE / greatest(width, height) ELSE 1.0 END AS sc FROM x),
-s AS (SELECT class, plan_id, least(CAST(floor(n_bytes * (CAST(greatest(1, round_even(width * sc, 0)) AS INT) * CAST(greatest(1, round_even(height * sc, 0)) AS INT))::DOUBLE
-  / greatest(width * height, 1)) AS BIGINT), n_bytes) AS b FROM t)
+s AS (SELECT class, plan_id, least(CAST(floor(n_bytes * ((CAST(greatest(1, round_even(width * sc, 0)) AS BIGINT) * CAST(greatest(1, round_even(height * sc, 0)) AS BIGINT))::DOUBLE
+  / greatest(width * height, 1))) AS BIGINT), n_bytes) AS b FROM t)
 SELECT class, count(*) FILTER (WHERE plan_id = 'optimise') AS optimise_changed, CAST(sum(b) FILTER (WHERE plan_id = 'optimise') AS BIGINT) AS optimise_bytes_after,
   count(*) FILTER (WHERE plan_id = 'performance') AS performance_changed, CAST(sum(b) FILTER (WHERE plan_id = 'performance') AS BIGINT) AS performance_bytes_after,
   count(*) FILTER (WHERE plan_id = 'quality') AS quality_changed, CAST(sum(b) FILTER (WHERE plan_id = 'quality') AS BIGINT) AS quality_bytes_after FROM s GROUP BY 1""")

@@ -203,23 +203,26 @@ def k2b(v):
     return rules_json.plan_json(brand_plans(v))
 
 
-@query("K2_preset_json", """
-SELECT preset_id, n_owner, n_asset, last_format FROM (SELECT p_brand AS preset_id, count(*) AS n_asset,
-  arg_max(CASE p_type WHEN 'PROMO' THEN 'jpeg' WHEN 'LARGE' THEN 'png' WHEN 'SMALL' THEN 'keep' ELSE 'auto' END, p_partkey) AS last_format FROM part GROUP BY 1)
-CROSS JOIN (SELECT count(*) AS n_owner FROM V_owner_rules)""")
+@query("K2_preset_json", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS preset_id, p_brand AS source, 'clothes' AS kind, 's' || p_size AS sigs, p_size % 9 AS owner_key,
+  'png' AS owner_format, CAST(p_partkey AS VARCHAR) AS asset_id, {T.sig('1', 'p_name', _PROP_SQL)} AS asset_sig, p_size * 16 AS asset_size
+FROM part WHERE p_size > 20 UNION ALL
+SELECT CAST(p_partkey AS VARCHAR), p_brand, 'clothes', 's' || p_size, p_size % 9, 'png', CAST(p_partkey AS VARCHAR), NULL, p_size * 16
+FROM part WHERE p_size <= 20""")
 def k2c(v):
-    ar = asset_rules(v)
-    presets = ar.select("preset_id").distinct().select(
-        "preset_id", F.lit("tables").alias("source"), F.lit("clothes").alias("kind"), F.lit(0.5).alias("min_match"),
-        F.array(F.lit("s")).alias("sigs"))
-    ids = presets.select("preset_id").withColumn("_k", F.lit(1))
-    owners = v.owner_rules.withColumn("_k", F.lit(1)).join(ids, "_k").drop("_k")
+    """One preset per part, written as JSON and read back."""
+    pid = F.col("p_partkey").cast("string").alias("preset_id")
+    presets = v.part.select(pid, F.col("p_brand").alias("source"), F.lit("clothes").alias("kind"), F.lit(0.5).alias("min_match"),
+                            F.array(F.concat(F.lit("s"), "p_size")).alias("sigs"))
+    owners = v.part.select(pid, (F.col("p_size") % 9).alias("owner_key"), rule("png", 256, up=2).alias("rule"))
+    ar = asset_rules(v).withColumn("preset_id", F.col("asset_id"))
     text = rules_json.preset_json(presets, owners, ar).select(F.col("preset_id").alias("path"), "json")
     back = rules_json.read_presets(text)
-    per = back["asset_rules"].groupBy("preset_id").agg(
-        F.count(F.lit(1)).alias("n_asset"), F.max_by("rule.format", F.col("asset_id").cast("long")).alias("last_format"))
-    own = back["owner_rules"].groupBy("preset_id").agg(F.count(F.lit(1)).alias("n_owner"))
-    return own.join(per, "preset_id").select("preset_id", "n_owner", "n_asset", "last_format")
+    heads = back["presets"].select("preset_id", "source", "kind", F.array_join("sigs", ";").alias("sigs"))
+    own = back["owner_rules"].select("preset_id", "owner_key", F.col("rule.format").alias("owner_format"))
+    tex = back["asset_rules"].select("preset_id", "asset_id", F.get("sigs", F.lit(0)).alias("asset_sig"),
+                                     F.col("rule.size").alias("asset_size"))
+    return heads.join(own, "preset_id").join(tex, "preset_id")
 
 
 @query("K3_outcome_report", f"""
