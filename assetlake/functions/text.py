@@ -137,7 +137,9 @@ def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
         raise ValueError("glossary too large for an inline expression; split it by language")
     words = sorted((k for k in terms if k), key=len, reverse=True)
     rules = [p for p, _ in patterns]
-    token = "(?s)(" + "|".join(rules + [_regex_quote(w) for w in words] + ["."]) + ")"
+    keys_re = "|".join(rules + [_regex_quote(w) for w in words])
+    # a stretch where no key starts is one token, so the token array grows with hits, not with characters
+    token = "(?s)(?:" + keys_re + "|(?:(?!" + keys_re + ").)+)" if keys_re else "(?s).+"
     lookup = F.create_map(*[F.lit(x) for kv in sorted(terms.items()) for x in kv]) if terms else None
 
     def one(piece):

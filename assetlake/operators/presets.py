@@ -37,12 +37,14 @@ def match_score(preset_sigs: DataFrame, container_sigs: DataFrame) -> DataFrame:
 
 
 def score_against(containers: DataFrame, container_sigs: DataFrame, preset_sigs: DataFrame) -> DataFrame:
-    """J10 for one preset: every container gets a score, 0 without overlap and 1 for an empty preset."""
+    """J10 for one preset: every container gets a score, 0 without overlap and 1 for an empty preset.
+
+    The preset's size enters as a scalar subquery, not as a join."""
     p = preset_sigs.select("sig").distinct()
-    n = p.agg(F.count(F.lit(1)).alias("n_sigs")).withColumn("_k", F.lit(1))
+    n = p.agg(F.count(F.lit(1))).scalar()
     hits = (container_sigs.select("container_id", "sig").distinct().join(p, "sig")
             .groupBy("container_id").agg(F.count(F.lit(1)).alias("n_hits")))
-    out = containers.join(hits, "container_id", "left").withColumn("_k", F.lit(1)).join(n, "_k").drop("_k")
+    out = containers.join(hits, "container_id", "left").withColumn("n_sigs", n)
     score = F.when(F.col("n_sigs") == 0, F.lit(1.0)).otherwise(
         F.coalesce(F.col("n_hits"), F.lit(0)) / F.greatest(F.col("n_sigs"), F.lit(1)))
     return out.withColumn("score", score).drop("n_hits", "n_sigs")
@@ -112,29 +114,68 @@ def _rule_sigs(asset_rules: DataFrame) -> DataFrame:
     return asset_rules.select("preset_id", "rule_no", F.explode("sigs").alias("sig")).distinct()
 
 
-def match_asset_rules(assets: DataFrame, sigs: DataFrame, asset_rules: DataFrame) -> DataFrame:
+def _with_preset(df: DataFrame, runs: DataFrame) -> DataFrame:
+    """Tag rows of a container with the preset(s) that run on it."""
+    return df if runs is None else df.join(runs.select("container_id", "preset_id").distinct(), "container_id")
+
+
+def _id_pairs(assets: DataFrame, rules: DataFrame, runs: DataFrame, *cols) -> DataFrame:
+    """Assets joined to the rules (with ``cols``) that carry their id; ids compare as text."""
+    by = ["_id"] + ([] if runs is None else ["preset_id"])
+    named = _with_preset(assets.select(*ASSET_KEY, F.col("asset_id").cast("string").alias("_id")), runs)
+    r = rules.select("preset_id", F.col("asset_id").cast("string").alias("_id"), *cols)
+    return named.join(r, by).select(*ASSET_KEY, "preset_id", *[c for c in r.columns if c not in ("preset_id", "_id")])
+
+
+def _id_only(named: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Id pairs that count: the rule has no signatures, or the asset has none."""
+    return named.where("_bare").unionByName(named.where("not _bare").join(sigs, ASSET_KEY, "left_anti"))
+
+
+def _bare():
+    return F.coalesce(F.size("sigs"), F.lit(0)) <= 0
+
+
+def match_asset_rules(assets: DataFrame, sigs: DataFrame, asset_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
     """Distinct (container_id, asset_id, preset_id, rule_no) hits. A common signature is a hit;
     equal ids are one only when either side has no signatures at all.
 
-    assets: container_id, asset_id; sigs: container_id, asset_id, sig (long form)."""
-    by_sig = sigs.join(_rule_sigs(asset_rules), "sig").select(*ASSET_KEY, "preset_id", "rule_no")
-    bound = sigs.select(*ASSET_KEY).distinct().withColumn("_bound", F.lit(True))
-    r = asset_rules.select("preset_id", "rule_no", F.col("asset_id").cast("string").alias("_id"),
-                           (F.coalesce(F.size("sigs"), F.lit(0)) <= 0).alias("_bare"))
-    named = assets.select(*ASSET_KEY, F.col("asset_id").cast("string").alias("_id")).join(r, "_id")
-    by_id = named.join(bound, ASSET_KEY, "left").where(F.col("_bare") | F.col("_bound").isNull())
+    assets: container_id, asset_id; sigs: container_id, asset_id, sig (long form); runs: container_id,
+    preset_id limits which presets meet which container (None: every preset meets every container)."""
+    by = ["sig"] + ([] if runs is None else ["preset_id"])
+    by_sig = _with_preset(sigs, runs).join(_rule_sigs(asset_rules), by).select(*ASSET_KEY, "preset_id", "rule_no")
+    by_id = _id_only(_id_pairs(assets, asset_rules, runs, "rule_no", _bare().alias("_bare")), sigs)
     return by_sig.unionByName(by_id.select(*ASSET_KEY, "preset_id", "rule_no")).distinct()
 
 
+def _merge_cols(r):
+    return [F.min(F.struct(format_rank(r["format"]).alias("rank"), r["format"].alias("format"))).alias("_f"),
+            F.max(r["size"]).alias("_s")]
+
+
 def merge_preset_hits(hits: DataFrame, asset_rules: DataFrame) -> DataFrame:
-    """Lowest format rank and largest size over the hits of an asset; other fields follow again."""
+    """R3 on hit rows: lowest format rank and largest size over the hits of an asset; other fields
+    follow the global setting again."""
     r = hits.join(asset_rules.select("preset_id", "rule_no", "rule"), ["preset_id", "rule_no"])
-    best = r.groupBy(*ASSET_KEY).agg(
-        F.min(F.struct(format_rank(F.col("rule.format")).alias("rank"), F.col("rule.format").alias("format"))).alias("_f"),
-        F.max("rule.size").alias("_s"), F.count(F.lit(1)).alias("n_hits"))
+    best = r.groupBy(*ASSET_KEY).agg(*_merge_cols(F.col("rule")), F.count(F.lit(1)).alias("n_hits"))
     return best.select(*ASSET_KEY, rule(F.col("_f.format"), F.col("_s")).alias("asset_rule"), "n_hits")
 
 
+def preset_asset_rules(assets: DataFrame, sigs: DataFrame, asset_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
+    """R3 without listing hits (J8): rules are merged per (preset, signature) and per (preset, id) before
+    they meet the assets, so an asset signature joins at most one row per preset however many rules
+    share it. Minimum and maximum do not care about the order of merging."""
+    rs = asset_rules.select("preset_id", F.explode("sigs").alias("sig"), "rule")
+    per_sig = rs.groupBy("preset_id", "sig").agg(*_merge_cols(F.col("rule")))
+    per_id = asset_rules.groupBy("preset_id", "asset_id", _bare().alias("_bare")).agg(*_merge_cols(F.col("rule")))
+    by = ["sig"] + ([] if runs is None else ["preset_id"])
+    by_sig = _with_preset(sigs, runs).join(per_sig, by).select(*ASSET_KEY, "_f", "_s")
+    by_id = _id_only(_id_pairs(assets, per_id, runs, "_bare", "_f", "_s"), sigs)
+    best = by_sig.unionByName(by_id.select(*ASSET_KEY, "_f", "_s")).groupBy(*ASSET_KEY).agg(
+        F.min("_f").alias("_f"), F.max("_s").alias("_s"))
+    return best.select(*ASSET_KEY, rule(F.col("_f.format"), F.col("_s")).alias("asset_rule"))
+
+
 def missed_rules(asset_rules: DataFrame, hits: DataFrame, sigs: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_id, preset_id, rule_no) of rules that found nothing on a container.
 
@@ -144,8 +185,8 @@ def missed_rules(asset_rules: DataFrame, hits: DataFrame, sigs: DataFrame, conta
     want = containers.select("container_id", "preset_id").join(
         asset_rules.select("preset_id", "rule_no", F.col("asset_id").cast("string").alias("_id")), "preset_id")
     used = hits.select("container_id", F.col("asset_id").cast("string").alias("_id")).distinct()
-    seen = (sigs.select("container_id", "sig").distinct().join(_rule_sigs(asset_rules), "sig")
-            .select("container_id", "preset_id", "rule_no").distinct())
+    seen = (_with_preset(sigs.select("container_id", "sig").distinct(), containers)
+            .join(_rule_sigs(asset_rules), ["preset_id", "sig"]).select("container_id", "preset_id", "rule_no").distinct())
     left = want.join(used, ["container_id", "_id"], "left_anti")
     return left.join(seen, ["container_id", "preset_id", "rule_no"], "left_anti").select(
         "container_id", "preset_id", "rule_no")
@@ -203,27 +244,33 @@ def apply_preset_owners(parts: DataFrame, owner_rules: DataFrame) -> DataFrame:
                        F.when(has & (F.col("_r.size") > 0), F.col("_r.size")).otherwise(F.lit(0)).alias("size"))
 
 
-def apply_preset_assets(assets: DataFrame, sigs: DataFrame, asset_rules: DataFrame) -> DataFrame:
-    """R21, assets: hits by id *or* signature (unlike J8, ids match even when both sides have
-    signatures); the rule with the highest number wins, as later entries overwrite earlier ones."""
-    by_sig = sigs.join(_rule_sigs(asset_rules), "sig").select(*ASSET_KEY, "preset_id", "rule_no")
-    r = asset_rules.select("preset_id", "rule_no", F.col("asset_id").cast("string").alias("_id"))
-    by_id = assets.select(*ASSET_KEY, F.col("asset_id").cast("string").alias("_id")).join(r, "_id")
-    hits = by_sig.unionByName(by_id.select(*ASSET_KEY, "preset_id", "rule_no"))
+def _any_match(assets, sigs, asset_rules, runs):
+    """Hits by id or signature, ids even when both sides have signatures (unlike J8)."""
+    by = ["sig"] + ([] if runs is None else ["preset_id"])
+    by_sig = _with_preset(sigs, runs).join(_rule_sigs(asset_rules), by).select(*ASSET_KEY, "preset_id", "rule_no")
+    return by_sig.unionByName(_id_pairs(assets, asset_rules, runs, "rule_no").select(*ASSET_KEY, "preset_id", "rule_no"))
+
+
+def apply_preset_assets(assets: DataFrame, sigs: DataFrame, asset_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
+    """R21, assets: the rule with the highest number wins, as later entries overwrite earlier ones.
+
+    Only the highest rule number per (preset, signature) and (preset, id) can win, so rules collapse to
+    that before the join."""
+    top = asset_rules.select("preset_id", "rule_no", F.explode("sigs").alias("sig")).groupBy("preset_id", "sig").agg(
+        F.max("rule_no").alias("rule_no"))
+    ids = asset_rules.groupBy("preset_id", "asset_id").agg(F.max("rule_no").alias("rule_no"))
+    by = ["sig"] + ([] if runs is None else ["preset_id"])
+    by_sig = _with_preset(sigs, runs).join(top, by).select(*ASSET_KEY, "preset_id", "rule_no")
+    hits = by_sig.unionByName(_id_pairs(assets, ids, runs, "rule_no").select(*ASSET_KEY, "preset_id", "rule_no"))
     last = hits.groupBy(*ASSET_KEY, "preset_id").agg(F.max("rule_no").alias("rule_no"))
     return last.join(asset_rules.select("preset_id", "rule_no", "rule"), ["preset_id", "rule_no"])
 
 
-def preset_counts(asset_rules: DataFrame, sigs: DataFrame, assets: DataFrame) -> DataFrame:
+def preset_counts(asset_rules: DataFrame, sigs: DataFrame, assets: DataFrame, runs: DataFrame = None) -> DataFrame:
     """R21 counters per preset and container: hits (asset x rule) and rules without any target."""
-    by_sig = sigs.join(_rule_sigs(asset_rules), "sig").select(*ASSET_KEY, "preset_id", "rule_no")
-    r = asset_rules.select("preset_id", "rule_no", F.col("asset_id").cast("string").alias("_id"))
-    by_id = assets.select(*ASSET_KEY, F.col("asset_id").cast("string").alias("_id")).join(r, "_id")
-    hits = by_sig.unionByName(by_id.select(*ASSET_KEY, "preset_id", "rule_no")).distinct()
+    hits = _any_match(assets, sigs, asset_rules, runs).distinct()
     per = hits.groupBy("container_id", "preset_id").agg(
         F.count(F.lit(1)).alias("n_hits"), F.count_distinct("rule_no").alias("_found"))
     total = asset_rules.groupBy("preset_id").agg(F.count_distinct("rule_no").alias("_rules"))
     return per.join(total, "preset_id").select(
         "container_id", "preset_id", "n_hits", (F.col("_rules") - F.col("_found")).alias("n_missed"))
-
-

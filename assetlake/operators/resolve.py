@@ -8,7 +8,13 @@ from assetlake.functions.classify import is_data_class
 from assetlake.functions.rules import no_rule, rule, rule_text
 from assetlake.functions.sizes import shrink_scale, target_size, upscale_plan
 from assetlake.operators.assets import asset_profile
-from assetlake.schemas import ASSET_KEY, PLAN
+from assetlake.schemas import ASSET_KEY
+
+
+def literal_rows(spark: SparkSession, rows) -> DataFrame:
+    """A small table from literal structs. Unlike a table made of Python rows, its size is known to the
+    optimizer, so joins with it broadcast without a hint and nothing large is shuffled for it."""
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def builtin_plans(spark: SparkSession) -> DataFrame:
@@ -16,9 +22,9 @@ def builtin_plans(spark: SparkSession) -> DataFrame:
     rows = []
     for plan_id, (main, rest) in K.BUILTIN_PLANS.items():
         for i, cls in enumerate(K.CLASS_ORDER):
-            fmt, size = main if cls == "maintex" else rest
-            rows.append((plan_id, cls, i, (fmt, size, None, None, None, None)))
-    return spark.createDataFrame(rows, "plan_id string, " + PLAN)
+            rows.append(F.struct(F.lit(plan_id).alias("plan_id"), F.lit(cls).alias("class"), F.lit(i).alias("ord"),
+                                 rule(*(main if cls == "maintex" else rest)).alias("rule")))
+    return literal_rows(spark, rows)
 
 
 def plan_rule(plan: dict, cls: Column) -> Column:
@@ -32,9 +38,13 @@ def plan_rule(plan: dict, cls: Column) -> Column:
 def rules_by_class(assets: DataFrame, plan: DataFrame) -> DataFrame:
     """The rule of the asset's class; a class the plan does not name gives NULL.
 
-    With several plans (plan_id) every asset meets every plan through the class key."""
-    cols = [c for c in ("plan_id",) if c in plan.columns]
-    return assets.join(plan.select(*cols, "class", F.col("rule").alias("class_rule")), "class", "left")
+    One plan has at most nine rows (one per known class, enforced here), so it is broadcast and assets
+    keep their partitioning: shuffling by class would put a third of them into one task. With several
+    plans (plan_id) every asset meets every plan through the class key, and Spark decides by size."""
+    if "plan_id" in plan.columns:
+        return assets.join(plan.select("plan_id", "class", F.col("rule").alias("class_rule")), "class", "left")
+    known = plan.where(F.col("class").isin(*K.CLASS_ORDER)).groupBy("class").agg(F.first("rule").alias("class_rule"))
+    return assets.join(F.broadcast(known), "class", "left")
 
 
 def is_noop(plan: DataFrame, by=("plan_id",)) -> DataFrame:

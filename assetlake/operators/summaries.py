@@ -200,11 +200,7 @@ def group_probe(parts: DataFrame, n: int = 6) -> DataFrame:
 def byte_share(df: DataFrame, item: str, scope=()) -> DataFrame:
     """Bytes per item and their share of the scope total, in percent.
 
-    The total comes from the aggregated rows (nine classes, or one row per owner), never from raw rows."""
+    The total runs over aggregated rows only: one row per item of a scope (nine for classes)."""
     per = df.groupBy(*scope, item).agg(F.sum("n_bytes").alias("n_bytes"))
-    if scope:
-        total = F.sum("n_bytes").over(Window.partitionBy(*scope))
-        return per.withColumn("share_pct", F.lit(100.0) * F.col("n_bytes") / total)
-    total = per.agg(F.sum("n_bytes").alias("_t")).withColumn("_k", F.lit(1))
-    return (per.withColumn("_k", F.lit(1)).join(total, "_k")
-            .withColumn("share_pct", F.lit(100.0) * F.col("n_bytes") / F.col("_t")).drop("_k", "_t"))
+    total = F.sum("n_bytes").over(Window.partitionBy(*scope)) if scope else per.agg(F.sum("n_bytes")).scalar()
+    return per.withColumn("share_pct", F.lit(100.0) * F.col("n_bytes") / total)

@@ -9,7 +9,7 @@ from assetlake.operators.outcomes import compare_results
 from assetlake.operators.resolve import clear_overrides, rules_by_class
 from assetlake.registry import sqltext as T
 from assetlake.registry.core import query
-from assetlake.registry.rules_data import ASSET_RULES_SQL, asset_rules, plan_quality
+from assetlake.registry.rules_data import ASSET_RULES_SQL, HITS_SQL, asset_rules, plan_quality, runs
 
 
 @query("J1_with_props", """
@@ -74,34 +74,20 @@ def j6(v):
                      F.col("class_rule.size").alias("size"))
 
 
-@query("J8_match_asset_rules", f"""
-WITH ar AS ({ASSET_RULES_SQL}), rs AS (SELECT preset_id, rule_no, unnest(sigs) AS sig FROM ar)
-SELECT container_id, asset_id, preset_id, rule_no FROM V_asset_sigs JOIN rs USING (sig)
-UNION SELECT a.container_id, a.asset_id, preset_id, rule_no FROM V_assets a JOIN ar ON CAST(a.asset_id AS VARCHAR) = ar.asset_id
-LEFT JOIN (SELECT DISTINCT container_id, asset_id, true AS bound FROM V_asset_sigs) b
-  ON a.container_id = b.container_id AND a.asset_id = b.asset_id WHERE len(ar.sigs) = 0 OR bound IS NULL""")
+@query("J8_match_asset_rules", f"WITH {HITS_SQL} SELECT container_id, asset_id, preset_id, rule_no FROM hits")
 def j8(v):
-    return P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v))
+    return P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
 
 
 @query("J9_missed_rules", f"""
-WITH ar AS ({ASSET_RULES_SQL}), rs AS (SELECT preset_id, rule_no, unnest(sigs) AS sig FROM ar),
-hits AS (SELECT container_id, asset_id, preset_id, rule_no FROM V_asset_sigs JOIN rs USING (sig)
-UNION SELECT a.container_id, a.asset_id, preset_id, rule_no FROM V_assets a JOIN ar ON CAST(a.asset_id AS VARCHAR) = ar.asset_id
-LEFT JOIN (SELECT DISTINCT container_id, asset_id, true AS bound FROM V_asset_sigs) b
-  ON a.container_id = b.container_id AND a.asset_id = b.asset_id WHERE len(ar.sigs) = 0 OR bound IS NULL),
-want AS (SELECT s.s_suppkey AS container_id, ar.preset_id, ar.rule_no, ar.asset_id FROM supplier s JOIN ar
-  ON ar.preset_id = 'Brand#' || (s.s_nationkey + 1))
-SELECT container_id, preset_id, rule_no FROM want w
-WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.container_id = w.container_id AND CAST(h.asset_id AS VARCHAR) = w.asset_id)
-AND NOT EXISTS (SELECT 1 FROM rs JOIN V_csigs c ON c.sig = rs.sig
-  WHERE c.container_id = w.container_id AND rs.preset_id = w.preset_id AND rs.rule_no = w.rule_no)""")
+WITH {HITS_SQL}, want AS (SELECT container_id, preset_id, rule_no, asset_id FROM runs JOIN ar USING (preset_id)),
+used AS (SELECT DISTINCT container_id, CAST(asset_id AS VARCHAR) AS asset_id FROM hits),
+seen AS (SELECT DISTINCT container_id, preset_id, rule_no FROM rs JOIN V_csigs USING (sig))
+SELECT container_id, preset_id, rule_no FROM want ANTI JOIN used USING (container_id, asset_id) ANTI JOIN seen USING (container_id, preset_id, rule_no)""")
 def j9(v):
     sigs = A.asset_signatures(v.bindings)
-    ar = asset_rules(v)
-    runs = v.supplier.select(F.col("s_suppkey").alias("container_id"),
-                             F.concat(F.lit("Brand#"), F.col("s_nationkey") + 1).alias("preset_id"))
-    return P.missed_rules(ar, P.match_asset_rules(v.assets, sigs, ar), sigs, runs)
+    ar, r = asset_rules(v), runs(v)
+    return P.missed_rules(ar, P.match_asset_rules(v.assets, sigs, ar, r), sigs, r)
 
 
 @query("J10_match_score", """

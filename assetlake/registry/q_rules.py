@@ -11,7 +11,8 @@ from assetlake.operators import summaries as S
 from assetlake.registry import sqltext as T
 from assetlake.registry.core import query
 from assetlake.registry.q_projections import _PROPS_SQL, _props
-from assetlake.registry.rules_data import ASSET_RULES_SQL, PLANS_SQL, asset_rules, brand_plans, plan_quality
+from assetlake.registry.rules_data import (
+    ASSET_RULES_SQL, HITS_SQL, PLANS_SQL, RUNS_SQL, asset_rules, brand_plans, plan_quality, runs)
 
 RULE_COLS = ["format", "size", "sharpen_pct", "sharpen_mode", "gray_a", "up"]
 
@@ -33,14 +34,8 @@ MERGED = f"""merged AS (SELECT container_id, asset_id, count(*) AS k, count(*) F
     SELECT o.container_id, o.asset_id, o.owner_key, r.* EXCLUDE owner_key, r.format IS NULL OR r.format = 'keep' AS off
     FROM (SELECT DISTINCT container_id, asset_id, owner_key FROM V_bindings) o LEFT JOIN V_owner_rules r USING (owner_key)) GROUP BY ALL)"""
 
-HITS = f"""ar AS ({ASSET_RULES_SQL}), rs AS (SELECT preset_id, rule_no, format, size, unnest(sigs) AS sig FROM ar),
-hits AS (SELECT DISTINCT container_id, asset_id, preset_id, rule_no, format, size FROM (
-  SELECT container_id, asset_id, preset_id, rule_no, format, size FROM V_asset_sigs JOIN rs USING (sig)
-  UNION ALL SELECT a.container_id, a.asset_id, preset_id, rule_no, format, size FROM V_assets a JOIN ar ON CAST(a.asset_id AS VARCHAR) = ar.asset_id
-  LEFT JOIN (SELECT DISTINCT container_id, asset_id, true AS bound FROM V_asset_sigs) b
-    ON a.container_id = b.container_id AND a.asset_id = b.asset_id WHERE len(ar.sigs) = 0 OR bound IS NULL)),
-best AS (SELECT container_id, asset_id, {T.rank_fmt(f"min({T.fmt_rank('format')})")} AS format, max(size) AS size, count(*) AS n_hits
-  FROM hits GROUP BY ALL)"""
+HITS = f"""{HITS_SQL}, best AS (SELECT container_id, asset_id, {T.rank_fmt(f"min({T.fmt_rank('format')})")} AS format,
+  CAST(max(size) AS INT) AS size, count(*) AS n_hits FROM hits GROUP BY ALL)"""
 
 ROUTES = """routes AS (SELECT container_id, CASE WHEN score >= 0.15 THEN 'apply' ELSE 'uniform' END AS action FROM (
   SELECT s_suppkey AS container_id, coalesce(n, 0) / (SELECT count(*) FROM V_preset_sigs WHERE preset_id = 'Brand#7') AS score
@@ -71,7 +66,7 @@ LEFT JOIN (SELECT container_id, action = 'uniform' AS u FROM routes) USING (cont
 def r1(v):
     sigs = A.asset_signatures(v.bindings)
     ar = asset_rules(v)
-    hits = P.merge_preset_hits(P.match_asset_rules(v.assets, sigs, ar), ar)
+    hits = P.preset_asset_rules(v.assets, sigs, ar, runs(v))
     rt = routes(v).withColumn("uniform", rule("png", 256))
     df = R.resolve_rules(v.assets, v.bindings, plan=plan_quality(v), owner_rules=v.owner_rules, asset_hits=hits, routes=rt)
     return df.select("container_id", "asset_id", "class", "rule.format", "rule.size", "rule.sharpen_pct", "rule.up",
@@ -99,13 +94,19 @@ def r2(v):
                      "owner_rule")
 
 
-@query("R3_merge_preset_hits", f"WITH {HITS} SELECT container_id, asset_id, format, CAST(size AS INT) AS size, n_hits FROM best")
+@query("R3_merge_preset_hits", f"WITH {HITS} SELECT container_id, asset_id, format, size, n_hits FROM best")
 def r3(v):
     ar = asset_rules(v)
-    m = P.merge_preset_hits(P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), ar), ar)
+    m = P.merge_preset_hits(P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), ar, runs(v)), ar)
     return m.select("container_id", "asset_id", "asset_rule.format", "asset_rule.size", "n_hits")
 
 
+@query("R3_preset_asset_rules", f"WITH {HITS} SELECT container_id, asset_id, format, size FROM best")
+def r3b(v):
+    m = P.preset_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
+    return m.select("container_id", "asset_id", "asset_rule.format", "asset_rule.size")
+
+
 @query("R4_route_containers", """
 WITH s AS (SELECT c_custkey AS container_id, CASE WHEN c_acctbal < 0 THEN 'chara' ELSE 'clothes' END AS kind,
   coalesce(n, 0) / (SELECT count(DISTINCT o_orderpriority || o_orderstatus) FROM orders) AS score FROM customer LEFT JOIN (
@@ -296,14 +297,15 @@ def r21(v):
     return P.apply_preset_owners(full, v.owner_rules)
 
 
-_R21 = f"""ar AS ({ASSET_RULES_SQL}), rs AS (SELECT preset_id, rule_no, unnest(sigs) AS sig FROM ar),
-h AS (SELECT container_id, asset_id, preset_id, rule_no FROM V_asset_sigs JOIN rs USING (sig) UNION
-  SELECT container_id, a.asset_id, preset_id, rule_no FROM V_assets a JOIN ar ON CAST(a.asset_id AS VARCHAR) = ar.asset_id)"""
+_R21 = f"""ar AS ({ASSET_RULES_SQL}), runs AS ({RUNS_SQL}), rs AS (SELECT preset_id, rule_no, unnest(sigs) AS sig FROM ar),
+h AS (SELECT container_id, asset_id, preset_id, rule_no FROM V_asset_sigs JOIN runs USING (container_id) JOIN rs USING (sig, preset_id) UNION
+  SELECT container_id, a.asset_id, preset_id, rule_no FROM V_assets a JOIN runs USING (container_id) JOIN ar USING (preset_id)
+  WHERE CAST(a.asset_id AS VARCHAR) = ar.asset_id)"""
 
 
 @query("R21_apply_preset_assets", f"""WITH {_R21} SELECT container_id, h.asset_id, preset_id, max(rule_no) AS rule_no FROM h GROUP BY ALL""")
 def r21b(v):
-    out = P.apply_preset_assets(v.assets, A.asset_signatures(v.bindings), asset_rules(v))
+    out = P.apply_preset_assets(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
     return out.select("container_id", "asset_id", "preset_id", "rule_no")
 
 
@@ -311,4 +313,4 @@ def r21b(v):
 WITH {_R21} SELECT container_id, preset_id, n_hits, n - found AS n_missed FROM (SELECT container_id, preset_id, count(*) AS n_hits,
   count(DISTINCT rule_no) AS found FROM h GROUP BY ALL) JOIN (SELECT preset_id, count(DISTINCT rule_no) AS n FROM ar GROUP BY 1) USING (preset_id)""")
 def r21c(v):
-    return P.preset_counts(asset_rules(v), A.asset_signatures(v.bindings), v.assets)
+    return P.preset_counts(asset_rules(v), A.asset_signatures(v.bindings), v.assets, runs(v))

@@ -43,3 +43,21 @@ def brand_plans(v):
     m = F.col("m")
     return per.select("plan_id", "class", class_ord(F.col("class")).alias("ord"),
                       rule(F.when(m >= 46, "auto").otherwise("keep"), F.when(m >= 49, m * 20).otherwise(0)).alias("rule"))
+
+
+# which preset runs on which container: the brand that carries the number of the supplier's nation
+RUNS_SQL = "SELECT s_suppkey AS container_id, 'Brand#' || (s_nationkey + 1) AS preset_id FROM supplier"
+
+
+def runs(v):
+    return v.supplier.select(F.col("s_suppkey").alias("container_id"),
+                             F.concat(F.lit("Brand#"), F.col("s_nationkey") + 1).alias("preset_id"))
+
+
+# J8 hits of those runs
+HITS_SQL = f"""ar AS ({ASSET_RULES_SQL}), runs AS ({RUNS_SQL}), rs AS (SELECT preset_id, rule_no, format, size, unnest(sigs) AS sig FROM ar),
+hits AS (SELECT container_id, asset_id, preset_id, rule_no, format, size FROM V_asset_sigs JOIN runs USING (container_id) JOIN rs USING (sig, preset_id)
+  UNION SELECT a.container_id, a.asset_id, preset_id, rule_no, format, size FROM V_assets a JOIN runs USING (container_id)
+  JOIN ar USING (preset_id) LEFT JOIN (SELECT DISTINCT container_id, asset_id, true AS bound FROM V_asset_sigs) b
+  ON a.container_id = b.container_id AND a.asset_id = b.asset_id
+  WHERE CAST(a.asset_id AS VARCHAR) = ar.asset_id AND (len(ar.sigs) = 0 OR bound IS NULL))"""

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from assetlake.functions import keys
 from assetlake.functions.rules import rule
 from assetlake.registry import sqltext as T
+from assetlake.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
+SMALL_TABLES = ("region", "nation", "supplier", "benchmark", "labels")
+
 PROPERTY_OF_NOUN = {"ring": "AlphaMask", "plate": "NormalMap", "bolt": "BumpMap", "gear": "ParallaxMap",
                     "widget": "MainTex", "rod": "EmissionMask", "gizmo": "MatCapTex"}
 _PROP_SQL = "CASE split_part(p_name, ' ', 2) " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in PROPERTY_OF_NOUN.items()) + " ELSE 'DetailTex' END"
 
-# owner rules of the stand-in: slot -> (format, size, sharpen_pct, sharpen_mode, gray_a, up); slot 7 has none
+OWNER_BASES = (0, 1000, 2000)
+# owner rules of the stand-in, for every kind of owner: slot -> (format, size, sharpen_pct, sharpen_mode, gray_a, up); slot 7 has none
 SLOT_RULES = {1: ("png", 512, 50, "cas", 1, 2), 2: ("auto", 1024, 100, "cas", 1, 2), 3: ("jpeg", 2048, 80, "edge", 0, 4),
               4: ("keep", 0, None, None, None, None), 5: ("auto", 0, 100, "cas", 1, None),
               6: ("jpeg", 512, None, "cas", 1, 0)}
@@ -45,10 +49,11 @@ CTES = {
       owner_key AS slot_key, CASE WHEN obj_type >= 3 OR coord_idx < 0 THEN 0 ELSE coord_idx + 1 END AS group_no,
       ((CASE WHEN obj_type >= 3 OR coord_idx < 0 THEN 0 ELSE coord_idx + 1 END) + 1) * 100000 + owner_key AS owner_key
       FROM V_bindings""",
-    "V_owner_rules": f"""SELECT DISTINCT owner_key, {_case('slot', SLOT_RULES, 0)} AS format,
+    "V_owner_rules": f"""SELECT base + slot AS owner_key, {_case('slot', SLOT_RULES, 0)} AS format,
       {_case('slot', SLOT_RULES, 1)} AS size, {_case('slot', SLOT_RULES, 2)} AS sharpen_pct,
       {_case('slot', SLOT_RULES, 3)} AS sharpen_mode, {_case('slot', SLOT_RULES, 4)} AS gray_a,
-      {_case('slot', SLOT_RULES, 5)} AS up FROM V_bindings WHERE slot < 7""",
+      {_case('slot', SLOT_RULES, 5)} AS up FROM (VALUES {', '.join(f'({b})' for b in OWNER_BASES)}) b(base),
+      (VALUES {', '.join(f'({s})' for s in SLOT_RULES)}) s(slot)""",
     "V_shaders": """SELECT l_suppkey AS container_id, l_orderkey AS ord, l_linenumber AS slot,
       CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS obj_type, p_name AS material,
       CASE WHEN l_tax > 0.07 THEN '' WHEN l_tax > 0.05 THEN 'Main_Alpha/' || p_type ELSE 'main_opaque/' || p_brand END
@@ -139,7 +144,8 @@ class Views:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return df if name in SMALL_TABLES else spread(df)
 
     def __getattr__(self, name):
         if name in TABLES:
@@ -164,7 +170,9 @@ class Views:
     @cached_property
     def assets(self):
         promo = F.col("p_type") == "PROMO"
-        return self.base.select("container_id", "asset_id", "n_bytes", "dim", "p_type").distinct().select(
+        # size, edges and type depend on the asset id, so one row per key is the distinct row
+        rows = self.base.select("container_id", "asset_id", "n_bytes", "dim", "p_type")
+        return rows.dropDuplicates(["container_id", "asset_id"]).select(
             "container_id", "asset_id", "n_bytes", "dim", F.col("dim").alias("width"), (F.col("dim") - 64).alias("height"),
             (~promo).alias("flat_alpha"), (promo & (F.col("dim") > 3000)).alias("circle_only"), "p_type")
 
@@ -182,11 +190,10 @@ class Views:
 
     @cached_property
     def owner_rules(self):
-        r = None
-        for slot, values in SLOT_RULES.items():
-            r = F.when(F.col("slot") == slot, rule(*values)) if r is None else r.when(F.col("slot") == slot, rule(*values))
-        return self.bindings.where("slot < 7").select("owner_key", "slot").distinct().select(
-            "owner_key", r.alias("rule"))
+        from assetlake.operators.resolve import literal_rows
+        return literal_rows(self.spark, [
+            F.struct(F.lit(base + slot).alias("owner_key"), rule(*values).alias("rule"))
+            for base in OWNER_BASES for slot, values in SLOT_RULES.items()])
 
     @cached_property
     def shaders(self):

@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.fixed import HEAD_BYTES
+from assetlake.functions.text import file_name
 
 DEFAULT_MARKER = ".asset-output"
 
@@ -13,13 +14,41 @@ def list_corpus(spark: SparkSession, root: str, recurse: bool = True, exclude: s
 
     Listing is Spark's own; ``content`` is only read when asked for. Pass the marker file name your
     producing tool leaves in its output directories."""
-    def files(glob):
-        return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-                .option("recursiveFileLookup", str(recurse).lower()).load(root))
     cols = ["path", "modificationTime", "length"] + (["content"] if content else [])
-    found = files("*.png").select(*cols)
-    marks = files(marker).select("path")
-    return prune_listing(found, marks, root, exclude, suffix)
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.png")
+             .option("recursiveFileLookup", str(recurse).lower()).load(root).select(*cols))
+    return prune_listing(found, marked_dirs(found, root, marker), root, exclude, suffix)
+
+
+def marked_dirs(found: DataFrame, root: str, marker: str) -> DataFrame:
+    """Paths of the marker files in directories that lead to a listed file.
+
+    Spark's listing leaves out hidden names, and a marker usually is one, so tasks probe each distinct
+    directory once (any file system pyarrow knows)."""
+    probe = found.select("path").withColumn("rel_dir", relative_dir(F.col("path"), root))
+    base = F.substring("path", F.lit(1), F.length("path") - F.length(file_name(F.col("path"))) - F.length("rel_dir") - 1)
+    dirs = probe.select(base.alias("base"), F.explode(ancestors(F.col("rel_dir"))).alias("dir")).distinct()
+
+    def look(batches):
+        from pyarrow import fs
+        for pdf in batches:
+            for uri, group in pdf.groupby("base"):
+                if uri.startswith("file:"):
+                    store, top = fs.LocalFileSystem(), "/" + uri[5:].strip("/")
+                else:
+                    store, top = fs.FileSystem.from_uri(uri)
+                info = store.get_file_info([f"{top.rstrip('/')}/{d}/{marker}" for d in group["dir"]])
+                seen = [i.type != fs.FileType.NotFound for i in info]
+                path = uri.rstrip("/") + "/" + group["dir"] + "/" + marker
+                yield path[seen].to_frame("path")
+    return dirs.mapInPandas(look, "path string")
+
+
+def ancestors(rel_dir: Column) -> Column:
+    """All directories on the way: 'a/b' -> ['a', 'a/b']."""
+    parts = F.filter(F.split(rel_dir, "/"), lambda d: d != "")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.when(F.size(parts) > 0, steps)
 
 
 def relative_dir(path: Column, root: str) -> Column:
@@ -48,9 +77,7 @@ def prune_listing(found: DataFrame, marks: DataFrame, root: str, exclude: str =
             low = F.lower("rel_dir")
             df = df.where(~((low == rel) | low.startswith(rel + "/")))
     marked = marks.select(relative_dir(F.col("path"), root).alias("_anc")).where(F.col("_anc") != "").distinct()
-    depth = F.sequence(F.lit(1), F.size(parts))
-    ancestors = F.when(F.size(parts) > 0, F.transform(depth, lambda n: F.array_join(F.slice(parts, 1, n), "/")))
-    hit = (df.select("path", F.explode(ancestors).alias("_anc")).join(marked, "_anc", "left_semi")
+    hit = (df.select("path", F.explode(ancestors(F.col("rel_dir"))).alias("_anc")).join(marked, "_anc", "left_semi")
            .select("path").distinct())
     return df.join(hit, "path", "left_anti")
 
