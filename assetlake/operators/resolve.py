@@ -1,4 +1,6 @@
 """Rule resolution: J6, J14, R1, R5-R7, R9, R11-R14, R17-R20, P16/P15 in context."""
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,13 +10,13 @@ from assetlake.functions.classify import is_data_class
 from assetlake.functions.rules import no_rule, rule, rule_text
 from assetlake.functions.sizes import shrink_scale, target_size, upscale_plan
 from assetlake.operators.assets import asset_profile
-from assetlake.schemas import ASSET_KEY
+from assetlake.schemas import ASSET_KEY, RULE
 
 
-def literal_rows(spark: SparkSession, rows) -> DataFrame:
-    """A small table from literal structs. Unlike a table made of Python rows, its size is known to the
+def literal_rows(spark: SparkSession, rows, fields: str) -> DataFrame:
+    """A small table from literal dicts. Unlike a table made of Python rows, its size is known to the
     optimizer, so joins with it broadcast without a hint and nothing large is shuffled for it."""
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
 
 
 def builtin_plans(spark: SparkSession) -> DataFrame:
@@ -22,9 +24,9 @@ def builtin_plans(spark: SparkSession) -> DataFrame:
     rows = []
     for plan_id, (main, rest) in K.BUILTIN_PLANS.items():
         for i, cls in enumerate(K.CLASS_ORDER):
-            rows.append(F.struct(F.lit(plan_id).alias("plan_id"), F.lit(cls).alias("class"), F.lit(i).alias("ord"),
-                                 rule(*(main if cls == "maintex" else rest)).alias("rule")))
-    return literal_rows(spark, rows)
+            fmt, size = main if cls == "maintex" else rest
+            rows.append({"plan_id": plan_id, "class": cls, "ord": i, "rule": {"format": fmt, "size": size}})
+    return literal_rows(spark, rows, f"plan_id:string,class:string,ord:int,rule:{RULE}")
 
 
 def plan_rule(plan: dict, cls: Column) -> Column:

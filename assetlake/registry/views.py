@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.functions import keys
-from assetlake.functions.rules import rule
 from assetlake.registry import sqltext as T
+from assetlake.schemas import RULE
 from assetlake.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -141,11 +141,13 @@ class Views:
     """Lazy stand-in views for one directory of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.tables = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return df if name in SMALL_TABLES else spread(df)
+        if name not in self.tables:
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            self.tables[name] = df if name in SMALL_TABLES else spread(df)
+        return self.tables[name]
 
     def __getattr__(self, name):
         if name in TABLES:
@@ -191,9 +193,10 @@ class Views:
     @cached_property
     def owner_rules(self):
         from assetlake.operators.resolve import literal_rows
+        names = ("format", "size", "sharpen_pct", "sharpen_mode", "gray_a", "up")
         return literal_rows(self.spark, [
-            F.struct(F.lit(base + slot).alias("owner_key"), rule(*values).alias("rule"))
-            for base in OWNER_BASES for slot, values in SLOT_RULES.items()])
+            {"owner_key": base + slot, "rule": dict(zip(names, values))}
+            for base in OWNER_BASES for slot, values in SLOT_RULES.items()], f"owner_key:int,rule:{RULE}")
 
     @cached_property
     def shaders(self):

@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # building large expressions from Python is much faster without a call site per operation
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # collect_set of owner keys stays hash-based up to this many groups per task
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
@@ -29,18 +31,21 @@ def build(app="assetlake", master=None, shuffle_partitions=None, extra=None) ->
     return b.getOrCreate()
 
 
+_LOCAL_DIR = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``. Where it is unset on a local master (tests), a
     temporary folder stands in; on a cluster an unset folder is an error, because a folder of one
     machine does not survive the loss of that machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not _LOCAL_DIR:
+        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _LOCAL_DIR[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
