@@ -151,7 +151,10 @@ def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(token), 0), one), "")
 
 
+# ---- fixed values: script range, and the two shapes of "script then ASCII name" ({s} is the script range) ----
 CJK = "\\u4e00-\\u9fff"
+TAIL_PATTERN = "^[\\u3000-\\u303f{s}()（）\\s]*\\s([A-Za-z][A-Za-z0-9_\\-]*(?:\\s[A-Za-z0-9_\\-]+)*)$"
+FRAGMENT_PATTERN = "[{s}][{s}\\u3000()（）/\\u00b7\\s]*?\\s([A-Za-z][A-Za-z0-9_\\-]{1,})"
 
 
 def has_cjk(c: Column, char_class: str = CJK) -> Column:
@@ -162,8 +165,7 @@ def has_cjk(c: Column, char_class: str = CJK) -> Column:
 def strip_tail(c: Column, char_class: str = CJK) -> Column:
     """A text that is script followed by one ASCII name keeps only the name; inside a sentence
     each 'script name' fragment is reduced to its name."""
-    tail = "^[\\u3000-\\u303f" + char_class + "()（）\\s]*\\s([A-Za-z][A-Za-z0-9_\\-]*(?:\\s[A-Za-z0-9_\\-]+)*)$"
-    frag = "[" + char_class + "][" + char_class + "\\u3000()（）/\\u00b7\\s]*?\\s([A-Za-z][A-Za-z0-9_\\-]{1,})"
+    tail, frag = TAIL_PATTERN.replace("{s}", char_class), FRAGMENT_PATTERN.replace("{s}", char_class)
     return (F.when(c.rlike(tail), F.regexp_replace(c, tail, "$1"))
             .when(has_cjk(c, char_class), F.regexp_replace(c, frag, "$1"))
             .otherwise(c))

@@ -70,8 +70,6 @@ def test_owner_merge_matrix(spark):
     """All pairs of rules of two owners against a brute-force merge."""
     opts = [None] + [(f, s) for f in ("keep", "png", "auto", "jpeg") for s in (0, 512, 1024)]
     rank = {"keep": 0, "png": 1, "auto": 2, "jpeg": 3}
-    for i, (a, b) in enumerate(itertools.product(opts[::2], opts[1::2])):
-        pass
     pairs = list(itertools.product(opts, opts))
     owners = spark.createDataFrame([(n, 1, 2 * n + k) for n in range(len(pairs)) for k in (0, 1)],
                                    "container_id int, asset_id int, owner_key int")
