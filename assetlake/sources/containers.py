@@ -3,8 +3,10 @@
 One file is one row, files spread over tasks, payload bytes never leave the job: assets are emitted as
 (offset, length) references. Failures become rows with rc 2, 3 or 4."""
 import struct
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ RECORD = ("kind string, container_id string, tag string, header_version string,
 FIELDS = [f.split()[0] for f in RECORD.split(", ")]
 PNG = bytes.fromhex(K.PNG_MAGIC_HEX)
 
+# ship this module's functions with the job, so that executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(K)
+
 
 def png_end(b) -> int:
     """Offset after the image's last chunk, by chunk lengths; -1 when the structure does not hold."""
