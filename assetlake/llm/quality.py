@@ -112,9 +112,8 @@ def rule_statistics(docs: DataFrame, rules=None, sample_rows: int = 2000, seed:
         hashes, spent, gone, n = WordHashes(), Counter(), Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n += 1
+                n, t = n + 1, Text(text, hashes)
                 for name, rule in rules.items():
-                    t = Text(text, hashes)
                     at = time.perf_counter_ns()
                     gone[name] += rule(t)
                     spent[name] += time.perf_counter_ns() - at
