@@ -48,6 +48,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGI
 FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)
 """
 
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate({TEXT}, {AZ}), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT r, list_slice(w, i, i + 3) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s AS a JOIN s AS b USING (g) GROUP BY a.r, b.r),
+e AS (SELECT x, y FROM p JOIN n AS a ON a.r = x JOIN n AS b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+c AS (SELECT x AS r, min(doc_id) AS c FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, doc_id) AS component_id, doc_id = coalesce(c.c, doc_id) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+
+OP9 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({TEXT}, '{WORD}') AS w FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 19) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) > 19)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+ws AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT ws.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n, string_agg(x, ' ' ORDER BY ws.p) FILTER (WHERE gone.p IS NULL) AS t
+  FROM ws LEFT JOIN gone ON gone.doc_id = ws.doc_id AND gone.p = ws.p GROUP BY ws.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP10 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split({TEXT}, chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, i, ls[i] AS x, translate(trim(ls[i], {BLANKS}), {AZ}) AS k
@@ -59,4 +83,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone
 FROM m GROUP BY r
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op8_decontaminate": OP8, "op10_line_dedup": OP10}
+ORACLES = {"op4_quality_rules": OP4, "op6_minhash_near_dedup": OP6, "op8_decontaminate": OP8, "op9_phrase_dedup": OP9,
+           "op10_line_dedup": OP10}

@@ -1,7 +1,7 @@
 """The registered queries opN_<name>: each applies its operator to the whole table and derives the digest columns."""
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, line_dedup, quality
+from assetlake.llm import decontaminate, line_dedup, near_dedup, phrase_dedup, quality
 
 
 def table(spark, sf_dir, name):
@@ -13,6 +13,11 @@ def op4_quality_rules(spark, sf_dir):
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    n = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return n.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_decontaminate(spark, sf_dir):
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -20,6 +25,14 @@ def op8_decontaminate(spark, sf_dir):
                         F.sha2(ids, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op9_phrase_dedup(spark, sf_dir):
+    texts, removed = phrase_dedup.repeated_phrases(table(spark, sf_dir, "documents"))
+    r = removed.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_r"), "n_removed", F.sha2("kept", 256).alias("_sha")).dropDuplicates(["_d", "_r"])
+    j = texts.join(r, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_r")), "left")
+    return j.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+                    F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
@@ -27,4 +40,5 @@ def op10_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op8_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op4_quality_rules, op6_minhash_near_dedup, op8_decontaminate, op9_phrase_dedup, op10_line_dedup)}
