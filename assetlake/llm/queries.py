@@ -1,13 +1,18 @@
 """The registered queries opN_<name>: each applies its operator to the whole table and derives the digest columns."""
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, line_dedup, near_dedup, phrase_dedup, quality
+from assetlake.llm import decontaminate, line_dedup, mixing, near_dedup, phrase_dedup, quality, secret_scan
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark, sf_dir):
+    m = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op4_quality_rules(spark, sf_dir):
     q = quality.quality_rules(table(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -18,6 +23,16 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return n.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_find_secrets(spark, sf_dir):
+    s = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+    count = lambda k: F.size(F.filter("base", lambda b: b.kind == k)).cast("long")
+    ordered = lambda c: F.array_sort(F.transform(c, lambda b: F.struct(b.start.alias("start"), b.kind.alias("kind"), b.end.alias("end"))))
+    said = lambda c: F.array_join(F.transform(ordered(c), lambda b: F.concat_ws(":", names[b.kind], b.start, b.end)), ",")
+    return s.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                    F.sha2(said("base"), 256).alias("base_sha256"), said(F.concat("base", "inferred")).alias("spans"))
+
+
 def op8_decontaminate(spark, sf_dir):
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -41,4 +56,4 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_rules, op6_minhash_near_dedup, op8_decontaminate, op9_phrase_dedup, op10_line_dedup)}
+    op1_mix_sources, op4_quality_rules, op6_minhash_near_dedup, op7_find_secrets, op8_decontaminate, op9_phrase_dedup, op10_line_dedup)}
