@@ -1,7 +1,7 @@
 """The registered queries opN_<name>: each applies its operator to the whole table and derives the digest columns."""
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, line_dedup, mixing, near_dedup, phrase_dedup, quality, secret_scan
+from assetlake.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, phrase_dedup, quality, secret_scan
 
 
 def table(spark, sf_dir, name):
@@ -18,6 +18,10 @@ def op4_quality_rules(spark, sf_dir):
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_extract_html(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     n = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
     return n.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -56,4 +60,5 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op4_quality_rules, op6_minhash_near_dedup, op7_find_secrets, op8_decontaminate, op9_phrase_dedup, op10_line_dedup)}
+    op1_mix_sources, op4_quality_rules, op5_extract_html, op6_minhash_near_dedup, op7_find_secrets, op8_decontaminate,
+    op9_phrase_dedup, op10_line_dedup)}
