@@ -8,6 +8,7 @@ import re
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,31 @@ def _scanner(items, width, schema):
     return run
 
 
+def _deal(benchmark, shard_chars):
+    """Items (item_id, text), and over how many automata they must go."""
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole().alias("text"))
+    chars = b.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    return b, max(1, -(-chars // shard_chars))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no window of an item."""
+    b, n = _deal(benchmark, shard_chars)
+    if n > 1:
+        found = scan_documents(docs, benchmark, width, shard_chars).where(F.size("hits") > 0)
+        found = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"))
+        return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & row_key().eqNullSafe(F.col("_row")), "left_anti")
+    items, ready = [tuple(r) for r in b.collect()], []
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        if not ready:
+            ready.append(automaton(items, width))
+        return pd.Series([not scan(t, ready[0])[1] for t in texts], dtype=bool)
+
+    return docs.where(clean(whole()))
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row_key (a hash of the text), n_words, hits (numbers of the words inside
     a window), items (ids of the items found, in order) and spans (stretches of hit words as offsets in the text).
@@ -97,9 +123,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard
     are kept as they are; a null item_id is an item like others. Extra columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), whole().alias("text"))
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole().alias("text"))
-    chars = b.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars // shard_chars))
+    b, n = _deal(benchmark, shard_chars)
     if n == 1:
         return d.mapInArrow(_scanner([tuple(r) for r in b.collect()], width, RESULT), RESULT)
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))

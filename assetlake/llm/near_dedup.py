@@ -138,8 +138,8 @@ def _confirm(pairs, sets, percent):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, row_key, n_shingles and component_id, the smallest doc_id that links of at
-    least ``percent`` of shared shingles reach (its own included).
+    """One row for each row of ``docs``: doc_id, row_key, n_shingles, component_id (the smallest doc_id that links of at least
+    ``percent`` of shared shingles reach, its own included) and group (a number of the component; null without words).
 
     Texts without words (null, empty, blank) have an empty set and are linked with nothing, not even with each other.
     Rows that share a doc_id are compared as rows; a null doc_id is never the smallest unless all of its component are
@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = nodes.select("id", "doc_id", "d1", "d2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = materialise(named)
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(lowest, "component").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id").dropDuplicates(["_1", "_2"])
+    found = named.join(lowest, "component").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id",
+                                                      F.col("component").alias("group")).dropDuplicates(["_1", "_2"])
     own = feats.select("doc_id", "row_key", "n_shingles", "d1", "d2")
     j = own.join(found, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("n_shingles") > 0), "left")
-    return j.select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return j.select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")

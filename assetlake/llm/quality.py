@@ -9,6 +9,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,9 +184,7 @@ def judge_column(docs: DataFrame, rules=None, sample_rows: int = 2000):
     order = cascade_order(rule_statistics(docs, rules, sample_rows))
 
     @F.pandas_udf("boolean")
-    def kept(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def kept(texts: pd.Series) -> pd.Series:
         hashes = WordHashes()
         return pd.Series([_judge(order, rules, hashes, t)[6] for t in texts], dtype=bool)
 
