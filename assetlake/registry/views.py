@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from assetlake.functions import keys
 from assetlake.registry import sqltext as T
 from assetlake.schemas import RULE
-from assetlake.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
-SMALL_TABLES = ("region", "nation", "supplier", "benchmark", "labels")
-
 PROPERTY_OF_NOUN = {"ring": "AlphaMask", "plate": "NormalMap", "bolt": "BumpMap", "gear": "ParallaxMap",
                     "widget": "MainTex", "rod": "EmissionMask", "gizmo": "MatCapTex"}
 _PROP_SQL = "CASE split_part(p_name, ' ', 2) " + " ".join(
@@ -145,8 +142,7 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
-            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            self.tables[name] = df if name in SMALL_TABLES else spread(df)
+            self.tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self.tables[name]
 
     def __getattr__(self, name):

@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # What a cluster session for this library should set; a test session overrides the sizes.
 RECOMMENDED = {
@@ -56,12 +55,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table that arrives in fewer splits than there are cores (one file with one row group) is dealt
-    out evenly, so that the work before the first exchange does not run in one task. A table with
-    enough splits, which is every large one, is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.monotonically_increasing_id())

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,8 @@ from assetlake import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session.build("tests", "local[8]", 4, {"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    s = session.build("tests", "local[8]", 4, {"spark.ui.enabled": "false", "spark.driver.memory": "8g",
+                                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
