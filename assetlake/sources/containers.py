@@ -232,8 +232,8 @@ def container_records(cid, b):
         yield {"kind": "binding", "container_id": cid, "list_no": no, "ord": i, "asset_id": str(m["TexID"]),
                "obj_type": _int(m.get("ObjectType"), 1), "slot": _int(m.get("Slot"), 0),
                "coord_idx": _int(m.get("CoordinateIndex"), 0),
-               **{n: m[k] if isinstance(m.get(k), str) else "" for n, k in
-                  (("material", "MaterialName"), ("property", "Property"))}}
+               "material": m["MaterialName"] if isinstance(m.get("MaterialName"), str) else "",
+               "property": m["Property"] if isinstance(m.get("Property"), str) else None}
     for _, i, m in _lists(b, K.KEY_SHADERS, False):
         yield {"kind": "shader", "container_id": cid, "ord": i,
                "obj_type": _int(m.get("ObjectType"), 1), "slot": _int(m.get("Slot"), 0),

@@ -27,9 +27,9 @@ def header_dims(c: Column, fmt: Column = None) -> Column:
     """S5 for PNG and HDR: struct(width, height), zeros when unreadable. JPEG needs its segment walk,
     which the inventory job does while it has the bytes at hand."""
     fmt = sniff(c) if fmt is None else fmt
-    text = F.decode(F.substring(c, 1, 65536), "ISO-8859-1")
+    text = F.when(fmt == "HDR", F.decode(c, "ISO-8859-1"))
     head = F.regexp_extract(text, r"(?s)^((?:[^\n]+\n){1,%d})\r?\n" % HDR_HEADER_LINES, 1)
-    line = F.when(head != "", F.split(F.substring(text, F.length(head) + 1, F.lit(1200)), "\n"))
+    line = F.when(head != "", F.split(text.substr(F.length(head) + 1, F.length(text)), "\n", 3))
     # what follows the header: an empty line, then the resolution line
     res = F.regexp_replace(F.get(line, F.lit(1)), "\r", "")
     pat = r"^ *[^ ]+ +(-?[0-9]+) +[^ ]+ +(-?[0-9]+) *$"

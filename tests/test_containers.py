@@ -81,7 +81,7 @@ def test_unsigned_64_bit_wraps_and_defaults(spark):
     assert C.read_value(b"\xcf" + b"\xff" * 8, 0)[0] == -1
     assert C.read_value(b"\xc2", 0)[0] is False
     inv = inventory(spark, {"c": container({1: png()}, [{"TexID": 1, "Slot": "x"}, {"Property": "p"}])})
-    assert rows(inv["bindings"], "obj_type", "slot", "material", "property") == [(1, 0, "", "")]
+    assert rows(inv["bindings"], "obj_type", "slot", "material", "property") == [(1, 0, "", None)]
 
 
 def test_jpeg_and_hdr_dims_agree_with_columns(spark):
@@ -99,6 +99,13 @@ def test_jpeg_and_hdr_dims_agree_with_columns(spark):
         ("JPEG", 0, 0), ("HDR", 0, 0), ("EXR", 0, 0)]
 
 
+def test_hdr_header_lines_of_any_length(spark):
+    long = b"#?RADIANCE\nSOFTWARE=" + b"x" * 70000 + b"\n\n-Y 9 +X 5" + b" " * 2000 + b"\npixels"
+    d = header_dims(F.col("c"))
+    got = spark.createDataFrame([(bytearray(long),)], "c binary").select(d["width"], d["height"]).first()
+    assert tuple(got) == (5, 9)
+
+
 def test_presets_from_trailer_and_text(spark):
     body = b'{"source": "s", "parts": {"100003": {"format": "png", "size": "big"}, "x": {}}, "minMatch": 0.25}'
     mark = b"AssetPreset1"
