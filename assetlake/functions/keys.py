@@ -5,6 +5,11 @@ from pyspark.sql import functions as F
 from assetlake import fixed as K
 
 
+def trim_space(c: Column) -> Column:
+    """Without white space of any script at both ends (F.trim takes only U+0020)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def _names(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -88,7 +93,7 @@ def owner_order(key: Column) -> Column:
 
 def owner_from_token(token: Column) -> Column:
     """Digits, acc<n>, or the first slot whose display name contains the text; else -1."""
-    t = F.lower(F.trim(token))
+    t = F.lower(trim_space(token))
     digits = F.regexp_replace(t, "[^0-9]", "")
     found = F.lit(-1)
     for i in range(len(K.SLOT_NAMES) - 1, -1, -1):
@@ -100,7 +105,7 @@ def owner_from_token(token: Column) -> Column:
 
 def group_token(token: Column) -> Column:
     """Group number named by one list entry (body, g3, 5), NULL when it names none in 0..30."""
-    t = F.lower(F.trim(token))
+    t = F.lower(trim_space(token))
     n = F.regexp_replace(t, "^g", "").try_cast("int")
     g = F.when(t.isin(*K.BODY_WORDS), F.lit(0)).otherwise(n)
     return F.when((g >= 0) & (g <= K.MAX_MASK_GROUP), g)
@@ -108,7 +113,7 @@ def group_token(token: Column) -> Column:
 
 def group_mask(tokens: Column) -> Column:
     """Bit mask of a token array; an empty list or a lone 'all' means no limit (0)."""
-    whole = F.lower(F.trim(F.array_join(tokens, ",")))
+    whole = F.lower(trim_space(F.array_join(tokens, ",")))
     bits = F.aggregate(
         tokens, F.lit(0),
         lambda acc, t: acc.bitwiseOR(F.coalesce(_bit(group_token(t)), F.lit(0))))

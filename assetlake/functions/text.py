@@ -72,7 +72,7 @@ def file_stem(path: Column) -> Column:
 
 def sanitize_name(c: Column) -> Column:
     """Trim, then characters that file systems refuse become '_'."""
-    return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r'[\x00-\x1f"<>|:*?\\/]', "_")
+    return F.regexp_replace(keys.trim_space(F.coalesce(c, F.lit(""))), r'[\x00-\x1f"<>|:*?\\/]', "_")
 
 
 def preset_file_name(custom: Column, container: Column, ext: str = "png") -> Column:
@@ -84,7 +84,7 @@ def preset_file_name(custom: Column, container: Column, ext: str = "png") -> Col
 
 def norm_format(c: Column) -> Column:
     """Format words; empty is auto, unknown words stay."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    t = F.lower(keys.trim_space(F.coalesce(c, F.lit(""))))
     out = F.when(t == "", F.lit("auto"))
     for word, fmt in K.FORMAT_WORDS.items():
         out = out.when(t == word, F.lit(fmt))
@@ -93,27 +93,28 @@ def norm_format(c: Column) -> Column:
 
 def norm_size(c: Column, default: int = 1024) -> Column:
     """Size words; 'no scaling' words are 0, junk and empty take the default."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = keys.trim_space(F.coalesce(c, F.lit("")))
     return (F.when(t.isin(*K.NO_SCALING_WORDS), F.lit(0))
             .otherwise(F.coalesce(t.try_cast("int"), F.lit(default))))
 
 
 def parse_rule_spec(df: DataFrame, c: str, default_size: int = 1024) -> DataFrame:
-    """Explode ``owner:format:size,...`` to one row per owner, last entry of a text wins.
-
-    Works inside each row (the text is its own group), so no shuffle is needed."""
-    part = F.posexplode(F.split(F.col(c), ","))
-    cols = [x for x in df.columns]
-    rows = df.select(*cols, part.alias("_pos", "_part")).where(F.trim("_part") != "")
-    field = F.split(F.trim("_part"), ":")
-    rows = rows.select(
-        *cols, "_pos",
-        keys.owner_from_token(F.element_at(field, 1)).alias("owner_key"),
-        norm_format(F.get(field, F.lit(1))).alias("format"),
-        norm_size(F.get(field, F.lit(2)), default_size).alias("size"),
-    ).where(F.col("owner_key") >= 0)
-    last = rows.groupBy(*cols, "owner_key").agg(F.max_by(F.struct("format", "size"), "_pos").alias("_r"))
-    return last.select(*cols, "owner_key", "_r.format", "_r.size")
+    """Explode ``owner:format:size,...`` to one row per owner, last entry of a text wins; an empty text or the word
+    all gives the default rule to every clothes slot; NULL gives no rows.
+
+    Everything happens inside the row, so nothing is shuffled and equal rows stay apart."""
+    entry = F.transform(F.split(F.col(c), ","), lambda x: F.split(keys.trim_space(x), ":"))
+    one = F.transform(entry, lambda f: F.struct(
+        keys.owner_from_token(F.element_at(f, 1)).alias("owner_key"), norm_format(F.get(f, F.lit(1))).alias("format"),
+        norm_size(F.get(f, F.lit(2)), default_size).alias("size"), (F.array_join(f, ":") != "").alias("named")))
+    one = F.filter(one, lambda e: e["named"] & (e["owner_key"] >= 0))
+    every = F.array(*[F.struct(F.lit(i).alias("owner_key"), F.lit("auto").alias("format"), F.lit(1024).alias("size"),
+                               F.lit(True).alias("named")) for i in range(len(K.SLOT_TOKENS))])
+    entries = F.when(F.lower(keys.trim_space(F.col(c))).isin("", "all"), every).otherwise(one)
+    rows = df.select(*df.columns, entries.alias("_e"))
+    last = F.filter("_e", lambda e, i: ~F.exists(F.slice(F.col("_e"), i + 2, F.size("_e")), lambda f: f["owner_key"] == e["owner_key"]))
+    rows = rows.select(*df.columns, F.explode(last).alias("_r"))
+    return rows.select(*df.columns, "_r.owner_key", "_r.format", "_r.size")
 
 
 def rc_text(c: Column) -> Column:
@@ -131,10 +132,9 @@ def _regex_quote(s: str) -> str:
 def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
     """P20: whole-string hit, else left-to-right longest match, pattern rules first, else unchanged.
 
-    ``terms`` is a glossary (source -> target, size checked below); ``patterns`` are
-    (regex with one group, replacement prefix) pairs tried before the glossary at every position."""
-    if len(terms) > 20000:
-        raise ValueError("glossary too large for an inline expression; split it by language")
+    ``terms`` is a glossary (source -> target) that becomes part of the plan; ``translate_glossary`` takes one of any size
+    as a table. ``patterns`` are (regex with one group, replacement prefix) pairs tried before the glossary at every
+    position."""
     words = sorted((k for k in terms if k), key=len, reverse=True)
     rules = [p for p, _ in patterns]
     keys_re = "|".join(rules + [_regex_quote(w) for w in words])
@@ -151,10 +151,35 @@ def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(token), 0), one), "")
 
 
+def translate_glossary(df: DataFrame, key: str, c: str, terms: DataFrame) -> DataFrame:
+    """P20 for a glossary table (source, target) of any size: (key, translated), one row for each distinct key.
+
+    Every stretch of a text as long as some source meets the glossary in an equi join; of the hits of one text, which are
+    at most one for each position, the leftmost are taken in turn. Texts move only as the hits' positions."""
+    terms = terms.where(F.col("source") != "").groupBy("source").agg(F.max("target").alias("target"))
+    texts = df.select(F.col(key).alias("_k"), F.col(c).alias("_t")).dropDuplicates(["_k"])
+    lengths = terms.groupBy(F.length("source").alias("_len")).agg(F.count(F.lit(1)).alias("_n")).agg(F.collect_list("_len")).scalar()
+    at = F.explode(F.sequence(F.lit(1), F.length("_t")))
+    probes = texts.where(F.length("_t") > 0).withColumn("_l", lengths).select("_k", "_t", "_l", at.alias("_at"))
+    probes = probes.select("_k", "_at", F.explode("_l").alias("_n"), "_t").where(F.col("_at") + F.col("_n") - 1 <= F.length("_t"))
+    probes = probes.select("_k", "_at", "_n", F.expr("substring(_t, _at, _n)").alias("source"))
+    hits = probes.join(terms, "source").groupBy("_k", "_at").agg(F.max(F.struct("_n", "target")).alias("h"))
+    hits = hits.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_at", "h._n", "h.target"))).alias("_h"))
+    j = texts.join(hits, "_k", "left")
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+    def take(state, hit):
+        gap = F.substring(F.col("_t"), state["at"], hit["_at"] - state["at"])
+        return F.when(hit["_at"] < state["at"], state).otherwise(F.struct(
+            (hit["_at"] + hit["_n"]).alias("at"), F.concat(state["out"], gap, hit["target"]).alias("out")))
+    done = F.aggregate("_h", start, take, lambda s: F.concat(s["out"], F.col("_t").substr(s["at"], F.length("_t"))))
+    return j.select(F.col("_k").alias(key), F.coalesce(done, F.col("_t")).alias("translated"))
+
+
 # ---- fixed values: script range, and the two shapes of "script then ASCII name" ({s} is the script range) ----
 CJK = "\\u4e00-\\u9fff"
-TAIL_PATTERN = "^[\\u3000-\\u303f{s}()（）\\s]*\\s([A-Za-z][A-Za-z0-9_\\-]*(?:\\s[A-Za-z0-9_\\-]+)*)$"
-FRAGMENT_PATTERN = "[{s}][{s}\\u3000()（）/\\u00b7\\s]*?\\s([A-Za-z][A-Za-z0-9_\\-]{1,})"
+TAIL_PATTERN = "(?U)^[\\u3000-\\u303f{s}()（）\\s]*\\s([A-Za-z][A-Za-z0-9_\\-]*(?:\\s[A-Za-z0-9_\\-]+)*)$"
+FRAGMENT_PATTERN = "(?U)[{s}][{s}\\u3000()（）/\\u00b7\\s]*?\\s([A-Za-z][A-Za-z0-9_\\-]{1,})"
 
 
 def has_cjk(c: Column, char_class: str = CJK) -> Column:

@@ -22,7 +22,7 @@ def _first_list(df: DataFrame, col):
 
 
 def asset_profile(bindings: DataFrame, owner_rules: DataFrame = None, mask: int = 0, only=None,
-                  with_owners: bool = False) -> DataFrame:
+                  with_owners: bool = False, runs: DataFrame = None) -> DataFrame:
     """Everything rule resolution needs to know about an asset, in one exchange on its key.
 
     All aggregates ignore duplicates and combine on the map side, so a hot asset costs one small
@@ -43,7 +43,7 @@ def asset_profile(bindings: DataFrame, owner_rules: DataFrame = None, mask: int
     if with_owners:
         aggs.append(F.array_sort(F.collect_set("owner_key")).alias("owners"))
     if owner_rules is not None:
-        b = b.join(owner_rules.select("owner_key", F.col("rule").alias("_r")), "owner_key", "left")
+        b = _with_owner_rule(b, owner_rules, runs)
         aggs += _merge_aggs()
     out = b.groupBy(*ASSET_KEY).agg(*aggs)
     out = out.withColumn("class", C.class_at(F.col("class_rank")))
@@ -51,6 +51,18 @@ def asset_profile(bindings: DataFrame, owner_rules: DataFrame = None, mask: int
     return _finish_merge(out) if owner_rules is not None else out
 
 
+def _with_owner_rule(b: DataFrame, owner_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
+    """Bindings with the rule of their owner (_r). Rules of several presets carry preset_id; then ``runs`` (container_id,
+    preset_id; one preset a container) says which preset's rules a container takes."""
+    if "preset_id" not in owner_rules.columns:
+        return b.join(owner_rules.select("owner_key", F.col("rule").alias("_r")), "owner_key", "left")
+    if runs is None:
+        raise ValueError("owner rules of several presets need runs: container_id, preset_id")
+    b = b.join(runs.select("container_id", F.col("preset_id").alias("_p")), "container_id", "left")
+    r = owner_rules.select(F.col("preset_id").alias("_p"), "owner_key", F.col("rule").alias("_r"))
+    return b.join(r, ["_p", "owner_key"], "left").drop("_p")
+
+
 def _merge_aggs():
     """R2 as duplicate-insensitive aggregates over (asset, owner rule) rows."""
     r = F.col("_r")
@@ -84,18 +96,18 @@ def _finish_merge(df: DataFrame) -> DataFrame:
                    "_gray", "_gray2", "_gray_follow", "_up")
 
 
-def merge_owner_rules(owners: DataFrame, owner_rules: DataFrame) -> DataFrame:
+def merge_owner_rules(owners: DataFrame, owner_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
     """R2: one conservative rule per asset from the rules of all its owners.
 
     owners: container_id, asset_id, owner_key. owner_rule is NULL where an owner has no rule or keeps."""
-    rows = owners.join(owner_rules.select("owner_key", F.col("rule").alias("_r")), "owner_key", "left")
+    rows = _with_owner_rule(owners, owner_rules, runs)
     agg = rows.groupBy(*ASSET_KEY).agg(
         F.min("owner_key").alias("min_owner"), F.max("owner_key").alias("max_owner"), *_merge_aggs())
     return _finish_merge(agg)
 
 
 def with_props(assets: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Assets with their distinct property names (missing -> empty array)."""
+    """Assets with their distinct property names (no binding -> empty array); a binding without one (NULL) adds none."""
     props = bindings.groupBy(*ASSET_KEY).agg(
         F.array_sort(F.collect_set(_first_list(bindings, F.col("property")))).alias("props"))
     return assets.join(props, ASSET_KEY, "left").withColumn(
@@ -103,8 +115,8 @@ def with_props(assets: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def asset_props(bindings: DataFrame) -> DataFrame:
-    """A4: distinct property names per asset, long form."""
-    return bindings.select(*ASSET_KEY, "property").distinct()
+    """A4: distinct property names per asset, long form; bindings without one (NULL) add none."""
+    return bindings.select(*ASSET_KEY, "property").where(F.col("property").isNotNull()).distinct()
 
 
 def orphans(assets: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -22,18 +22,29 @@ def sig_overlap(a, b):
     return F.size(F.array_intersect(a, b))
 
 
-def match_score(preset_sigs: DataFrame, container_sigs: DataFrame) -> DataFrame:
+def empty_presets(presets: DataFrame, preset_sigs: DataFrame, containers: DataFrame, by=("rel_dir", "kind")) -> DataFrame:
+    """A preset without signatures scores 1 on every container of its place (``by``). Such a preset fits every
+    container there, so their number is the number of fits, not of pairs looked at."""
+    bare = presets.join(preset_sigs.select("preset_id").distinct(), "preset_id", "left_anti").select("preset_id", *by)
+    fits = containers.select("container_id", *by).join(bare, list(by))
+    zero = F.lit(0).cast("long")
+    return fits.select("preset_id", "container_id", zero.alias("n_hits"), zero.alias("n_sigs"), F.lit(1.0).alias("score"))
+
+
+def match_score(preset_sigs: DataFrame, container_sigs: DataFrame, presets: DataFrame = None, containers: DataFrame = None,
+                by=("rel_dir", "kind")) -> DataFrame:
     """Share of a preset's signatures found on a container, for every pair with a common one.
 
-    Pairs that share nothing score 0 and are left out (their number is presets x containers); an empty
-    preset scores 1 everywhere, see ``score_against``. Signatures are an equi-join key, the count
+    Pairs that share nothing score 0 and are left out (their number is presets x containers). With ``presets`` and
+    ``containers``, presets without signatures score 1 on the containers of their place. Signatures are an equi-join key, the count
     combines on the map side, and a signature on every container is split by adaptive skew handling."""
     p = preset_sigs.select("preset_id", "sig").distinct()
     c = container_sigs.select("container_id", "sig").distinct()
     n = p.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n_sigs"))
     hits = c.join(p, "sig").groupBy("preset_id", "container_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    return hits.join(n, "preset_id").select(
+    out = hits.join(n, "preset_id").select(
         "preset_id", "container_id", "n_hits", "n_sigs", (F.col("n_hits") / F.col("n_sigs")).alias("score"))
+    return out if presets is None else out.unionByName(empty_presets(presets, p, containers, by))
 
 
 def score_against(containers: DataFrame, container_sigs: DataFrame, preset_sigs: DataFrame) -> DataFrame:
@@ -54,7 +65,7 @@ def similar_containers(presets: DataFrame, preset_sigs: DataFrame, containers: D
                        min_match: float = 0.5) -> DataFrame:
     """Containers of a preset's directory and kind that hold at least ``min_match`` of its signatures.
 
-    presets: preset_id, rel_dir, kind; containers: container_id, rel_dir, kind; both sig tables long form.
+    A preset without signatures fits every container of its place. presets: preset_id, rel_dir, kind; containers: container_id, rel_dir, kind; both sig tables long form.
 
     Exact prefix filter: a container that holds >= need of a preset's n signatures holds at least one of
     any n - need + 1 of them, so only the preset's rarest signatures generate candidates. Rarity is taken
@@ -66,7 +77,7 @@ def similar_containers(presets: DataFrame, preset_sigs: DataFrame, containers: D
     # fingerprint of a whole set: order-free, 2 x 64 bits plus the size
     mark = sigs.groupBy("container_id").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("h1"),
-        F.bit_xor(F.xxhash64("sig", F.lit(7))).alias("h2"))
+        F.bit_xor(F.xxhash64(F.lit(7), "sig")).alias("h2"))
     named = containers.select("container_id", *place).join(mark, "container_id")
     same = place + ["n", "h1", "h2"]
     reps = named.groupBy(*same).agg(F.min("container_id").alias("rep"))
@@ -89,8 +100,9 @@ def similar_containers(presets: DataFrame, preset_sigs: DataFrame, containers: D
     hits = (cand.join(own.select("preset_id", "sig", "n_sigs"), "preset_id").join(rep_sigs.select("rep", "sig"), ["rep", "sig"])
             .groupBy("preset_id", "rep", "n_sigs").agg(F.count(F.lit(1)).alias("n_hits")))
     hits = hits.where(F.col("n_hits") >= need)
-    return hits.join(members, "rep").select(
+    found = hits.join(members, "rep").select(
         "preset_id", "container_id", "n_hits", "n_sigs", (F.col("n_hits") / F.col("n_sigs")).alias("score"))
+    return found.unionByName(empty_presets(presets, preset_sigs, containers, place))
 
 
 def route_containers(scored: DataFrame, preset_kind: str, min_match=0.5, force: bool = False,
@@ -267,10 +279,15 @@ def apply_preset_assets(assets: DataFrame, sigs: DataFrame, asset_rules: DataFra
 
 
 def preset_counts(asset_rules: DataFrame, sigs: DataFrame, assets: DataFrame, runs: DataFrame = None) -> DataFrame:
-    """R21 counters per preset and container: hits (asset x rule) and rules without any target."""
+    """R21 counters per preset and container: hits (asset x rule) and rules without any target. With ``runs``
+    (container_id, preset_id) a container without any hit has its row too: no hit, all rules missed."""
     hits = _any_match(assets, sigs, asset_rules, runs).distinct()
     per = hits.groupBy("container_id", "preset_id").agg(
         F.count(F.lit(1)).alias("n_hits"), F.count_distinct("rule_no").alias("_found"))
     total = asset_rules.groupBy("preset_id").agg(F.count_distinct("rule_no").alias("_rules"))
+    if runs is not None:
+        per = runs.select("container_id", "preset_id").distinct().join(per, ["container_id", "preset_id"], "left")
+    zero = F.lit(0).cast("long")
     return per.join(total, "preset_id").select(
-        "container_id", "preset_id", "n_hits", (F.col("_rules") - F.col("_found")).alias("n_missed"))
+        "container_id", "preset_id", F.coalesce("n_hits", zero).alias("n_hits"),
+        (F.col("_rules") - F.coalesce("_found", zero)).alias("n_missed"))

@@ -40,13 +40,15 @@ def plan_rule(plan: dict, cls: Column) -> Column:
 def rules_by_class(assets: DataFrame, plan: DataFrame) -> DataFrame:
     """The rule of the asset's class; a class the plan does not name gives NULL.
 
-    One plan has at most nine rows (one per known class, enforced here), so it is broadcast and assets
-    keep their partitioning: shuffling by class would put a third of them into one task. With several
-    plans (plan_id) every asset meets every plan through the class key, and Spark decides by size."""
+    A plan has a row for each class, those that a caller defines included; a class named twice is an error. Plans are
+    small, so Spark broadcasts them by their size. With several plans (plan_id) every asset meets every plan through the
+    class key."""
     if "plan_id" in plan.columns:
         return assets.join(plan.select("plan_id", "class", F.col("rule").alias("class_rule")), "class", "left")
-    known = plan.where(F.col("class").isin(*K.CLASS_ORDER)).groupBy("class").agg(F.first("rule").alias("class_rule"))
-    return assets.join(F.broadcast(known), "class", "left")
+    twice = F.raise_error(F.concat(F.lit("the plan names a class twice: "), F.col("class")))
+    known = plan.groupBy("class").agg(F.max("rule").alias("class_rule"), F.count(F.lit(1)).alias("_n"))
+    known = known.select("class", F.when(F.col("_n") > 1, twice).otherwise(F.col("class_rule")).alias("class_rule"))
+    return assets.join(known, "class", "left")
 
 
 def is_noop(plan: DataFrame, by=("plan_id",)) -> DataFrame:
@@ -64,16 +66,17 @@ def lint_plan(plan: DataFrame, sharpen_pct: Column, by=("plan_id",)) -> DataFram
 
 def resolve_rules(assets: DataFrame, bindings: DataFrame, plan: DataFrame = None, only=None, mask: int = 0,
                   owner_rules: DataFrame = None, asset_hits: DataFrame = None, routes: DataFrame = None,
-                  extra=()) -> DataFrame:
+                  extra=(), runs: DataFrame = None) -> DataFrame:
     """One rule per asset; later layers win.
 
     class plan -> allow-list (only without a class rule) -> group mask forces keep -> uniform rule of a
     forced container -> merged owner rule (not in uniform mode) -> preset asset rule (not when forced).
 
-    bindings carry owner_key; owner_rules: owner_key, rule; asset_hits: output of merge_preset_hits;
+    bindings carry owner_key; owner_rules: owner_key, rule, and preset_id with ``runs`` (container_id, preset_id) where
+    containers take the rules of different presets; asset_hits: output of merge_preset_hits;
     routes: container_id, action, uniform. Bindings are exchanged once on the asset key, which is also
     the join key of every later layer. Adds class, exclusive, min_owner, rule, keep, source, reason."""
-    p = asset_profile(bindings, owner_rules, mask, only).withColumn("_bound", F.lit(True))
+    p = asset_profile(bindings, owner_rules, mask, only, runs=runs).withColumn("_bound", F.lit(True))
     df = assets.join(p, ASSET_KEY, "left").withColumn("class", F.coalesce("class", F.lit("other")))
     df = df.withColumn("risky", F.coalesce("risky", F.lit(False)))
     df = df.withColumn("exclusive", F.coalesce("exclusive", F.lit(False)))

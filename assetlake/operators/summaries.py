@@ -51,19 +51,20 @@ def part_summary(bindings: DataFrame, assets: DataFrame, materials: bool = False
     """Per container and owner; an asset counts once per owner, exclusive means one owner only.
 
     Owner sets are built once per asset (map-side combined, bounded by the owner keys of a container),
-    meet the asset sizes on the same key and are spread again, so bindings are exchanged once.
-    ``materials`` adds the sorted names (bounded by one owner's binding list inside one container)."""
+    meet the asset sizes on the same key and are spread again, so bindings are exchanged once. An owner whose bindings
+    only name assets that are not there keeps its row with zeros. ``materials`` adds the sorted names that are not empty (bounded by one owner's binding list inside one container)."""
     sets = bindings.groupBy(*ASSET_KEY).agg(F.collect_set("owner_key").alias("_owners"))
-    sized = assets.select(*ASSET_KEY, "n_bytes").join(sets, ASSET_KEY)
-    sized = sized.select("container_id", "n_bytes", (F.size("_owners") == 1).alias("exclusive"),
+    sized = sets.join(assets.select(*ASSET_KEY, "n_bytes", F.lit(1).alias("_there")), ASSET_KEY, "left")
+    alone = (F.size("_owners") == 1) & F.col("_there").isNotNull()
+    sized = sized.select("container_id", "n_bytes", "_there", alone.alias("exclusive"),
                          F.explode("_owners").alias("owner_key"))
     own = F.when(F.col("exclusive"), F.col("n_bytes")).otherwise(F.lit(0))
     out = sized.groupBy("container_id", "owner_key").agg(
-        F.count(F.lit(1)).alias("n_assets"), F.sum("n_bytes").alias("n_bytes"),
-        F.count_if("exclusive").alias("own_count"), F.sum(own).alias("own_bytes"))
+        F.count("_there").alias("n_assets"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"),
+        F.count_if("exclusive").alias("own_count"), F.coalesce(F.sum(own), F.lit(0)).alias("own_bytes"))
     if materials:
         mats = bindings.groupBy("container_id", "owner_key").agg(
-            F.array_join(F.array_sort(F.collect_set("material")), ",").alias("materials"))
+            F.array_join(F.array_sort(F.collect_set(F.nullif("material", F.lit("")))), ",").alias("materials"))
         out = out.join(mats, ["container_id", "owner_key"], "left")
     return out
 

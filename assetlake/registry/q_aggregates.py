@@ -36,6 +36,12 @@ def a4(v):
     return A.asset_props(v.bindings)
 
 
+@query("A4_asset_props_missing", "SELECT DISTINCT container_id, asset_id, property FROM V_bindings WHERE slot <> 2")
+def a4_missing(v):
+    """Bindings of slot 2 have no property."""
+    return A.asset_props(v.bindings.withColumn("property", F.when(F.col("slot") != 2, F.col("property"))))
+
+
 @query("A5_asset_owners", """
 SELECT container_id, asset_id, array_to_string(list_sort(list_distinct(list(owner_key))), ',') AS owners,
   CAST(count(DISTINCT owner_key) AS INT) AS n_owners, count(DISTINCT owner_key) > 1 AS shared FROM V_bindings GROUP BY ALL""")
@@ -74,6 +80,25 @@ def a8(v):
     return S.part_summary(v.bindings, v.assets, materials=True)
 
 
+@query("A8_part_summary_gaps", """
+WITH b AS (SELECT container_id, CASE WHEN slot = 5 THEN -asset_id ELSE asset_id END AS asset_id, owner_key,
+  CASE WHEN slot = 3 THEN '' ELSE material END AS material FROM V_bindings),
+o AS (SELECT DISTINCT container_id, asset_id, owner_key FROM b),
+k AS (SELECT container_id, asset_id, count(*) AS k FROM o GROUP BY ALL),
+m AS (SELECT container_id, owner_key, coalesce(string_agg(material, ',' ORDER BY material), '') AS materials
+  FROM (SELECT DISTINCT container_id, owner_key, CASE WHEN material <> '' THEN material END AS material FROM b) GROUP BY ALL)
+SELECT container_id, owner_key, count(n_bytes) AS n_assets, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS n_bytes,
+  count(n_bytes) FILTER (WHERE k = 1) AS own_count, CAST(coalesce(sum(n_bytes) FILTER (WHERE k = 1), 0) AS BIGINT) AS own_bytes,
+  any_value(materials) AS materials
+FROM o JOIN k USING (container_id, asset_id) JOIN m USING (container_id, owner_key) LEFT JOIN V_assets USING (container_id, asset_id)
+GROUP BY container_id, owner_key""")
+def a8_gaps(v):
+    """Slot 5 names assets that are not there, slot 3 has empty material names."""
+    b = v.bindings.withColumn("asset_id", F.when(F.col("slot") == 5, -F.col("asset_id")).otherwise(F.col("asset_id")))
+    b = b.withColumn("material", F.when(F.col("slot") == 3, F.lit("")).otherwise(F.col("material")))
+    return S.part_summary(b, v.assets, materials=True)
+
+
 @query("A9_group_summary", """
 SELECT container_id, owner_key // 100000 - 1 AS group_no, 'part' AS level, owner_key, CAST(1 AS BIGINT) AS n_parts, n_assets, n_bytes
 FROM V_gparts UNION ALL

@@ -186,7 +186,7 @@ def g7(v):
 
 @query("G8_blockiness", """
 WITH d AS (SELECT img_id, y, x, abs(v - lag(v) OVER (PARTITION BY img_id, y ORDER BY x)) AS dh,
-  abs(v - lag(v) OVER (PARTITION BY img_id, x ORDER BY y)) AS dv, max(y) OVER (PARTITION BY img_id) + 1 AS h FROM V_mosaic),
+  ((v * 256) >> ((8 - 256 * lag(v) OVER (PARTITION BY img_id, x ORDER BY y)) & 31)) >> 8 AS dv, max(y) OVER (PARTITION BY img_id) + 1 AS h FROM V_mosaic),
 s AS (SELECT img_id, h, dh AS e, x % 8 = 0 AS edge FROM d WHERE y >= 4 AND x >= 8 AND x % 8 = 0 UNION ALL
   SELECT img_id, h, dh, false FROM d WHERE y >= 4 AND x >= 12 AND x % 8 = 4 UNION ALL
   SELECT img_id, h, dv, true FROM d WHERE x >= 4 AND y >= 8 AND y % 8 = 0 UNION ALL
@@ -197,6 +197,20 @@ def g8(v):
     return G.blockiness(v.mosaic).withColumn("blockiness", F.round("blockiness", 6))
 
 
+@query("G8_blockiness_luminance", """
+WITH d AS (SELECT img_id, y, x, abs(v - lag(v) OVER (PARTITION BY img_id, y ORDER BY x)) AS dh,
+  abs(v - lag(v) OVER (PARTITION BY img_id, x ORDER BY y)) AS dv, max(y) OVER (PARTITION BY img_id) + 1 AS h FROM V_mosaic),
+s AS (SELECT img_id, h, dh AS e, x % 8 = 0 AS edge FROM d WHERE y >= 4 AND x >= 8 AND (y - 4) % 2 = 0 AND x % 8 = 0 UNION ALL
+  SELECT img_id, h, dh, false FROM d WHERE y >= 4 AND x >= 12 AND (y - 4) % 2 = 0 AND x % 8 = 4 UNION ALL
+  SELECT img_id, h, dv, true FROM d WHERE x >= 4 AND y >= 8 AND (x - 4) % 3 = 0 AND y % 8 = 0 UNION ALL
+  SELECT img_id, h, dv, false FROM d WHERE x >= 4 AND y >= 12 AND (x - 4) % 3 = 0 AND y % 8 = 4)
+SELECT img_id, round(CASE WHEN max(h) < 32 THEN 0.0 ELSE avg(e) FILTER (WHERE edge) - avg(e) FILTER (WHERE NOT edge) END, 6) AS blockiness
+FROM s GROUP BY 1""")
+def g8_luminance(v):
+    """Luminance in both halves, every second row and third column."""
+    return G.blockiness(v.mosaic, 2, 3, compat_shift=False).withColumn("blockiness", F.round("blockiness", 6))
+
+
 def _box2(name, table, cols):
     def axis(src, vary, hold):
         return (f"SELECT c.img_id, c.y, c.x, {', '.join(f'sum(s.{n}) / 3.0::DOUBLE AS {n}' for n in cols)} FROM {src} c CROSS JOIN taps "

@@ -6,10 +6,11 @@ from assetlake.operators import assets as A
 from assetlake.operators import presets as P
 from assetlake.operators import summaries as S
 from assetlake.operators.outcomes import compare_results
-from assetlake.operators.resolve import clear_overrides, rules_by_class
+from assetlake.operators.resolve import clear_overrides, literal_rows, rules_by_class
 from assetlake.registry import sqltext as T
 from assetlake.registry.core import query
 from assetlake.registry.rules_data import ASSET_RULES_SQL, HITS_SQL, asset_rules, plan_quality, runs
+from assetlake.schemas import RULE
 
 
 @query("J1_with_props", """
@@ -74,6 +75,17 @@ def j6(v):
                      F.col("class_rule.size").alias("size"))
 
 
+@query("J6_own_classes", """
+SELECT p_partkey, p_type, CASE p_type WHEN 'PROMO' THEN 'jpeg' WHEN 'LARGE' THEN 'keep' END AS format,
+  CASE p_type WHEN 'PROMO' THEN 512 WHEN 'LARGE' THEN 0 END AS size FROM part""")
+def j6_own(v):
+    """A plan with classes of the caller's own."""
+    plan = literal_rows(v.spark, [{"class": "PROMO", "rule": {"format": "jpeg", "size": 512}}, {"class": "LARGE", "rule": {"format": "keep", "size": 0}}],
+                        f"class:string,rule:{RULE}")
+    df = rules_by_class(v.part.select("p_partkey", "p_type", F.col("p_type").alias("class")), plan)
+    return df.select("p_partkey", "p_type", F.col("class_rule.format").alias("format"), F.col("class_rule.size").alias("size"))
+
+
 @query("J8_match_asset_rules", f"WITH {HITS_SQL} SELECT container_id, asset_id, preset_id, rule_no FROM hits")
 def j8(v):
     return P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
@@ -99,6 +111,23 @@ def j10(v):
     return out.withColumn("score", F.round("score", 9))
 
 
+@query("J10_empty_presets", """
+SELECT 'bare' || r_regionkey AS preset_id, s_suppkey AS container_id, CAST(0 AS BIGINT) AS n_hits, CAST(0 AS BIGINT) AS n_sigs,
+  CAST(1.0 AS DOUBLE) AS score FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
+WHERE s_acctbal >= 3000""")
+def j10_empty(v):
+    """A preset without signatures fits every container of its directory and kind, and no other."""
+    c = _places(v)
+    p = v.region.select(F.concat(F.lit("bare"), "r_regionkey").alias("preset_id"), F.col("r_regionkey").alias("rel_dir"), F.lit("clothes").alias("kind"))
+    return P.match_score(v.preset_sigs.where("preset_id = 'none'"), S.fingerprint(v.bindings), p, c)
+
+
+def _places(v):
+    return v.supplier.join(v.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("container_id"), F.col("n_regionkey").alias("rel_dir"),
+        F.when(F.col("s_acctbal") < 3000, "chara").otherwise("clothes").alias("kind"), "s_acctbal")
+
+
 # directory = region of the supplier, kind by its balance; in every directory and kind the container
 # with the lowest balance is the one a preset was saved from
 _J11_MIN = 0.3
@@ -114,9 +143,7 @@ SELECT preset_id, container_id, n_hits, n_sigs, round(n_hits / n_sigs, 9) AS sco
   JOIN V_csigs sb ON sb.sig = sa.sig JOIN c ON c.container_id = sb.container_id AND c.rel_dir = p.rel_dir AND c.kind = p.kind GROUP BY ALL)
 JOIN n USING (preset_id) WHERE n_hits >= ceil(n_sigs * {_J11_MIN} - 1e-9)""")
 def j11(v):
-    c = v.supplier.join(v.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("container_id"), F.col("n_regionkey").alias("rel_dir"),
-        F.when(F.col("s_acctbal") < 3000, "chara").otherwise("clothes").alias("kind"), "s_acctbal")
+    c = _places(v)
     p = c.groupBy("rel_dir", "kind").agg(F.min(F.struct("s_acctbal", "container_id")).alias("m")).select(
         F.col("m.container_id").alias("preset_id"), "rel_dir", "kind")
     sigs = S.fingerprint(v.bindings)

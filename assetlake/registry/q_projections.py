@@ -172,6 +172,28 @@ def p13(v):
     return text.parse_rule_spec(x.select("l_orderkey", spec.alias("spec")), "spec").drop("spec")
 
 
+@query("P12_norm_spaces", """
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' ELSE 'keep' END AS format, p_size AS size, p_size % 9 AS owner_key FROM part""")
+def p12_spaces(v):
+    """White space of other kinds around the words: tab, no-break and ideographic space, line feed."""
+    n, around = F.col("p_size") % 3, lambda c: F.concat(F.lit("\t\u3000"), c, F.lit("\u00a0\n "))
+    word = F.when(n == 0, F.lit("JPG")).when(n == 1, F.lit("png")).otherwise(F.lit("原样"))
+    return v.part.select("p_partkey", text.norm_format(around(word)).alias("format"), text.norm_size(around(F.col("p_size").cast("string"))).alias("size"),
+                         keys.owner_from_token(around((F.col("p_size") % 9).cast("string"))).alias("owner_key"))
+
+
+@query("P13_parse_rule_spec_whole", """
+WITH o AS (SELECT o_orderstatus, o_custkey FROM orders),
+e AS (SELECT o_orderstatus, o_custkey, unnest(range(0, 9))::INT AS owner_key, 'auto' AS format, 1024 AS size FROM o WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT o_orderstatus, o_custkey, unnest([2, 1003])::INT, 'jpeg', 77 FROM o WHERE o_orderstatus = 'P')
+SELECT o_orderstatus, o_custkey, owner_key, format, size, count(*) AS n FROM e GROUP BY ALL""")
+def p13_whole(v):
+    """Empty and all name every clothes slot; equal input rows (one for each order) stay apart."""
+    spec = F.when(F.col("o_orderstatus") == "F", F.lit(" ALL\t")).when(F.col("o_orderstatus") == "O", F.lit(" ")).otherwise(F.lit("2:png:5, acc3:jpg:77,,2:jpeg:77"))
+    e = text.parse_rule_spec(v.orders.select("o_orderstatus", "o_custkey", spec.alias("spec")), "spec")
+    return e.groupBy("o_orderstatus", "o_custkey", "owner_key", "format", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("P14_group_mask", """
 SELECT c.container_id, c.mask, count(*) AS n_assets, count(*) FILTER (WHERE c.mask = 0 OR o.bits & ~c.mask = 0) AS n_inside FROM (
   SELECT s_suppkey AS container_id, CASE s_nationkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 + 32 WHEN 2 THEN 1 + 2 + 4
@@ -252,6 +274,25 @@ def p20(v):
         "doc_id", F.md5(F.encode("t", "utf-8")).alias("digest"), F.length("t").alias("n_chars"))
 
 
+@query("P20_translate_glossary", """
+SELECT o_orderkey, coalesce('[' || upper(c_name) || ']', 'nobody') || ' for ' || CASE o_orderpriority[1:1] WHEN '1' THEN 'now' WHEN '2' THEN 'soon'
+  ELSE o_orderpriority END AS translated FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def p20_table(v):
+    """A glossary as a table, one term for each customer and two more; the longest term at a place wins."""
+    c = v.customer.select(F.concat(F.lit("<"), F.col("c_custkey").cast("string"), F.lit(">")).alias("source"),
+                          F.concat(F.lit("["), F.upper("c_name"), F.lit("]")).alias("target"))
+    more = v.spark.createDataFrame([("1-URGENT", "now"), ("2-HIGH", "soon"), ("<", "?"), ("", "never")], "source string, target string")
+    t = v.orders.select("o_orderkey", F.concat(F.lit("<"), F.col("o_custkey").cast("string"), F.lit("> for "), "o_orderpriority").alias("t"))
+    return text.translate_glossary(t, "o_orderkey", "t", c.unionByName(more))
+
+
+@query("P21_strip_tail", "SELECT p_partkey, p_name AS tail, p_name || '!' AS fragment FROM part")
+def p21_tail(v):
+    """An ideographic space stands between script and name."""
+    return v.part.select("p_partkey", text.strip_tail(F.concat(F.lit("上衣\u3000"), "p_name")).alias("tail"),
+                         text.strip_tail(F.concat(F.lit("见 上衣\u3000"), "p_name", F.lit("!"))).alias("fragment"))
+
+
 @query("P21_has_script", r"""
 SELECT doc_id, regexp_matches(text, '[à-ÿ]') AS has_script, md5(CASE
   WHEN regexp_matches(text, '[à-ÿ]') THEN regexp_replace(text, '[à-ÿ][à-ÿ\x{3000}()（）/\x{00b7} \t\n\f\r\v]*?[ \t\n\f\r\v]([A-Za-z][A-Za-z0-9_\-]{1,})', '\1', 'g')

@@ -11,6 +11,7 @@ from assetlake.operators import summaries as S
 from assetlake.registry import sqltext as T
 from assetlake.registry.core import query
 from assetlake.registry.q_projections import _PROPS_SQL, _props
+from assetlake.schemas import RULE
 from assetlake.registry.rules_data import (
     ASSET_RULES_SQL, HITS_SQL, PLANS_SQL, RUNS_SQL, asset_rules, brand_plans, plan_quality, runs)
 
@@ -94,6 +95,22 @@ def r2(v):
                      "owner_rule")
 
 
+@query("R2_two_presets", f"""
+WITH {MERGED}, none AS (SELECT container_id, asset_id, bool_or(slot = 1) AS off FROM V_bindings GROUP BY ALL)
+SELECT container_id, asset_id, CASE WHEN container_id % 2 = 0 THEN n_off = 0 ELSE NOT off END AS enabled,
+  CASE WHEN container_id % 2 = 0 THEN CASE WHEN n_off = 0 THEN format END WHEN NOT off THEN 'png' END AS format,
+  CASE WHEN container_id % 2 = 0 THEN CASE WHEN n_off = 0 THEN size END WHEN NOT off THEN 256 END AS size
+FROM merged JOIN none USING (container_id, asset_id)""")
+def r2_two(v):
+    """Even containers take the rules of one preset, odd ones those of another, which leaves slot 1 alone."""
+    two = R.literal_rows(v.spark, [{"preset_id": "odd", "owner_key": b + s, "rule": {"format": "keep" if s == 1 else "png", "size": 256}}
+                                   for b in (0, 1000, 2000) for s in range(1, 8)], f"preset_id:string,owner_key:int,rule:{RULE}")
+    both = v.owner_rules.select(F.lit("even").alias("preset_id"), "owner_key", "rule").unionByName(two)
+    which = v.supplier.select(F.col("s_suppkey").alias("container_id"), F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd").alias("preset_id"))
+    m = A.merge_owner_rules(v.bindings, both, which)
+    return m.select("container_id", "asset_id", F.col("owner_rule").isNotNull().alias("enabled"), "owner_rule.format", "owner_rule.size")
+
+
 @query("R3_merge_preset_hits", f"WITH {HITS} SELECT container_id, asset_id, format, size, n_hits FROM best")
 def r3(v):
     ar = asset_rules(v)
@@ -310,7 +327,17 @@ def r21b(v):
 
 
 @query("R21_preset_counts", f"""
-WITH {_R21} SELECT container_id, preset_id, n_hits, n - found AS n_missed FROM (SELECT container_id, preset_id, count(*) AS n_hits,
-  count(DISTINCT rule_no) AS found FROM h GROUP BY ALL) JOIN (SELECT preset_id, count(DISTINCT rule_no) AS n FROM ar GROUP BY 1) USING (preset_id)""")
+WITH {_R21} SELECT container_id, preset_id, coalesce(n_hits, 0) AS n_hits, n - coalesce(found, 0) AS n_missed
+FROM runs LEFT JOIN (SELECT container_id, preset_id, count(*) AS n_hits, count(DISTINCT rule_no) AS found FROM h GROUP BY ALL)
+USING (container_id, preset_id) JOIN (SELECT preset_id, count(DISTINCT rule_no) AS n FROM ar GROUP BY 1) USING (preset_id)""")
 def r21c(v):
     return P.preset_counts(asset_rules(v), A.asset_signatures(v.bindings), v.assets, runs(v))
+
+
+@query("R21_preset_counts_no_hit", f"""
+WITH {_R21} SELECT s_suppkey AS container_id, 'Brand#' || (s_nationkey + 1) AS preset_id, CAST(0 AS BIGINT) AS n_hits, n AS n_missed
+FROM supplier JOIN (SELECT preset_id, count(DISTINCT rule_no) AS n FROM ar GROUP BY 1) q ON q.preset_id = 'Brand#' || (s_nationkey + 1)""")
+def r21d(v):
+    """Containers whose assets and signatures no rule names."""
+    far = v.assets.withColumn("asset_id", -F.col("asset_id") - 1)
+    return P.preset_counts(asset_rules(v), A.asset_signatures(v.bindings).withColumn("sig", F.lit("?")), far, runs(v))

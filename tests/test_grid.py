@@ -141,10 +141,31 @@ def test_entropy(spark):
 def test_blockiness_small_is_zero_and_grid_is_positive(spark):
     n = 32
     p = table(spark, {"small": [[0] * 31 for _ in range(31)], "blocky": [[(x // 8 + y // 8) % 2 * 90 for x in range(n)] for y in range(n)]})
-    got = {r.img_id: r.blockiness for r in G.blockiness(p).collect()}
+    got = {r.img_id: r.blockiness for r in G.blockiness(p, compat_shift=False).collect()}
     assert got["small"] == 0 and got["blocky"] == 90
 
 
+def test_blockiness_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    w, h = 40, 300
+    px = rng.integers(0, 256, (h, w, 3)).astype(int)
+    rows = [("i", y, x, *map(int, px[y, x]), 255) for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(rows, "img_id string, y int, x int, r int, g int, b int, a int")
+    weighted = px[:, :, 2] * 28 + px[:, :, 1] * 151 + px[:, :, 0] * 77
+    for compat in (True, False):
+        def step(a, b, vertical):
+            return a >> ((8 - b) & 31) >> 8 if vertical and compat else abs((a >> 8) - (b >> 8))
+        edge, inner = [], []
+        for y in range(4, h):
+            edge += [step(int(weighted[y, x]), int(weighted[y, x - 1]), False) for x in range(8, w, 8)]
+            inner += [step(int(weighted[y, x + 4]), int(weighted[y, x + 3]), False) for x in range(8, w, 8) if x + 4 < w]
+        for x in range(4, w):
+            edge += [step(int(weighted[y, x]), int(weighted[y - 1, x]), True) for y in range(8, h, 8)]
+            inner += [step(int(weighted[y + 4, x]), int(weighted[y + 3, x]), True) for y in range(8, h, 8) if y + 4 < h]
+        got = G.blockiness(df, compat_shift=compat).first().blockiness
+        assert math.isclose(got, sum(edge) / len(edge) - sum(inner) / len(inner), rel_tol=1e-9)
+
+
 def test_process_grid_denoise_only_touches_reduced_images(spark):
     rng = np.random.default_rng(5)
     p = table(spark, {k: rng.integers(0, 256, (16, 16)).tolist() for k in ("same", "half", "grow")})

@@ -71,7 +71,7 @@ def test_detail_cap_filters_before_the_exchange(spark, small):
     assert p.count("WindowGroupLimit") == 2
 
 
-def test_class_plan_is_broadcast_and_assets_are_not_shuffled_by_class(spark):
+def test_class_plan_is_broadcast_by_its_size_and_assets_are_not_shuffled_by_class(spark):
     assets = spark.range(1000).select((F.col("id") % 9).cast("string").alias("class"), "id")
     one = R.builtin_plans(spark).where("plan_id = 'quality'").drop("plan_id")
     p = plan(R.rules_by_class(assets, one))
