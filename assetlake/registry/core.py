@@ -1,6 +1,9 @@
 """Registry: name -> (callable on views, oracle SQL)."""
 import re
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from assetlake.registry.views import CTES, Views
 
 QUERIES, ORACLES = {}, {}
@@ -25,6 +28,14 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def with_place(df, *keys):
+    """Adds the place of each row in the order the rows come in, equal for rows with equal ``keys``: a query that lost its
+    order then differs from its oracle."""
+    n = df.withColumn("_m", F.monotonically_increasing_id())
+    n = n.withColumn("_n", F.row_number().over(Window.orderBy("_m")))
+    return n.withColumn("place", F.min("_n").over(Window.partitionBy(*keys)).cast("long")).drop("_m", "_n")
+
+
 def query(name: str, sql: str = None):
     def wrap(fn):
         if name in QUERIES:

@@ -236,12 +236,14 @@ def g9(v):
 @query("G10_rgbe", """
 SELECT img_id, y, x, round(r * pow(2.0, e - 136), 9) AS linear, CASE WHEN m = 0 THEN 0 ELSE ex + 128 END AS e_back,
   CAST(CASE WHEN m = 0 THEN 0 ELSE floor(r * pow(2.0, e - 136) * 256 / pow(2.0, ex)) END AS INT) AS r_back FROM (
-  SELECT *, CAST(floor(log2(m * pow(2.0, e - 136))) AS INT) + 1 AS ex FROM (
-    SELECT *, greatest(r, g, b) AS m, 120 + a % 16 AS e FROM V_pixels WHERE greatest(r, g, b) > 0))""")
+  SELECT *, CASE WHEN m > 0 THEN CAST(floor(log2(m * pow(2.0, e - 136))) AS INT) + 1 END AS ex FROM (
+    SELECT *, greatest(r, g, b) AS m, 120 + a % 16 AS e FROM (SELECT img_id, y, x, a,
+      CASE WHEN x = 3 THEN 0 ELSE r END AS r, CASE WHEN x = 3 THEN 0 ELSE g END AS g, CASE WHEN x = 3 THEN 0 ELSE b END AS b FROM V_pixels)))""")
 def g10(v):
     e = F.lit(120) + F.col("a") % 16
     lin = [sizes.rgbe_to_linear(F.col(c), e).alias("l" + c) for c in CH[:3]]
-    d = v.px.where("greatest(r, g, b) > 0").select("img_id", "y", "x", *lin)
+    black = v.px.withColumns({c: F.when(F.col("x") == 3, 0).otherwise(F.col(c)) for c in CH[:3]})
+    d = black.select("img_id", "y", "x", *lin)
     back = sizes.linear_to_rgbe(*[F.col("l" + c) for c in CH[:3]])
     return d.select("img_id", "y", "x", F.round("lr", 9).alias("linear"), back["e"].alias("e_back"), back["r"].alias("r_back"))
 

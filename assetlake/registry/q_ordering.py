@@ -6,7 +6,7 @@ from assetlake.operators import ordering as W
 from assetlake.operators import summaries as S
 from assetlake.operators.assets import first_wins
 from assetlake.registry import sqltext as T
-from assetlake.registry.core import query
+from assetlake.registry.core import query, with_place
 
 
 @query("W1_first_wins", """
@@ -27,13 +27,14 @@ def w2(v):
 
 
 @query("W3_order_parts", """
-SELECT d.container_id, d.owner_key, coalesce(p.n_assets, 0) AS n_assets FROM (
+SELECT d.container_id, d.owner_key, coalesce(p.n_assets, 0) AS n_assets,
+  rank() OVER (ORDER BY container_id, coalesce(p.n_assets, 0) = 0, owner_key) AS place FROM (
   SELECT container_id, owner_key FROM V_parts UNION
   SELECT container_id, unnest(range(9))::INT FROM (SELECT DISTINCT container_id FROM V_assets)) d
-LEFT JOIN V_parts p USING (container_id, owner_key) ORDER BY 1, coalesce(p.n_assets, 0) = 0, 2""")
+LEFT JOIN V_parts p USING (container_id, owner_key)""")
 def w3(v):
     full = S.complete_owners(S.part_summary(v.bindings, v.assets), v.assets)
-    return W.order_parts(full).select("container_id", "owner_key", "n_assets")
+    return with_place(W.order_parts(full).select("container_id", "owner_key", "n_assets"), "container_id", "owner_key")
 
 
 @query("W4_order_assets", """
@@ -47,11 +48,13 @@ def w4(v):
 
 
 @query("W5_sort_table", f"""
-SELECT container_id, owner_key, {T.human('n_bytes')} AS shown FROM V_parts""")
+SELECT container_id, owner_key, shown, rank() OVER (ORDER BY CAST(floor(CAST(split_part(shown, ' ', 1) AS DOUBLE) *
+    CASE split_part(shown, ' ', 2) WHEN 'KB' THEN 1024.0 WHEN 'MB' THEN 1048576.0 WHEN 'GB' THEN 1073741824.0 ELSE 1.0 END) AS BIGINT) DESC,
+  owner_key, container_id) AS place FROM (SELECT container_id, owner_key, {T.human('n_bytes')} AS shown FROM V_parts)""")
 def w5(v):
     parts = S.part_summary(v.bindings, v.assets).select(
         "container_id", "owner_key", human_bytes(F.col("n_bytes")).alias("shown"))
-    return W.sort_table(parts, "shown", "size", desc=True)
+    return with_place(W.sort_table(parts, "shown", "size", desc=True), "container_id", "owner_key")
 
 
 @query("W6_cap_details", """
@@ -77,9 +80,9 @@ def w7(v):
     return W.dedupe_names(f, e).select("c_custkey", "rel_dir", "out_stem")
 
 
-@query("W8_order_paths", "SELECT page_id, path FROM V_files ORDER BY lower(path), path")
+@query("W8_order_paths", "SELECT page_id, path, rank() OVER (ORDER BY lower(path), path) AS place FROM V_files")
 def w8(v):
-    return W.order_paths(v.files.select("page_id", "path"))
+    return with_place(W.order_paths(v.files.select("page_id", "path")), "path")
 
 
 @query("W9_hist_quantile", """

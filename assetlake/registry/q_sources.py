@@ -6,7 +6,7 @@ from assetlake.operators import outcomes as O
 from assetlake.operators import summaries as S
 from assetlake.registry import container_data as D
 from assetlake.registry import sqltext as T
-from assetlake.registry.core import query
+from assetlake.registry.core import query, with_place
 from assetlake.registry.rules_data import PLANS_SQL, asset_rules, brand_plans
 from assetlake.registry.views import _PROP_SQL
 from assetlake.sources import containers as C
@@ -170,9 +170,9 @@ def s7b(v):
 
 @query("S8_preset_catalog", f"""
 SELECT {D.PRESET_PATH_SQL} AS path, CASE WHEN p_size > 25 THEN p_name ELSE p_type || '_' || p_partkey END AS name, p_brand AS source,
-  '' AS saved FROM ({_P7}) ORDER BY lower(path), path""")
+  '' AS saved, rank() OVER (ORDER BY lower({D.PRESET_PATH_SQL}), {D.PRESET_PATH_SQL}) AS place FROM ({_P7})""")
 def s8(v):
-    return rules_json.preset_catalog(_presets(v)["presets"])
+    return with_place(rules_json.preset_catalog(_presets(v)["presets"]), "path")
 
 
 # ---- sinks ----------------------------------------------------------------------------------------------
@@ -245,9 +245,11 @@ def k3(v):
     return sinks.outcome_report(d)
 
 
-@query("K4_payload_order", "SELECT container_id, ord, asset_id, out_bytes FROM V_outcomes")
+@query("K4_payload_order", """SELECT container_id, ord, asset_id, out_bytes,
+  rank() OVER (ORDER BY container_id, ord) AS place FROM V_outcomes""")
 def k4(v):
-    return sinks.payload_order(O.choose_candidate(v.candidates)).select("container_id", "ord", "asset_id", "out_bytes")
+    rows = sinks.payload_order(O.choose_candidate(v.candidates)).select("container_id", "ord", "asset_id", "out_bytes")
+    return with_place(rows, "container_id", "ord")
 
 
 # ---- incremental -------------------------------------------------------------------------------------------
