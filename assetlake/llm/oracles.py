@@ -20,6 +20,7 @@ f AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ln.dup, 0) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words, coalesce(ln.n, 0) AS lines, coalesce(dots, 0) AS dots, coalesce(bullets, 0) AS bullets,
     coalesce(top.n, 0) AS most,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS echoed,
     len(list_filter(w, lambda x: regexp_full_match(x, '[^A-Za-z]*[A-Z][^a-z]*[A-Z][^a-z]*'))) AS loud,
     len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered
   FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r) LEFT JOIN top USING (r)),
@@ -28,7 +29,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (10 * n_symbols > n_words OR 2 * loud > n_words OR 2 * n_dup_lines > lines
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * lettered < n_words OR 10 * dots > 3 * lines
-    OR 10 * bullets > 9 * lines OR 2 * most > n_words) AS kept
+    OR 10 * bullets > 9 * lines OR 2 * most > n_words OR 10 * echoed > 3 * n_words) AS kept
 FROM b
 """
 

@@ -4,6 +4,7 @@ Each rule is a test on one text. On a bounded sample every rule runs on every te
 rejects; rules are then ordered by rejection per cost, and the full pass stops at the first rule that rejects a text.
 The verdict does not depend on the order, only the time does.
 """
+import operator
 import re
 import time
 from collections import Counter
@@ -99,9 +100,13 @@ def one_word(t):
     return t.n > 0 and 2 * max(Counter(t.words).values()) > t.n
 
 
+def echoes(t):
+    return 10 * sum(map(operator.eq, t.words[1:], t.words)) > 3 * t.n
+
+
 RULES = {"many_symbols": many_symbols, "shouting": shouting, "repeated_lines": repeated_lines,
          "odd_word_length": odd_word_length, "few_letters": few_letters, "ellipsis_lines": ellipsis_lines,
-         "bullet_lines": bullet_lines, "one_word": one_word}
+         "bullet_lines": bullet_lines, "one_word": one_word, "echoes": echoes}
 
 
 def rule_statistics(docs: DataFrame, rules=None, sample_rows: int = 2000, seed: int = 11) -> list[dict]:
