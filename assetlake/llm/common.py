@@ -16,7 +16,7 @@ def whole(col="text"):
 
 def row_key(col="text"):
     """Tells apart rows that share a doc_id; equal rows have equal keys and get equal results."""
-    return F.xxhash64(F.lit(17), F.col(col))
+    return F.xxhash64(F.lit(17), F.col(col) if isinstance(col, str) else col)
 
 
 class WordHashes:

@@ -101,7 +101,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, sh
     if n > 1:
         found = scan_documents(docs, benchmark, width, shard_chars).where(F.size("hits") > 0)
         found = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"))
-        return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & row_key().eqNullSafe(F.col("_row")), "left_anti")
+        return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & row_key(docs["text"]).eqNullSafe(found["_row"]), "left_anti")
     items, ready = [tuple(r) for r in b.collect()], []
 
     @F.pandas_udf("boolean")

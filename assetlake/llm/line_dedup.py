@@ -46,15 +46,17 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``_lines`` (lines before), ``_dropped`` (lines that went) and ``_kept`` (the text that stays; the
-    null text of a document that loses nothing stays null). Every row of ``docs`` stays, with its own columns."""
-    b = bitmaps.select(F.col("doc_id").alias("_bdoc"), F.col("row_key").alias("_brow"), F.col("dropped").alias("_bits"))
-    j = docs.join(b, F.col("doc_id").eqNullSafe(F.col("_bdoc")) & row_key().eqNullSafe(F.col("_brow")), "left")
-    gone = F.expr("aggregate(_bits, 0L, (n, w) -> n + bit_count(w.bits))")
+    """One row for each row of ``docs``: ``row`` (a struct of all its columns), ``lines`` (lines before), ``dropped`` (lines
+    that went) and ``kept`` (the text that stays; the null text of a document that loses nothing stays null)."""
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("text"),
+                    row_key().alias("key"))
+    b = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("row_key").alias("b_key"), F.col("dropped").alias("bits"))
+    j = d.join(b, F.col("doc").eqNullSafe(F.col("b_doc")) & F.col("key").eqNullSafe(F.col("b_key")), "left")
+    gone = F.expr("aggregate(bits, 0L, (n, w) -> n + bit_count(w.bits))")
     stay = F.expr("""array_join(transform(filter(transform(split(text, '\n'), (x, i) -> struct(x AS x, i AS i)),
-        e -> (coalesce(try_element_at(_map, e.i div 64), 0L) & shiftleft(1L, e.i % 64)) = 0), e -> e.x), '\n')""")
-    j = j.withColumn("_map", F.expr("map_from_entries(transform(_bits, w -> struct(CAST(w.word AS BIGINT), w.bits)))"))
-    return j.select(*[docs[c] for c in docs.columns],
-                    F.size(F.split(whole(), "\n")).cast("long").alias("_lines"),
-                    F.when(F.col("_bits").isNull(), F.lit(0).cast("long")).otherwise(gone).alias("_dropped"),
-                    F.when(F.col("_bits").isNull(), F.col("text")).otherwise(stay).alias("_kept"))
+        e -> (coalesce(try_element_at(words, e.i div 64), 0L) & shiftleft(1L, e.i % 64)) = 0), e -> e.x), '\n')""")
+    j = j.withColumn("words", F.expr("map_from_entries(transform(bits, w -> struct(CAST(w.word AS BIGINT), w.bits)))"))
+    none = F.col("bits").isNull()
+    return j.select("row", F.size(F.split(whole(), "\n")).cast("long").alias("lines"),
+                    F.when(none, F.lit(0).cast("long")).otherwise(gone).alias("dropped"),
+                    F.when(none, F.col("text")).otherwise(stay).alias("kept"))
