@@ -18,9 +18,9 @@ def drop_common_lines(spark, docs, sf_dir):
     """Lines of 40 and more characters in five and more documents stay only in the largest doc_id that holds them. Every
     document stays, those that lose lines with a new text (empty if nothing is left) and n_chars."""
     kept = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
-    chars = F.when(F.col("_dropped") > 0, F.char_length("_kept")).otherwise(F.col("n_chars"))
-    new = {"text": F.col("_kept"), "n_chars": chars.cast(docs.schema["n_chars"].dataType)}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    chars = F.when(F.col("dropped") > 0, F.char_length("kept")).otherwise(F.col("row")["n_chars"])
+    new = {"text": F.col("kept"), "n_chars": chars.cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -31,10 +31,10 @@ def drop_near_duplicates(spark, docs, sf_dir):
     kept = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("o")).select("o.doc_id", "o.row_key")
     kept = materialise(kept.unionByName(found.where(F.col("group").isNull()).select("doc_id", "row_key").distinct()))
     kept = kept.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & row_key().eqNullSafe(F.col("_row"))
     keys = docs.select("doc_id", row_key().alias("row_key"))
     if keys.count() > keys.distinct().count():
         docs = docs.dropDuplicates(["doc_id", "text"])
+    same = docs["doc_id"].eqNullSafe(kept["_doc"]) & row_key(docs["text"]).eqNullSafe(kept["_row"])
     return docs.join(kept, same, "left_semi")
 
 
