@@ -3,10 +3,13 @@
 1. Each text becomes a digest of its shingle set, the minima of 200 universal hashes as 40 band keys of five minima,
    and a sketch of two bits from each of 192 minima. Texts with equal sets are one node from then on.
 2. Nodes that share a band key are candidates: at a similarity of 0.8 a pair is missed with probability 1.2e-7.
-3. Pairs are compared in three rounds, so that a large bucket never lists all its pairs: with one centre of each bucket,
-   then with a random centre of each bucket for those not yet in its component, then all that still lie in different
-   components of a bucket, where the smaller components ask the others. Only pairs whose sizes and sketches allow the
-   threshold leave a join (the sketch test loses a true pair with probability below 1e-8).
+3. Pairs are compared in three rounds, so that a large bucket never lists all its pairs: every member with the bucket's
+   centre (the member that shares most buckets with most others), then with a random centre of the bucket if not yet in
+   its component. What still lies in different components of a bucket meets by its rare shingles: in one order of all
+   shingles, the rarest first, texts of n and m shingles that reach the threshold have their first common shingle within
+   the first n - a + 1 and m - a + 1, where a is the overlap they need; so only these prefixes are joined, and of a
+   shingle's texts the smaller components ask the others. Only pairs whose sizes and sketches allow the threshold leave a
+   join (the sketch test loses a true pair with probability below 1e-8).
 4. These pairs are confirmed on the full sets; components come from alternating large-star and small-star.
 No bucket, partner or candidate is capped.
 """
@@ -137,6 +140,24 @@ def _confirm(pairs, sets, percent):
     return j.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("u", "v")
 
 
+def _meet_by_prefix(members, sets, percent):
+    """Pairs (a, b) of different components with a common shingle early enough in both, the rarest shingles first."""
+    grams = members.select("id").join(sets, "id").select("id", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    ordered = grams.join(often, "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))
+    prefix = F.slice("g", 1, F.size("g") - F.ceil(F.size("g") * F.lit(percent / 100) - F.lit(1e-9)).cast("int") + 1)
+    early = ordered.select("id", F.posexplode(prefix).alias("at", "e")).where("e.often > 1").select("id", "at", "e.gram")
+    early = materialise(early.join(members, "id"))
+    sizes = early.groupBy("gram", "component").agg(F.count("*").alias("members"))
+    large = sizes.groupBy("gram").agg(F.max_by("component", "members").alias("large"), F.count("*").alias("kinds")).where("kinds > 1")
+    asks = early.join(large.drop("kinds"), "gram").where(F.col("component") != F.col("large"))
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(percent / (100 + percent)) - F.lit(1e-9))
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need
+    once = (F.col("b.component") == F.col("a.large")) | (F.col("a.id") < F.col("b.id"))
+    return asks.alias("a").join(early.alias("b"), "gram").where(
+        (F.col("a.component") != F.col("b.component")) & once & reach & _likely("a", "b", percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row_key, n_shingles, component_id (the smallest doc_id that links of at least
     ``percent`` of shared shingles reach, its own included) and group (a number of the component; null without words).
@@ -153,9 +174,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     nodes = materialise(first.select(F.monotonically_increasing_id().alias("id"), "doc_id", "d1", "d2",
                                      F.col("n_shingles").alias("n"), "keys", *S))
     keyed = nodes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    small = nodes.select("id", "n", *S)
-    buckets = materialise(keyed.join(shared, "key").join(small, "id"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    own_keys = keyed.join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.sum("members").alias("score"))
+    buckets = own_keys.join(nodes.select("id", "n", *S), "id")
+    buckets = materialise(buckets.select("id", "n", "score", *S, F.explode("keys").alias("key")))
 
     members = buckets.select("id").distinct().join(nodes.select("id", "doc_id", "d1", "d2"), "id")
     members = members.select("id", F.col("doc_id").alias("_doc"), "d1", "d2")
@@ -170,17 +192,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         else:
             b = materialise(b)
             open_keys = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+            if not open_keys.take(1):
+                break
             b = b.join(open_keys, "key")
         if rnd < 2:
-            rank = F.xxhash64("id") if rnd == 0 else F.xxhash64("key", "id")
-            centre = b.groupBy("key").agg(F.min_by(F.struct("id", "n", "component", *S), rank).alias("c")).select("key", "c.*")
+            rank = F.struct("score", "id") if rnd == 0 else F.xxhash64("key", "id")
+            centre = b.groupBy("key").agg(F.max_by(F.struct("id", "n", "component", *S), rank).alias("c")).select("key", "c.*")
             j = b.alias("a").join(centre.alias("b"), "key").where((F.col("a.component") != F.col("b.component")) & _likely("a", "b", percent))
         else:
-            sizes = b.groupBy("key", "component").agg(F.count("*").alias("members"))
-            large = sizes.groupBy("key").agg(F.max_by("component", "members").alias("large"))
-            asks = b.join(large, "key").where(F.col("component") != F.col("large"))
-            order = (F.col("b.component") == F.col("a.large")) | (F.col("a.id") < F.col("b.id"))
-            j = asks.alias("a").join(b.alias("b"), "key").where((F.col("a.component") != F.col("b.component")) & order & _likely("a", "b", percent))
+            j = _meet_by_prefix(b.select("id", "component", "n", *S).distinct(), sets, percent)
         found = _confirm(_pairs(j), sets, percent)
         links = materialise(found if links is None else links.unionByName(found))
         comp = materialise(components(links))
