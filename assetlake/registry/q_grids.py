@@ -333,11 +333,11 @@ def _nb_n(table):
 @query("G17_process_grid", f"""
 WITH {_BLOCKS}, lab AS (SELECT vec_id AS img_id, label FROM embeddings),
 wa AS ({_W_AREA}), wk AS ({_w_kernel(_LANCZOS3, 3.0)}),
-ha AS (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wa ON wa.i = V_pixels.x WHERE label % 4 = 2 GROUP BY 1, 2, 3),
-hk AS (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wk ON wk.i = V_pixels.x WHERE label % 4 = 3 GROUP BY 1, 2, 3),
-pa AS (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM ha JOIN wa ON wa.i = ha.y GROUP BY 1, 2, 3),
-pk AS (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM hk JOIN wk ON wk.i = hk.y GROUP BY 1, 2, 3),
-changed AS (
+ha AS MATERIALIZED (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wa ON wa.i = V_pixels.x WHERE label % 4 = 2 GROUP BY 1, 2, 3),
+hk AS MATERIALIZED (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wk ON wk.i = V_pixels.x WHERE label % 4 = 3 GROUP BY 1, 2, 3),
+pa AS MATERIALIZED (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM ha JOIN wa ON wa.i = ha.y GROUP BY 1, 2, 3),
+pk AS MATERIALIZED (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM hk JOIN wk ON wk.i = hk.y GROUP BY 1, 2, 3),
+changed AS MATERIALIZED (
   SELECT img_id, y::INT AS y, x::INT AS x, {each('CAST((s{c} + n // 2) // n AS INT) AS {c}')}, 4 AS n FROM blocks JOIN lab USING (img_id) WHERE label % 4 = 1 UNION ALL
   SELECT img_id, y::INT, x::INT, {each(_BYTE.replace('{v}', '{c}'))}, 3 FROM pa UNION ALL
   SELECT img_id, y::INT, x::INT, {each(_BYTE.replace('{v}', '{c}'))}, 12 FROM pk)

@@ -256,7 +256,8 @@ class Views:
 
     @cached_property
     def px(self):
-        return self.pixels.drop("label")
+        """With the sizes a pixel table should carry: then no operator has to find them by a join on the image."""
+        return self.pixels.drop("label").withColumns({"width": F.lit(8), "height": F.lit(8)})
 
     @cached_property
     def mosaic(self):
