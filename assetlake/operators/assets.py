@@ -43,7 +43,7 @@ def asset_profile(bindings: DataFrame, owner_rules: DataFrame = None, mask: int
     if with_owners:
         aggs.append(F.array_sort(F.collect_set("owner_key")).alias("owners"))
     if owner_rules is not None:
-        b = _with_owner_rule(b, owner_rules, runs)
+        b = with_owner_rule(b, owner_rules, runs)
         aggs += _merge_aggs()
     out = b.groupBy(*ASSET_KEY).agg(*aggs)
     out = out.withColumn("class", C.class_at(F.col("class_rank")))
@@ -51,8 +51,8 @@ def asset_profile(bindings: DataFrame, owner_rules: DataFrame = None, mask: int
     return _finish_merge(out) if owner_rules is not None else out
 
 
-def _with_owner_rule(b: DataFrame, owner_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
-    """Bindings with the rule of their owner (_r). Rules of several presets carry preset_id; then ``runs`` (container_id,
+def with_owner_rule(b: DataFrame, owner_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
+    """Bindings with the rule of their owner (_r), NULL where it has none. Rules of several presets carry preset_id; then ``runs`` (container_id,
     preset_id; one preset a container) says which preset's rules a container takes."""
     if "preset_id" not in owner_rules.columns:
         return b.join(owner_rules.select("owner_key", F.col("rule").alias("_r")), "owner_key", "left")
@@ -100,7 +100,7 @@ def merge_owner_rules(owners: DataFrame, owner_rules: DataFrame, runs: DataFrame
     """R2: one conservative rule per asset from the rules of all its owners.
 
     owners: container_id, asset_id, owner_key. owner_rule is NULL where an owner has no rule or keeps."""
-    rows = _with_owner_rule(owners, owner_rules, runs)
+    rows = with_owner_rule(owners, owner_rules, runs)
     agg = rows.groupBy(*ASSET_KEY).agg(
         F.min("owner_key").alias("min_owner"), F.max("owner_key").alias("max_owner"), *_merge_aggs())
     return _finish_merge(agg)

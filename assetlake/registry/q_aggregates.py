@@ -118,6 +118,15 @@ def a10b(v):
     return S.owner_count(v.gbindings, ["container_id"], approx=True)
 
 
+@query("A10_owner_count_bound", "SELECT DISTINCT container_id, true AS near FROM V_bindings")
+def a10c(v):
+    """The sketch stays within 15 % of the exact count."""
+    exact, about = S.owner_count(v.gbindings, ["container_id"]), S.owner_count(v.gbindings, ["container_id"], approx=True)
+    n = [c for c in exact.columns if c != "container_id"][0]
+    j = exact.join(about.select("container_id", F.col(n).alias("_about")), "container_id")
+    return j.select("container_id", (F.abs(F.col("_about") - F.col(n)) <= 0.15 * F.col(n)).alias("near"))
+
+
 _ROLLUP = """SELECT container_id, count(*) AS n_assets, count(*) FILTER (WHERE fmt = 'JPEG') AS n_jpeg,
   count(*) FILTER (WHERE fmt = 'PNG') AS n_png, CAST(0 AS BIGINT) AS n_hdr, CAST(0 AS BIGINT) AS n_keep,
   count(*) FILTER (WHERE fmt = 'orig') AS n_same, count(*) FILTER (WHERE fmt IN ('PNG*', 'JPEG*')) AS n_keep_opt,

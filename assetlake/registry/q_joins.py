@@ -86,6 +86,13 @@ def j6_own(v):
     return df.select("p_partkey", "p_type", F.col("class_rule.format").alias("format"), F.col("class_rule.size").alias("size"))
 
 
+@query("J7_owner_rules", """
+SELECT container_id, asset_id, ord, slot, owner_key, format, size FROM V_bindings LEFT JOIN V_owner_rules USING (owner_key)""")
+def j7(v):
+    j = A.with_owner_rule(v.bindings, v.owner_rules)
+    return j.select("container_id", "asset_id", "ord", "slot", "owner_key", F.col("_r.format").alias("format"), F.col("_r.size").alias("size"))
+
+
 @query("J8_match_asset_rules", f"WITH {HITS_SQL} SELECT container_id, asset_id, preset_id, rule_no FROM hits")
 def j8(v):
     return P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
