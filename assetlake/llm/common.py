@@ -44,11 +44,17 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k word hashes (empty when there are fewer words)."""
+    """Hash of each run of k word hashes (empty when there are fewer words), put together from runs of 1, 2, 4, ... words."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = words[:n].copy()
-    for i in range(1, k):
-        h = scramble(h * MIX + words[i:i + n])
-    return h
+    power, size, have, out = words, 1, 0, None
+    while True:
+        if k & size:
+            part = power[have:have + n]
+            out = part if out is None else scramble(out[:n] * MIX + part)
+            have += size
+        size *= 2
+        if size > k:
+            return out[:n].copy()
+        power = scramble(power[:-(size // 2)] * MIX + power[size // 2:])

@@ -27,7 +27,7 @@ from assetlake.llm.common import WordHashes, gram_hashes, materialise, row_key,
 #: Words of a run whose hash may become a seed.
 RUN = 6
 #: Segments of one (seed, salt) group, about, and of one shard's automaton, at least.
-GROUP, SHARD = 4096, 8192
+GROUP, SHARD = 1024, 8192
 #: Windows of a passage in one pattern at most; so not more than this many patterns end at one word.
 BLOCK = 12
 KEYS = ["doc_id", "row_key"]
@@ -146,64 +146,64 @@ def _segments(width):
     return run
 
 
-def _runs(marks: np.ndarray):
-    """Starts and ends (inclusive) of the runs of true values."""
-    edge = np.diff(np.r_[False, marks, False].astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-
-
 class Shard:
     """Some whole groups of segments in order: confirm, compile, locate."""
 
-    def __init__(self, width, seen=None):
-        self.width, self.hashes, self.seen = width, WordHashes(), seen
+    def __init__(self, width):
+        self.width, self.hashes = width, WordHashes()
 
     def covered(self, rows):
         """rows: (seed, salt, salted, doc, row_key, at, words). Gives cover rows (doc, row_key, lo, hi) and, for salted
         groups, first rows (seed, hash, doc, row_key, at)."""
         w = self.width
-        split = [r[6].split(b" ") for r in rows]
-        counts = np.array([len(s) - w + 1 for s in split])
-        grams = [gram_hashes(self.hashes(s), w) for s in split]
+        words, counts = [], []
+        for r in rows:
+            own = r[6].split(b" ")
+            words += own
+            counts.append(len(own))
+        lengths = np.array(counts)
+        begin = np.cumsum(lengths) - lengths  # first word of each segment
+        counts = lengths - w + 1
+        base = np.cumsum(counts) - counts  # first window of each segment
         seg = np.repeat(np.arange(len(rows)), counts)
-        pos = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
+        pos = np.arange(len(seg)) - base[seg]
+        h = gram_hashes(self.hashes(words), w)[begin[seg] + pos]
         group = scramble(np.array([r[0] for r in rows], np.int64).view(np.uint64) + np.array([r[1] for r in rows], np.uint64))
-        h = np.concatenate(grams)
         key = h ^ group[seg]
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
-        first = np.empty(len(key), bool)
+        first, recurs = np.empty(len(key), bool), np.empty(len(key), bool)
         first[order] = new
         size = np.diff(np.r_[np.flatnonzero(new), len(key)])
-        recurs = np.empty(len(key), bool)
         recurs[order] = np.repeat(size > 1, size)
+
+        def runs(marks):
+            """First and last windows of the runs of marked windows inside segments."""
+            starts = np.flatnonzero(marks & (~np.r_[False, marks[:-1]] | (pos == 0)))
+            ends = np.flatnonzero(marks & (~np.r_[marks[1:], False] | np.r_[pos[1:] == 0, True]))
+            return starts, ends
+
         # passages: neighbouring windows that recur, as one pattern or, if long, several
-        base = np.cumsum(counts) - counts
         a = ahocorasick.Automaton()
-        for i in np.unique(seg[recurs]).tolist():
-            for lo, hi in zip(*(x.tolist() for x in _runs(recurs[base[i]:base[i] + counts[i]]))):
-                for at in range(lo, hi + 1, BLOCK):
-                    to = min(at + BLOCK, hi + 1) + w - 1
-                    a.add_word(" %s " % b" ".join(split[i][at:to]).decode("latin-1"), to - at)
+        for lo, hi in zip(*(x.tolist() for x in runs(recurs))):
+            o = int(begin[seg[lo]] + pos[lo])
+            for at in range(o, o + hi - lo + 1, BLOCK):
+                to = min(at + BLOCK, o + hi - lo + 1) + w - 1
+                a.add_word(" %s " % b" ".join(words[at:to]).decode("latin-1"), to - at)
         found = np.zeros(len(key) + 1, np.int64)
         if len(a):
             a.make_automaton()
-            for i in np.unique(seg[recurs]).tolist():
-                flat = " %s " % rows[i][6].decode("latin-1")
-                ends = None
-                for end, n in a.iter(flat):
-                    if ends is None:
-                        ends = np.cumsum([len(x) + 1 for x in split[i]])
-                    last = int(np.searchsorted(ends, end))
-                    found[base[i] + last - n + 1] += 1
-                    found[base[i] + last - w + 2] -= 1
-        located = np.cumsum(found[:-1]) > 0
-        gone = located & ~first
+            hits = [(i, end, n) for i in np.unique(seg[recurs]).tolist() for end, n in a.iter(" %s " % rows[i][6].decode("latin-1"))]
+            i, end, n = np.array(hits).T
+            spaces = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # where the space behind each word is
+            last = np.searchsorted(spaces, end + np.r_[0, spaces][begin[i]]) - begin[i]
+            np.add.at(found, base[i] + last - n + 1, 1)
+            np.add.at(found, base[i] + last - w + 2, -1)
+        gone = (np.cumsum(found[:-1]) > 0) & ~first
         cover, firsts = [], []
-        for i in np.unique(seg[gone]).tolist():
-            lo, hi = _runs(gone[base[i]:base[i] + counts[i]])
-            at = rows[i][5]
-            cover += [(rows[i][3], rows[i][4], at + x, at + y + w) for x, y in zip(lo.tolist(), hi.tolist())]
+        for lo, hi in zip(*(x.tolist() for x in runs(gone))):
+            r, at = rows[seg[lo]], int(pos[lo])
+            cover.append((r[3], r[4], r[5] + at, r[5] + at + hi - lo + w))
         salted = np.array([r[2] for r in rows])[seg] & first
         for x in np.flatnonzero(salted).tolist():
             r = rows[seg[x]]
