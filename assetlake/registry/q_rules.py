@@ -341,3 +341,21 @@ def r21d(v):
     """Containers whose assets and signatures no rule names."""
     far = v.assets.withColumn("asset_id", -F.col("asset_id") - 1)
     return P.preset_counts(asset_rules(v), A.asset_signatures(v.bindings).withColumn("sig", F.lit("?")), far, runs(v))
+
+
+@query("R16_verify_tables", """
+WITH a AS (SELECT l_orderkey AS container_id, l_linenumber AS asset_id, l_partkey AS ord, CAST(CASE WHEN l_quantity >= 49 THEN 0 ELSE l_quantity END AS INT) AS width,
+  CASE WHEN l_returnflag = 'A' THEN 'PNG' WHEN l_returnflag = 'N' THEN 'JPEG' WHEN l_quantity > 25 THEN 'HDR' ELSE 'EXR' END AS fmt FROM lineitem),
+s AS (SELECT container_id, count(*) AS n, count(*) FILTER (WHERE fmt = 'HDR') AS h, count(*) FILTER (WHERE fmt = 'EXR') AS u,
+  min(struct_pack(o := ord, a := asset_id)) FILTER (WHERE fmt <> 'EXR' AND width <= 0) AS bad FROM a GROUP BY 1)
+SELECT container_id, rc <> 6 AND (bad IS NULL) AS ok, CASE WHEN rc = 3 THEN 'no assets' WHEN rc = 6 THEN 'structure broken'
+  WHEN bad IS NOT NULL THEN 'asset ' || bad.a || ' does not decode' ELSE coalesce(n, 0) || ' assets readable' END AS message,
+  coalesce(n, 0) AS n_assets, coalesce(h, 0) AS n_hdr, coalesce(u, 0) AS n_other
+FROM V_containers LEFT JOIN s USING (container_id)""")
+def r16_tables(v):
+    """Result tables as they are after a run: one row for each asset with format, width and place."""
+    q, f = F.col("l_quantity"), F.col("l_returnflag")
+    a = v.lineitem.select(F.col("l_orderkey").alias("container_id"), F.col("l_linenumber").alias("asset_id"), F.col("l_partkey").alias("ord"),
+                          F.when(q >= 49, 0).otherwise(q).cast("int").alias("width"),
+                          F.when(f == "A", "PNG").when(f == "N", "JPEG").when(q > 25, "HDR").otherwise("EXR").alias("fmt"))
+    return O.verify(v.containers.select("container_id", "rc"), a)
