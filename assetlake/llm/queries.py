@@ -1,7 +1,7 @@
 """The registered queries opN_<name>: each applies its operator to the whole table and derives the digest columns."""
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, phrase_dedup, quality, secret_scan
+from assetlake.llm import decontaminate, html_extract, line_dedup, lm_score, mixing, near_dedup, phrase_dedup, pii, quality, secret_scan
 
 
 def table(spark, sf_dir, name):
@@ -13,6 +13,14 @@ def op1_mix_sources(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_lm_scores(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "score")
+
+
+def op3_pii_surrogates(spark, sf_dir):
+    return pii.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 def op4_quality_rules(spark, sf_dir):
     q = quality.quality_rules(table(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,5 +68,5 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op4_quality_rules, op5_extract_html, op6_minhash_near_dedup, op7_find_secrets, op8_decontaminate,
+    op1_mix_sources, op2_lm_scores, op3_pii_surrogates, op4_quality_rules, op5_extract_html, op6_minhash_near_dedup, op7_find_secrets, op8_decontaminate,
     op9_phrase_dedup, op10_line_dedup)}
