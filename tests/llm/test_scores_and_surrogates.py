@@ -50,3 +50,19 @@ def test_surrogates(spark, docs, none):
     many = got[5].text.split()
     assert len(set(many)) == 60 and not set(many) & set(texts[5].split())
     assert pii.replace_entities(none).count() == 0 and pii.replace_entities(docs).count() == docs.select("doc_id", "text").distinct().count()
+
+
+def test_surrogates_of_names_scripts_and_small_formats(spark):
+    texts = ["Frau Anna Weiß, Анна", "Herr Weiß met ANNA and Weiß. Der Haus", "müller@x.de", "0123 456 789", "(0123456789)", "Joe@x.org", "joe@x.org",
+             "DE89 3704 0044 0532 0130 00 and 00:1b:44:11:3a:b7", " ".join(f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"), "Just Words Here"]
+    t = {r.doc_id: r.text for r in pii.replace_entities(cases.frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    a = re.fullmatch(r"Frau (\S+) (\S+), (\S+)", t[0])
+    b = re.fullmatch(r"Herr (\S+) met (\S+) and (\S+)\. Der Haus", t[1])
+    table = {g: set(x.split()) for g, x in pii.GIVEN.items()}
+    assert a[1].lower() in table["f latin"] - {"anna"} and a[3].lower() in table["f cyrillic"] - {"анна"}
+    assert b[1] == b[3] == a[2] != "Weiß" and b[2] == a[1].upper()
+    assert re.fullmatch(r"[^\W\d_]{6}@[a-z]\.de", t[2]) and not t[2].isascii() and "ller" not in t[2]
+    assert t[3].replace(" ", "") == t[4].strip("()") != "0123456789" and t[5].lower() == t[6] != "joe@x.org" and t[5][0].isupper()
+    assert t[7][:2] == "DE" and t[7] != texts[7] and re.fullmatch(r"([0-9a-f]{2}:){5}[0-9a-f]{2}", t[7].split()[-1])
+    full, was = t[8].split(), texts[8].split()
+    assert len(set(full)) == len(was) and all(x != y for x, y in zip(full, was)) and t[9] == texts[9]
