@@ -127,14 +127,19 @@ def jpeg_dims(b, p, end):
 
 def payload_facts(b, off, n):
     """Format and edges of one payload without decoding it (same rules as sources.sniff)."""
-    raw = bytes(b[off:off + min(n, 65536)])
+    raw = bytes(b[off:off + min(n, 64)])
     if n > 8 and raw[:4] == PNG[:4]:
         w, h = struct.unpack_from(">ii", raw, 16) if n >= 24 else (0, 0)
         return "PNG", w, h
     if n >= 4 and raw[:3] == b"\xff\xd8\xff":
         return ("JPEG", *jpeg_dims(b, off, off + n))
     if n >= 10 and raw[:2] == b"#?" and (b"RADIANCE" in raw[:64] or b"RGBE" in raw[:64]):
-        lines = raw.decode("latin-1").split("\n")
+        lines, at = [], off
+        while at <= off + n and len(lines) <= K.HDR_HEADER_LINES + 1:
+            stop = b.find(b"\n", at, off + n)
+            stop = off + n if stop < 0 else stop
+            lines.append(bytes(b[at:stop]).decode("latin-1"))
+            at = stop + 1
         blank = next((i for i, s in enumerate(lines) if s.rstrip("\r") == ""), K.HDR_HEADER_LINES + 1)
         part = lines[blank + 1].split() if blank <= K.HDR_HEADER_LINES and blank + 1 < len(lines) else []
         try:

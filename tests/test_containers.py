@@ -106,6 +106,12 @@ def test_hdr_header_lines_of_any_length(spark):
     assert tuple(got) == (5, 9)
 
 
+def test_inventory_of_hdr_header_lines_of_any_length(spark):
+    long = b"#?RADIANCE\nSOFTWARE=" + b"x" * 70000 + b"\n\n-Y 9 +X 5\npixels"
+    inv = inventory(spark, {"a": container({1: long, 2: HDR})})
+    assert rows(inv["assets"], "asset_id", "width", "height") == [(1, 5, 9), (2, 40, 20)]
+
+
 def test_presets_from_trailer_and_text(spark):
     body = b'{"source": "s", "parts": {"100003": {"format": "png", "size": "big"}, "x": {}}, "minMatch": 0.25}'
     mark = b"AssetPreset1"
