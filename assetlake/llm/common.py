@@ -9,6 +9,16 @@ WS = " \t\n\x0b\x0c\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def discard(table):
+    """Deletes the files of a table that ``materialise`` has written and nothing reads any more."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if not files:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if path.getName().startswith("assetlake-"):
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def whole(col="text"):
     """The text, a null one as empty."""
     return F.coalesce(F.col(col), F.lit(""))

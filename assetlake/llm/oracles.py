@@ -1,5 +1,7 @@
 """Oracle SQL (DuckDB) of the queries that SQL can express."""
 
+from assetlake.llm.license_scan import PHRASES, TEMPLATES, templates_of
+
 WORD = r"[^\x20\x09-\x0D]+"
 TEXT = "coalesce(text, '')"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -84,5 +86,69 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone
 FROM m GROUP BY r
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op6_minhash_near_dedup": OP6, "op8_decontaminate": OP8, "op9_phrase_dedup": OP9,
+OP11 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.l = b.l AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a, e AS b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id NULLS LAST, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+WHERE rank <= 3
+"""
+
+
+def _op12():
+    known = templates_of(TEMPLATES, 80)
+    rows = ", ".join(f"({t.number}, '{t.label}', {t.step}, {len(t.words)}, {t.need}, '{w.decode()}')" for t in known for w in sorted(t.words))
+    places = " UNION ALL ".join(
+        f"SELECT r, '{label}' AS label, i FROM (SELECT r, w, unnest(range(0, len(w) - {n - 1})) AS i FROM d WHERE len(w) >= {n}) "
+        f"WHERE list_slice(w, i + 1, i + {n}) = {phrase.split()}" for label, phrase in PHRASES for n in [len(phrase.split())])
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate({TEXT}, {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS ({places}),
+b AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS ls FROM p GROUP BY r),
+t(number, label, step, size, need, word) AS (VALUES {rows}),
+x AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+m AS (SELECT r, number, any_value(label) AS label, any_value(size) AS size, any_value(need) AS need, block, count(DISTINCT word) AS n
+  FROM (SELECT *, unnest([i // step, i // step - 1]) AS block FROM x JOIN t USING (word)) WHERE block >= 0 GROUP BY r, number, block),
+f AS (SELECT r, max(CAST(n AS DOUBLE) / size) AS c, list(DISTINCT label) AS ls FROM m WHERE n >= need GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word,
+  CAST(b.z AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(b.ls), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(b.ls, f.ls))), ','), '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(f.c, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN f USING (r)
+"""
+
+
+def _op13(rounds=6):
+    """Parts of 8 components at 8 positions, 16 entries; every distance is computed."""
+    nearest = """SELECT r, p, arg_min(k, d * 64 + k) AS k, min(d) AS d FROM (
+    SELECT x.r, x.p, e.k, CAST(list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM x JOIN {e} AS e USING (p)) GROUP BY r, p"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED ({nearest.format(e=f'e{i}')}),
+m{i} AS (SELECT p, k, list(v ORDER BY j) AS v FROM (SELECT p, k, j, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM (
+    SELECT a{i}.p, a{i}.k, unnest(x.v) AS c, unnest(range(len(x.v))) AS j FROM a{i} JOIN x USING (r, p)) GROUP BY p, k, j) GROUP BY p, k),
+e{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(m{i}.v, e{i}.v) AS v FROM e{i} LEFT JOIN m{i} USING (p, k))""")
+    return f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS v FROM (SELECT r, v, unnest(range(8)) AS p FROM w)),
+e0 AS MATERIALIZED (SELECT p, r - 1 AS k, v FROM x WHERE r <= 16),
+{", ".join(steps)},
+a AS MATERIALIZED ({nearest.format(e=f'e{rounds}')}),
+c AS (SELECT r, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY r),
+b AS (SELECT sha256(string_agg(s, ',' ORDER BY p, k)) AS s FROM (SELECT p, k, array_to_string(v, ',') AS s FROM e{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, b.s AS codebooks_sha256
+FROM w JOIN c USING (r), b
+"""
+
+
+ORACLES = {"op11_hard_negatives": OP11, "op12_license_scan": _op12(), "op13_vector_codes": _op13(), "op4_quality_rules": OP4, "op6_minhash_near_dedup": OP6, "op8_decontaminate": OP8, "op9_phrase_dedup": OP9,
            "op10_line_dedup": OP10}

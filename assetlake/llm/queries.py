@@ -1,7 +1,8 @@
 """The registered queries opN_<name>: each applies its operator to the whole table and derives the digest columns."""
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, html_extract, line_dedup, lm_score, mixing, near_dedup, phrase_dedup, pii, quality, secret_scan
+from assetlake.llm import (decontaminate, hard_negatives, html_extract, license_scan, line_dedup, lm_score, mixing, near_dedup, phrase_dedup, pii,
+                           quality, secret_scan, vector_codes)
 
 
 def table(spark, sf_dir, name):
@@ -67,6 +68,29 @@ def op10_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    e, ident = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(ident % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(e.withColumn("label", label), ident % 50 == 0)
+
+
+def op12_license_scan(spark, sf_dir):
+    s = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    said = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    base, found = F.transform("base", lambda b: b.label), F.transform("blocks", lambda b: b.label)
+    starts = F.transform("base", lambda b: b.word)
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b.containment)), F.lit(0.0)))
+    return s.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                    F.array_max(starts).alias("last_word"), said(base).alias("base_labels"), said(F.concat(base, found)).alias("labels"),
+                    score.alias("score"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_lm_scores, op3_pii_surrogates, op4_quality_rules, op5_extract_html, op6_minhash_near_dedup, op7_find_secrets, op8_decontaminate,
-    op9_phrase_dedup, op10_line_dedup)}
+    op9_phrase_dedup, op10_line_dedup, op11_hard_negatives, op12_license_scan, op13_vector_codes)}
