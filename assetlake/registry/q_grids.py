@@ -141,7 +141,7 @@ def _blur(col):
 SELECT c.img_id, c.y, c.x, {each("CAST(greatest(least(round_even(round(c.{c} + 0.6::DOUBLE * (c.{c} - " + _blur('{c}') + "), 6), 0), 255), 0) AS INT) AS {c}", ch=CH[:3])},
   c.a FROM {_nb('V_pixels', CH)}""")
 def g6(v):
-    return G.unsharp(v.px, 0.6)
+    return G.unsharp(v.px, 0.6).drop("width", "height")
 
 
 _LUM = """lum AS (SELECT *, (77 * r + 151 * g + 28 * b) >> 8 AS l FROM V_pixels)"""
@@ -159,7 +159,7 @@ WITH {_LUM}, {_GRAD}, {_P95}
 SELECT img_id, y, x, {each("CAST(greatest(least(round_even(round({c} + (0.6::DOUBLE + 1.9::DOUBLE * least(sqrt(g2) / 4.0 / ref, 1.0)) * ({c} - b{c}), 6), 0), 255), 0) AS INT) AS {c}")}
 FROM grad JOIN ref USING (img_id)""")
 def g6b(v):
-    return G.unsharp(v.px, 0.6, k_edge=2.5, alpha=True)
+    return G.unsharp(v.px, 0.6, k_edge=2.5, alpha=True).drop("width", "height")
 
 
 @query("G6_unsharp_premul", f"""
@@ -167,7 +167,7 @@ WITH pre AS (SELECT *, {each('CASE WHEN a = 255 THEN {c} ELSE {c} * a // 255 END
 SELECT c.img_id, c.y, c.x, {each("CASE WHEN c.a < 32 THEN c.{c} ELSE CAST(greatest(least(round_even(round(round_even(round(c.p{c} + 0.6::DOUBLE * (c.p{c} - " + _blur('p{c}') + "), 6), 0) * 255.0::DOUBLE / c.a, 6), 0), 255), 0) AS INT) END AS {c}", ch=CH[:3])},
   c.a FROM {_nb('pre', CH)}""")
 def g6c(v):
-    return G.unsharp(v.px, 0.6, premul=True)
+    return G.unsharp(v.px, 0.6, premul=True).drop("width", "height")
 
 
 def _cas(c, peak):
@@ -181,7 +181,7 @@ def _cas(c, peak):
 
 @query("G7_cas", f"SELECT c.img_id, c.y, c.x, {', '.join(_cas(c, repr(-1.0 / (8.0 - 3.0 * 0.6))) for c in CH[:3])}, c.a FROM {_nb('V_pixels', CH)}")
 def g7(v):
-    return G.cas(v.px, 1.5)
+    return G.cas(v.px, 1.5).drop("width", "height")
 
 
 @query("G8_blockiness", """
@@ -230,7 +230,82 @@ SELECT p.img_id, p.y, p.x, {each('CAST(greatest(least(round_even(round(a{c} * {c
 FROM (SELECT img_id, y, x, r AS r_, g AS g_, b AS b_, a FROM V_pixels) p JOIN b2 USING (img_id, y, x)""".replace(
     "round(ar * r + br", "round(ar * r_ + br").replace("round(ag * g + bg", "round(ag * g_ + bg").replace("round(ab * b + bb", "round(ab * b_ + bb"))
 def g9(v):
-    return G.guided_smooth(v.px, r=1)
+    return G.guided_smooth(v.px, r=1).drop("width", "height")
+
+
+# G6, G7, G9 on one image of all vectors, in tiles of 256 pixels: neighbours by windows along lines and columns
+def _around(cols, table="V_canvas", by=""):
+    row = each("coalesce(lag({c}) OVER r, {c}) AS l{c}, coalesce(lead({c}) OVER r, {c}) AS q{c}", ch=cols)
+    names = [p + c for p in ("", "l", "q") for c in cols]
+    col = each("coalesce(lag({c}) OVER k, {c}) AS u{c}, coalesce(lead({c}) OVER k, {c}) AS d{c}", ch=names)
+    return f"""rows_ AS MATERIALIZED (SELECT *, {row} FROM {table} WINDOW r AS (PARTITION BY {by}y ORDER BY x)),
+around AS MATERIALIZED (SELECT *, {col} FROM rows_ WINDOW k AS (PARTITION BY {by}x ORDER BY y))"""
+
+
+def _blur9(c):
+    return f"((ul{c} + 2 * u{c} + uq{c} + 2 * (l{c} + 2 * {c} + q{c}) + dl{c} + 2 * d{c} + dq{c} + 8) >> 4)"
+
+
+_CANVAS_LUM = """lum AS (SELECT *, (77 * r + 151 * g + 28 * b) >> 8 AS l FROM V_canvas)"""
+_CANVAS_REF = """grad AS MATERIALIZED (SELECT *, sqrt(pow(uql - ull + 2 * (ql - ll) + dql - dll, 2) + pow(dll - ull + 2 * (dl - ul) + dql - uql, 2)) AS gr FROM around),
+hist AS (SELECT least(CAST(floor(gr) AS INT) >> 2, 255) AS k, count(*) AS n FROM grad GROUP BY ALL),
+run AS (SELECT k, sum(CASE WHEN k >= 1 THEN n ELSE 0 END) OVER (ORDER BY k) AS acc, CAST(floor(sum(n) OVER () * 0.95) AS BIGINT) AS want FROM hist),
+ref AS (SELECT greatest(coalesce(min(k) FILTER (WHERE k >= 1 AND acc >= want), 256), 4) AS ref FROM run)"""
+
+
+@query("G6_unsharp_canvas", f"""
+WITH {_CANVAS_LUM}, {_around(["r", "g", "b", "l"], "lum")}, {_CANVAS_REF}
+SELECT y, x, {each("CAST(greatest(least(round_even(round({c} + (0.6::DOUBLE + 1.9::DOUBLE * least(gr / 4.0 / ref, 1.0)) * ({c} - " + _blur9('{c}') + "), 6), 0), 255), 0) AS INT) AS {c}", ch=CH[:3])}, a
+FROM grad, ref""")
+def g6_canvas(v):
+    return G.unsharp(v.canvas, 0.6, k_edge=2.5).drop("img_id", "width", "height")
+
+
+def _cas_window(c, peak):
+    vals = [f"uq{c}", f"q{c}", f"dq{c}", f"l{c}", c]
+    mn, mx = f"least({', '.join(vals)})", f"greatest({', '.join(vals)})"
+    w = f"(sqrt(least({mn}, 255.0::DOUBLE - {mx}) / greatest({mx}, 1)::DOUBLE) * {peak}::DOUBLE)"
+    return (f"CASE WHEN {mx} = 0 THEN {c} ELSE CAST(greatest(least(round_even(round((({' + '.join(vals[:4])}) * {w} + {c}) / (4.0 * {w} + 1.0), 6), 0), 255), 0) "
+            f"AS INT) END AS {c}")
+
+
+@query("G7_cas_canvas", f"WITH {_around(CH)} SELECT y, x, {', '.join(_cas_window(c, repr(-1.0 / (8.0 - 3.0 * 0.6))) for c in CH)} FROM around")
+def g7_canvas(v):
+    return G.cas(v.canvas, 1.5, alpha=True).drop("img_id", "width", "height")
+
+
+def _box_window(name, table, cols, r=3, by="", last="max({pos}) OVER ()"):
+    """Box means by windows, the edge repeated by weights."""
+    def axis(src, pos, hold):
+        edge = (f"greatest({r} - {pos}, 0) * first_value({{c}}) OVER (PARTITION BY {by}{hold} ORDER BY {pos} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + "
+                f"greatest({pos} + {r} - {last.replace('{pos}', pos)}, 0) * last_value({{c}}) OVER (PARTITION BY {by}{hold} ORDER BY {pos} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+        frame = f"sum({{c}}) OVER (PARTITION BY {by}{hold} ORDER BY {pos} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+        return f"SELECT * REPLACE ({each(f'(({frame} + {edge}) / {2 * r + 1}.0::DOUBLE) AS {{c}}', ch=cols)}) FROM {src}"
+    return f"{name}_h AS MATERIALIZED ({axis(table, 'x', 'y')}), {name} AS MATERIALIZED ({axis(name + '_h', 'y', 'x')})"
+
+
+@query("G9_guided_smooth_canvas", f"""
+WITH src AS (SELECT *, {each('{c}::DOUBLE AS m{c}, ({c} * {c})::DOUBLE AS q{c}', ch=CH[:3])} FROM V_canvas),
+{_box_window('b1', 'src', ['m' + c for c in CH[:3]] + ['q' + c for c in CH[:3]])},
+s AS (SELECT * REPLACE ({each(f'(greatest(q{{c}} - m{{c}} * m{{c}}, 0) / (greatest(q{{c}} - m{{c}} * m{{c}}, 0) + {_E}::DOUBLE)) AS q{{c}}', ch=CH[:3])}) FROM b1),
+o AS (SELECT * REPLACE ({each('(m{c} - q{c} * m{c}) AS m{c}', ch=CH[:3])}) FROM s),
+{_box_window('b2', 'o', ['m' + c for c in CH[:3]] + ['q' + c for c in CH[:3]])}
+SELECT y, x, {each('CAST(greatest(least(round_even(round(q{c} * {c} + m{c}, 6), 0), 255), 0) AS INT) AS {c}', ch=CH[:3])}, a FROM b2""")
+def g9_canvas(v):
+    return G.guided_smooth(v.canvas).drop("img_id", "width", "height")
+
+
+@query("G3_block_mean_one_block", """
+WITH s AS (SELECT count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum(a) AS sa, sum((77 * r + 151 * g + 28 * b) >> 8) AS sl FROM V_canvas),
+m AS (SELECT *, (sl + n // 2) // n AS ml FROM s),
+k AS (SELECT any_value(m.n) AS n, any_value(sr) AS sr, any_value(sg) AS sg, any_value(sb) AS sb, any_value(sa) AS sa, any_value(ml) AS ml,
+  count(*) FILTER (WHERE l < ml) AS lo, count(*) FILTER (WHERE l > ml) AS hi, min(l) AS mi, max(l) AS ma FROM (SELECT (77 * r + 151 * g + 28 * b) >> 8 AS l FROM V_canvas), m),
+d AS (SELECT *, CAST(round_even(round(0.8::DOUBLE * greatest(1.0 - 2.0 * (least(lo, hi) / n), 0.0) * (CASE WHEN lo <= hi THEN mi ELSE ma END - ml), 6), 0) AS INT) AS p FROM k)
+SELECT 0 AS y, 0 AS x, CAST(greatest(least((sr + n // 2) // n + p, 255), 0) AS INT) AS r, CAST(greatest(least((sg + n // 2) // n + p, 255), 0) AS INT) AS g,
+  CAST(greatest(least((sb + n // 2) // n + p, 255), 0) AS INT) AS b, CAST((sa + n // 2) // n AS INT) AS a FROM d""")
+def g3_one_block(v):
+    """The whole canvas as one block."""
+    return G.block_mean_structured(v.canvas, F.col("width"), F.col("height"), gamma=0.8).drop("img_id")
 
 
 @query("G10_rgbe", """
@@ -322,37 +397,58 @@ def _symbols(v):
     return v.documents.select("source", F.explode(F.split("text", "")).alias("s"))
 
 
-# Images keep their size, halve it, shrink to 3 x 3 or grow to 12 x 12, by label
-def _nb_n(table):
-    def join(dy, dx, name):
-        return (f"JOIN {table} {name} ON {name}.img_id = c.img_id AND {name}.y = greatest(least(c.y + {dy}, c.n - 1), 0) "
-                f"AND {name}.x = greatest(least(c.x + {dx}, c.n - 1), 0)")
-    return f"{table} c " + " ".join(join(dy, dx, "n" + "mzp"[dy + 1] + "mzp"[dx + 1]) for dy, dx in ((-1, 1), (0, 1), (1, 1), (0, -1)))
+# Images keep their size, halve it, shrink to 3 x 3 or grow to 12 x 12, by label; gray opaque ones can be packed
+def _g17_resized(value, rounded, blocks):
+    """CTEs up to ``changed``: the resized images with their edge n. value: what the passes add up; rounded: a channel."""
+    def passes(name, weights, n):
+        return (f"h{name} AS MATERIALIZED (SELECT img_id, y, d AS x, {value} FROM V_pixels JOIN {weights} ON {weights}.i = V_pixels.x WHERE label % 4 = {n} GROUP BY 1, 2, 3), "
+                f"p{name} AS MATERIALIZED (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM h{name} JOIN {weights} ON {weights}.i = h{name}.y GROUP BY 1, 2, 3)")
+    return f"""{_BLOCKS}, lab AS MATERIALIZED (SELECT img_id, any_value(label) AS label, bool_and(r = g AND g = b AND a = 255) AS pack FROM V_pixels GROUP BY 1),
+wa AS MATERIALIZED ({_W_AREA}), wk AS MATERIALIZED ({_w_kernel(_LANCZOS3, 3.0)}), {passes('a', 'wa', 2)}, {passes('k', 'wk', 3)},
+changed AS MATERIALIZED (SELECT img_id, y::INT AS y, x::INT AS x, {blocks}, 4 AS n FROM blocks JOIN lab USING (img_id) WHERE label % 4 = 1 UNION ALL
+  SELECT img_id, y::INT, x::INT, {rounded}, 3 FROM pa UNION ALL SELECT img_id, y::INT, x::INT, {rounded}, 12 FROM pk)"""
+
+
+_G17_OUT = """SELECT img_id, y, x, r, g, b, a, n AS width, n AS height, CASE WHEN pack THEN b END AS gray FROM (
+  SELECT img_id, y, x, r, g, b, a, 8 AS n FROM V_pixels WHERE label % 4 = 0 UNION ALL SELECT img_id, y, x, r, g, b, a, n FROM sharp) JOIN lab USING (img_id)"""
 
 
 @query("G17_process_grid", f"""
-WITH {_BLOCKS}, lab AS (SELECT vec_id AS img_id, label FROM embeddings),
-wa AS ({_W_AREA}), wk AS ({_w_kernel(_LANCZOS3, 3.0)}),
-ha AS MATERIALIZED (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wa ON wa.i = V_pixels.x WHERE label % 4 = 2 GROUP BY 1, 2, 3),
-hk AS MATERIALIZED (SELECT img_id, y, d AS x, {each('sum({c} * w) AS {c}')} FROM V_pixels JOIN wk ON wk.i = V_pixels.x WHERE label % 4 = 3 GROUP BY 1, 2, 3),
-pa AS MATERIALIZED (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM ha JOIN wa ON wa.i = ha.y GROUP BY 1, 2, 3),
-pk AS MATERIALIZED (SELECT img_id, d AS y, x, {each('sum({c} * w) AS {c}')} FROM hk JOIN wk ON wk.i = hk.y GROUP BY 1, 2, 3),
-changed AS MATERIALIZED (
-  SELECT img_id, y::INT AS y, x::INT AS x, {each('CAST((s{c} + n // 2) // n AS INT) AS {c}')}, 4 AS n FROM blocks JOIN lab USING (img_id) WHERE label % 4 = 1 UNION ALL
-  SELECT img_id, y::INT, x::INT, {each(_BYTE.replace('{v}', '{c}'))}, 3 FROM pa UNION ALL
-  SELECT img_id, y::INT, x::INT, {each(_BYTE.replace('{v}', '{c}'))}, 12 FROM pk)
-SELECT img_id, y, x, {each('{c}')} FROM V_pixels WHERE label % 4 = 0 UNION ALL
-SELECT c.img_id, c.y, c.x, {', '.join(_cas(c, repr(-1.0 / (8.0 - 3.0 * 0.6))) for c in CH[:3])}, c.a FROM {_nb_n('changed')}""")
+WITH {_g17_resized(each('sum({c} * w) AS {c}'), each(_BYTE.replace('{v}', '{c}')), each('CAST((s{c} + n // 2) // n AS INT) AS {c}'))},
+{_around(CH, "changed", "img_id, ")},
+sharp AS (SELECT img_id, y, x, {', '.join(_cas_window(c, repr(-1.0 / (8.0 - 3.0 * 0.6))) for c in CH)}, n FROM around) {_G17_OUT}""")
 def g17(v):
-    return G.process_grid(v.px, _g17_rules(v), sharpen="cas", strength=1.5)
+    """Alpha is sharpened like a colour."""
+    return G.process_grid(v.px, _g17_rules(v), sharpen="cas", strength=1.5, alpha=True)
 
 
-@query("G17_process_grid_denoised")
+_SOFT = each(_BYTE.replace("{v}", "(CASE WHEN a > 0.5 THEN {c} / a ELSE {c} END)"), ch=CH[:3]) + ", " + _BYTE.replace("{v}", "a")
+
+
+@query("G17_process_grid_denoised", f"""
+WITH {_g17_resized(each('sum({c} * a * w) AS {c}', ch=CH[:3]) + ', sum(a * w) AS a', _SOFT, ', '.join(f'CAST({e} AS INT) AS {c}' for c, e in _MEANS.items()))},
+src AS (SELECT *, {each('{c}::DOUBLE AS m{c}, ({c} * {c})::DOUBLE AS q{c}', ch=CH[:3])} FROM changed),
+{_box_window('b1', 'src', ['m' + c for c in CH[:3]] + ['q' + c for c in CH[:3]], 1, "img_id, ", "(n - 1)")},
+s AS (SELECT * REPLACE ({each(f'(greatest(q{{c}} - m{{c}} * m{{c}}, 0) / (greatest(q{{c}} - m{{c}} * m{{c}}, 0) + {_E}::DOUBLE)) AS q{{c}}', ch=CH[:3])}) FROM b1),
+o AS (SELECT * REPLACE ({each('(m{c} - q{c} * m{c}) AS m{c}', ch=CH[:3])}) FROM s),
+{_box_window('b2', 'o', ['m' + c for c in CH[:3]] + ['q' + c for c in CH[:3]], 1, "img_id, ", "(n - 1)")},
+soft AS (SELECT img_id, y, x, n, a, {each('CASE WHEN n = 4 THEN CAST(greatest(least(round_even(round(q{c} * {c} + m{c}, 6), 0), 255), 0) AS INT) ELSE {c} END AS {c}', ch=CH[:3])} FROM b2),
+pre AS (SELECT *, (77 * pr + 151 * pg + 28 * pb) >> 8 AS l FROM (SELECT *, {each('CASE WHEN a = 255 THEN {c} ELSE {c} * a // 255 END AS p{c}', ch=CH[:3])} FROM soft)),
+{_around(["pr", "pg", "pb", "l"], "pre", "img_id, ")},
+grad AS MATERIALIZED (SELECT *, sqrt(pow(uql - ull + 2 * (ql - ll) + dql - dll, 2) + pow(dll - ull + 2 * (dl - ul) + dql - uql, 2)) AS gr FROM around),
+hist AS (SELECT img_id, least(CAST(floor(gr) AS INT) >> 2, 255) AS k, count(*) AS n FROM grad GROUP BY ALL),
+run AS (SELECT img_id, k, sum(CASE WHEN k >= 1 THEN n ELSE 0 END) OVER (PARTITION BY img_id ORDER BY k) AS acc,
+  CAST(floor(sum(n) OVER (PARTITION BY img_id) * 0.95) AS BIGINT) AS want FROM hist),
+ref AS (SELECT img_id, greatest(coalesce(min(k) FILTER (WHERE k >= 1 AND acc >= want), 256), 4) AS ref FROM run GROUP BY 1),
+sharp AS (SELECT img_id, y, x, n, a, {each("CASE WHEN a < 32 THEN {c} ELSE CAST(greatest(least(round_even(round(round_even(round(p{c} + (0.6::DOUBLE + 1.9::DOUBLE * least(gr / 4.0 / ref, 1.0)) * (p{c} - " + _blur9('p{c}') + "), 6), 0) * 255.0::DOUBLE / greatest(a, 1), 6), 0), 255), 0) AS INT) END AS {c}", ch=CH[:3])}
+  FROM grad JOIN ref USING (img_id)) {_G17_OUT}""")
 def g17b(v):
-    return G.process_grid(v.px, _g17_rules(v), denoise="all", sharpen="edge", strength=0.6, k_edge=2.5, premul=True)
+    return G.process_grid(v.px, _g17_rules(v), denoise="all", sharpen="edge", strength=0.6, k_edge=2.5, premul=True, radius=1)
 
 
 def _g17_rules(v):
     n = F.col("label") % 4
     size = F.when(n == 0, 8).when(n == 1, 4).when(n == 2, 3).otherwise(12)
-    return v.embeddings.select(F.col("vec_id").alias("img_id"), size.alias("new_width"), size.alias("new_height"))
+    sizes_ = v.embeddings.select(F.col("vec_id").alias("img_id"), size.alias("new_width"), size.alias("new_height"))
+    pack = G.pixel_profile(v.px).select("img_id", (F.col("gray") & F.col("flat_alpha")).alias("pack"))
+    return sizes_.join(pack, "img_id")

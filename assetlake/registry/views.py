@@ -110,6 +110,9 @@ CTES = {
     "V_mosaic": """SELECT (vec_id // 50)::BIGINT AS img_id, (vec_id % 50)::INT AS y, i::INT AS x,
       CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS INT) AS v FROM (
       SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)""",
+    "V_canvas": """SELECT (vec_id // 32)::INT AS y, (vec_id % 32 * 64 + i)::INT AS x, v AS r, (v * 3) % 256 AS g, 255 - v AS b,
+      CASE WHEN i % 2 = 0 THEN 255 ELSE v END AS a FROM (SELECT *, CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS INT) AS v FROM (
+      SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))""",
     "V_blobs": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'HDR'
       WHEN 3 THEN 'EXR' ELSE 'UNKNOWN' END AS fmt, n_chars, text FROM documents""",
 }
@@ -262,10 +265,20 @@ class Views:
     @cached_property
     def mosaic(self):
         """Images of 64 columns and up to 50 rows: 50 consecutive vectors stacked."""
+        from assetlake.operators.tiles import with_sizes
         v = F.col("v")
-        return self._cells().select(
+        return with_sizes(self._cells().select(
             F.floor(F.col("vec_id") / 50).alias("img_id"), (F.col("vec_id") % 50).cast("int").alias("y"),
-            F.col("i").alias("x"), v.alias("r"), v.alias("g"), v.alias("b"), F.lit(255).alias("a"))
+            F.col("i").alias("x"), v.alias("r"), v.alias("g"), v.alias("b"), F.lit(255).alias("a")))
+
+    @cached_property
+    def canvas(self):
+        """One image of all vectors, 2,048 columns wide: 32 vectors side by side in each row."""
+        from assetlake.operators.tiles import with_sizes
+        v, i = F.col("v"), F.col("i")
+        return with_sizes(self._cells().select(
+            F.lit(0).alias("img_id"), F.floor(F.col("vec_id") / 32).cast("int").alias("y"), ((F.col("vec_id") % 32) * 64 + i).cast("int").alias("x"),
+            v.alias("r"), ((v * 3) % 256).alias("g"), (255 - v).alias("b"), F.when(i % 2 == 0, 255).otherwise(v).alias("a")))
 
     @cached_property
     def blobs(self):

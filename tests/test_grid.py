@@ -9,9 +9,9 @@ from assetlake.operators import grid as G
 
 
 def table(spark, images):
-    rows = [(k, y, x, *[int(c) for c in (v if isinstance(v, tuple) else (v, v, v, 255))])
+    rows = [(k, y, x, *[int(c) for c in (v if isinstance(v, tuple) else (v, v, v, 255))], len(r), len(im))
             for k, im in images.items() for y, r in enumerate(im) for x, v in enumerate(r)]
-    return spark.createDataFrame(rows, "img_id string, y int, x int, r int, g int, b int, a int")
+    return spark.createDataFrame(rows, "img_id string, y int, x int, r int, g int, b int, a int, width int, height int")
 
 
 def back(df, col="r"):
@@ -150,7 +150,7 @@ def test_blockiness_by_brute_force(spark):
     w, h = 40, 300
     px = rng.integers(0, 256, (h, w, 3)).astype(int)
     rows = [("i", y, x, *map(int, px[y, x]), 255) for y in range(h) for x in range(w)]
-    df = spark.createDataFrame(rows, "img_id string, y int, x int, r int, g int, b int, a int")
+    df = G.with_sizes(spark.createDataFrame(rows, "img_id string, y int, x int, r int, g int, b int, a int"))
     weighted = px[:, :, 2] * 28 + px[:, :, 1] * 151 + px[:, :, 0] * 77
     for compat in (True, False):
         def step(a, b, vertical):
@@ -172,5 +172,5 @@ def test_process_grid_denoise_only_touches_reduced_images(spark):
     rules = spark.createDataFrame([("same", 16, 16), ("half", 8, 8), ("grow", 20, 20)], "img_id string, new_width int, new_height int")
     out = back(G.process_grid(p, rules, denoise="all", sharpen=None))
     assert out["same"] == back(p)["same"]
-    assert out["half"] == back(G.guided_smooth(G.block_mean(p.where("img_id = 'half'"), 2, 2)))["half"]
+    assert out["half"] == back(G.guided_smooth(G.with_sizes(G.block_mean(p.where("img_id = 'half'"), 2, 2))))["half"]
     assert out["grow"] == back(G.kernel_upscale(p.where("img_id = 'grow'"), 20, 20))["grow"]
