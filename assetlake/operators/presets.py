@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from assetlake.functions.rules import format_rank, no_rule, rule
 from assetlake.operators.assets import asset_signatures
+from assetlake.operators.skew import salted_join
 from assetlake.operators.summaries import fingerprint
 from assetlake.schemas import ASSET_KEY
+from assetlake.session import cut_lineage
 
 
 def all_sigs(presets: DataFrame, stored: DataFrame, asset_rules: DataFrame) -> DataFrame:
@@ -36,12 +38,12 @@ def match_score(preset_sigs: DataFrame, container_sigs: DataFrame, presets: Data
     """Share of a preset's signatures found on a container, for every pair with a common one.
 
     Pairs that share nothing score 0 and are left out (their number is presets x containers). With ``presets`` and
-    ``containers``, presets without signatures score 1 on the containers of their place. Signatures are an equi-join key, the count
-    combines on the map side, and a signature on every container is split by adaptive skew handling."""
+    ``containers``, presets without signatures score 1 on the containers of their place. Signatures are an equi-join key and
+    the count combines on the map side; a signature that many containers carry is dealt over salts (``skew``)."""
     p = preset_sigs.select("preset_id", "sig").distinct()
     c = container_sigs.select("container_id", "sig").distinct()
     n = p.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n_sigs"))
-    hits = c.join(p, "sig").groupBy("preset_id", "container_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    hits = salted_join(c, p, ["sig"], ["container_id"]).groupBy("preset_id", "container_id").agg(F.count(F.lit(1)).alias("n_hits"))
     out = hits.join(n, "preset_id").select(
         "preset_id", "container_id", "n_hits", "n_sigs", (F.col("n_hits") / F.col("n_sigs")).alias("score"))
     return out if presets is None else out.unionByName(empty_presets(presets, p, containers, by))
@@ -53,7 +55,8 @@ def score_against(containers: DataFrame, container_sigs: DataFrame, preset_sigs:
     The preset's size enters as a scalar subquery, not as a join."""
     p = preset_sigs.select("sig").distinct()
     n = p.agg(F.count(F.lit(1))).scalar()
-    hits = (container_sigs.select("container_id", "sig").distinct().join(p, "sig")
+    # meet the preset first, then drop repeats: what is distinct by container and signature lies together already
+    hits = (container_sigs.select("container_id", "sig").join(p, "sig").distinct()
             .groupBy("container_id").agg(F.count(F.lit(1)).alias("n_hits")))
     out = containers.join(hits, "container_id", "left").withColumn("n_sigs", n)
     score = F.when(F.col("n_sigs") == 0, F.lit(1.0)).otherwise(
@@ -71,9 +74,12 @@ def similar_containers(presets: DataFrame, preset_sigs: DataFrame, containers: D
     any n - need + 1 of them, so only the preset's rarest signatures generate candidates. Rarity is taken
     in power-of-two bands (at most 64 rows per preset in the running sum) and a whole band is kept, so
     the probe set is a superset of the minimum. Copies (same signature set, directory and kind) collapse
-    to one representative before matching and fan out at the end, once per preset."""
+    to one representative before matching and fan out at the end, once per preset.
+
+    The signatures, those of the representatives and the banded preset signatures are written once each, as several steps
+    read them. A signature that most containers of a place carry is dealt over salts where probes meet containers."""
     place = ["rel_dir", "kind"]
-    sigs = container_sigs.select("container_id", "sig").distinct()
+    sigs = cut_lineage(container_sigs.select("container_id", "sig").distinct())
     # fingerprint of a whole set: order-free, 2 x 64 bits plus the size
     mark = sigs.groupBy("container_id").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("h1"),
@@ -81,28 +87,29 @@ def similar_containers(presets: DataFrame, preset_sigs: DataFrame, containers: D
     named = containers.select("container_id", *place).join(mark, "container_id")
     same = place + ["n", "h1", "h2"]
     reps = named.groupBy(*same).agg(F.min("container_id").alias("rep"))
-    members = named.join(reps, same).select("container_id", "rep")
-    rep_sigs = sigs.withColumnRenamed("container_id", "rep").join(reps.select("rep", *place), "rep")
+    members = cut_lineage(named.join(reps, same).select("container_id", "rep", *place))
+    reps = members.where(F.col("container_id") == F.col("rep")).select("rep", *place)
+    rep_sigs = cut_lineage(sigs.withColumnRenamed("container_id", "rep").join(reps, "rep"))
     freq = rep_sigs.groupBy(*place, "sig").agg(F.count(F.lit(1)).alias("_n"))
-    own = preset_sigs.select("preset_id", "sig").distinct()
+    own = cut_lineage(preset_sigs.select("preset_id", "sig").distinct())
     total = own.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n_sigs"))
     own = own.join(presets.select("preset_id", *place), "preset_id").join(total, "preset_id")
     # a signature no container of the place has sits in the lowest band and matches nothing
-    banded = own.join(freq, place + ["sig"], "left").withColumn(
-        "band", F.coalesce(F.floor(F.log2("_n")).cast("int") + 1, F.lit(0)))
+    banded = cut_lineage(own.join(freq, place + ["sig"], "left").withColumn(
+        "band", F.coalesce(F.floor(F.log2("_n")).cast("int") + 1, F.lit(0))))
     need = F.greatest(F.ceil(F.col("n_sigs") * F.lit(float(min_match)) - F.lit(1e-9)), F.lit(1))
     bands = banded.groupBy("preset_id", "n_sigs", "band").agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(
         Window.partitionBy("preset_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = bands.withColumn("_before", before).where(F.col("_before") < F.col("n_sigs") - need + 1)
     probes = banded.where("band > 0").join(chosen.select("preset_id", "band"), ["preset_id", "band"], "left_semi")
-    cand = probes.select("preset_id", *place, "sig").join(rep_sigs, place + ["sig"]).select("preset_id", "rep").distinct()
-    hits = (cand.join(own.select("preset_id", "sig", "n_sigs"), "preset_id").join(rep_sigs.select("rep", "sig"), ["rep", "sig"])
+    cand = salted_join(rep_sigs, probes.select("preset_id", *place, "sig"), place + ["sig"], ["rep"]).select("preset_id", "rep").distinct()
+    hits = (cand.join(banded.select("preset_id", "sig", "n_sigs"), "preset_id").join(rep_sigs.select("rep", "sig"), ["rep", "sig"])
             .groupBy("preset_id", "rep", "n_sigs").agg(F.count(F.lit(1)).alias("n_hits")))
     hits = hits.where(F.col("n_hits") >= need)
-    found = hits.join(members, "rep").select(
+    found = hits.join(members.select("container_id", "rep"), "rep").select(
         "preset_id", "container_id", "n_hits", "n_sigs", (F.col("n_hits") / F.col("n_sigs")).alias("score"))
-    return found.unionByName(empty_presets(presets, preset_sigs, containers, place))
+    return found.unionByName(empty_presets(presets, banded, containers, place))
 
 
 def route_containers(scored: DataFrame, preset_kind: str, min_match=0.5, force: bool = False,

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from assetlake.functions import text
 from assetlake.operators import assets as A
+from assetlake.operators import facts as FT
 from assetlake.operators import presets as P
 from assetlake.operators import summaries as S
 from assetlake.operators.outcomes import compare_results
@@ -95,7 +96,7 @@ def j7(v):
 
 @query("J8_match_asset_rules", f"WITH {HITS_SQL} SELECT container_id, asset_id, preset_id, rule_no FROM hits")
 def j8(v):
-    return P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
+    return FT.match_asset_rules(v.facts, asset_rules(v), runs(v))
 
 
 @query("J9_missed_rules", f"""
@@ -114,7 +115,7 @@ SELECT preset_id, container_id, n_hits, n_sigs, round(n_hits / n_sigs, 9) AS sco
   SELECT preset_id, container_id, count(*) AS n_hits FROM V_preset_sigs JOIN V_csigs USING (sig) GROUP BY ALL)
 JOIN (SELECT preset_id, count(*) AS n_sigs FROM V_preset_sigs GROUP BY ALL) USING (preset_id)""")
 def j10(v):
-    out = P.match_score(v.preset_sigs, S.fingerprint(v.bindings))
+    out = P.match_score(v.preset_sigs, FT.fingerprint(v.facts))
     return out.withColumn("score", F.round("score", 9))
 
 
@@ -153,7 +154,7 @@ def j11(v):
     c = _places(v)
     p = c.groupBy("rel_dir", "kind").agg(F.min(F.struct("s_acctbal", "container_id")).alias("m")).select(
         F.col("m.container_id").alias("preset_id"), "rel_dir", "kind")
-    sigs = S.fingerprint(v.bindings)
+    sigs = FT.fingerprint(v.facts)
     own = sigs.withColumnRenamed("container_id", "preset_id").join(p.select("preset_id"), "preset_id", "left_semi")
     return P.similar_containers(p, own, c, sigs, _J11_MIN).withColumn("score", F.round("score", 9))
 
@@ -214,9 +215,6 @@ def x2(v):
     return sets.select("o_orderkey", P.sig_overlap(F.col("a"), F.col("b")).cast("long").alias("n_common"))
 
 
-@query("X3_unmatched_sigs", """
-SELECT preset_id, sig FROM V_preset_sigs WHERE sig NOT IN (SELECT sig FROM V_csigs WHERE container_id % 10 = 3)""")
+@query("X3_unmatched_sigs", "SELECT preset_id, sig FROM V_preset_sigs WHERE sig NOT IN (SELECT sig FROM V_csigs)")
 def x3(v):
-    """Against the signatures of a part of the containers; together they hold nearly every signature."""
-    some = S.fingerprint(v.bindings).where("container_id % 10 = 3")
-    return v.preset_sigs.join(some.select("sig"), "sig", "left_anti").select("preset_id", "sig")
+    return v.preset_sigs.join(S.fingerprint(v.bindings).select("sig"), "sig", "left_anti").select("preset_id", "sig")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from assetlake.functions.classify import only_filter
 from assetlake.functions.rules import rule
 from assetlake.operators import assets as A
+from assetlake.operators import facts as FT
 from assetlake.operators import outcomes as O
 from assetlake.operators import presets as P
 from assetlake.operators import resolve as R
@@ -38,7 +39,7 @@ MERGED = f"""merged AS (SELECT container_id, asset_id, count(*) AS k, count(*) F
 HITS = f"""{HITS_SQL}, best AS (SELECT container_id, asset_id, {T.rank_fmt(f"min({T.fmt_rank('format')})")} AS format,
   CAST(max(size) AS INT) AS size, count(*) AS n_hits FROM hits GROUP BY ALL)"""
 
-ROUTES = """routes AS (SELECT container_id, CASE WHEN score >= 0.15 THEN 'apply' ELSE 'uniform' END AS action FROM (
+ROUTES = """routes AS (SELECT container_id, CASE WHEN score >= 0.19 THEN 'apply' ELSE 'uniform' END AS action FROM (
   SELECT s_suppkey AS container_id, coalesce(n, 0) / (SELECT count(*) FROM V_preset_sigs WHERE preset_id = 'Brand#7') AS score
   FROM supplier LEFT JOIN (SELECT container_id, count(*) AS n FROM V_csigs JOIN V_preset_sigs USING (sig)
     WHERE preset_id = 'Brand#7' GROUP BY 1) ON container_id = s_suppkey))"""
@@ -46,8 +47,8 @@ ROUTES = """routes AS (SELECT container_id, CASE WHEN score >= 0.15 THEN 'apply'
 
 def routes(v, copy_skips=False, force=True):
     c = v.supplier.select(F.col("s_suppkey").alias("container_id"), F.lit("clothes").alias("kind"))
-    scored = P.score_against(c, S.fingerprint(v.bindings), v.preset_sigs.where("preset_id = 'Brand#7'"))
-    return P.route_containers(scored, "clothes", 0.15, force, "png", copy_skips)
+    scored = P.score_against(c, FT.fingerprint(v.facts), v.preset_bindings.where("preset_id = 'Brand#7'"))
+    return P.route_containers(scored, "clothes", 0.19, force, "png", copy_skips)
 
 
 @query("R1_resolve_rules", f"""
@@ -65,11 +66,10 @@ SELECT a.container_id, a.asset_id, a.class,
 FROM V_classed a LEFT JOIN merged m USING (container_id, asset_id) LEFT JOIN best b USING (container_id, asset_id)
 LEFT JOIN (SELECT container_id, action = 'uniform' AS u FROM routes) USING (container_id)""")
 def r1(v):
-    sigs = A.asset_signatures(v.bindings)
-    ar = asset_rules(v)
-    hits = P.preset_asset_rules(v.assets, sigs, ar, runs(v))
+    """On the co-partitioned store: every layer meets the assets where they lie."""
+    hits = FT.preset_asset_rules(v.facts, asset_rules(v), runs(v))
     rt = routes(v).withColumn("uniform", rule("png", 256))
-    df = R.resolve_rules(v.assets, v.bindings, plan=plan_quality(v), owner_rules=v.owner_rules, asset_hits=hits, routes=rt)
+    df = R.resolve_rules(v.facts.assets, v.facts.bindings, plan=plan_quality(v), owner_rules=v.owner_rules, asset_hits=hits, routes=rt)
     return df.select("container_id", "asset_id", "class", "rule.format", "rule.size", "rule.sharpen_pct", "rule.up",
                      "keep", "source", "reason")
 
@@ -90,7 +90,7 @@ WITH {MERGED} SELECT container_id, asset_id, n_off = 0 AS enabled, CASE WHEN n_o
   CASE WHEN n_off = 0 THEN sharpen_mode END AS sharpen_mode, CASE WHEN n_off = 0 THEN gray_a END AS gray_a,
   CASE WHEN n_off = 0 THEN up END AS up FROM merged""")
 def r2(v):
-    m = A.merge_owner_rules(v.bindings, v.owner_rules)
+    m = A.merge_owner_rules(v.facts.bindings, v.owner_rules)
     return flat_rule(m.select("container_id", "asset_id", F.col("owner_rule").isNotNull().alias("enabled"), "owner_rule"),
                      "owner_rule")
 
@@ -107,7 +107,7 @@ def r2_two(v):
                                    for b in (0, 1000, 2000) for s in range(1, 8)], f"preset_id:string,owner_key:int,rule:{RULE}")
     both = v.owner_rules.select(F.lit("even").alias("preset_id"), "owner_key", "rule").unionByName(two)
     which = v.supplier.select(F.col("s_suppkey").alias("container_id"), F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd").alias("preset_id"))
-    m = A.merge_owner_rules(v.bindings, both, which)
+    m = A.merge_owner_rules(v.facts.bindings, both, which)
     return m.select("container_id", "asset_id", F.col("owner_rule").isNotNull().alias("enabled"), "owner_rule.format", "owner_rule.size")
 
 
@@ -120,7 +120,7 @@ def r3(v):
 
 @query("R3_preset_asset_rules", f"WITH {HITS} SELECT container_id, asset_id, format, size FROM best")
 def r3b(v):
-    m = P.preset_asset_rules(v.assets, A.asset_signatures(v.bindings), asset_rules(v), runs(v))
+    m = FT.preset_asset_rules(v.facts, asset_rules(v), runs(v))
     return m.select("container_id", "asset_id", "asset_rule.format", "asset_rule.size")
 
 

@@ -75,8 +75,8 @@ CTES = {
     "V_asset_sigs": f"""SELECT DISTINCT container_id, asset_id, {T.sig('owner_key', 'material', 'property')} AS sig
       FROM V_bindings""",
     "V_csigs": "SELECT DISTINCT container_id, sig FROM V_asset_sigs",
-    "V_preset_sigs": f"""SELECT DISTINCT p_brand AS preset_id, {T.sig('l_linenumber', 'p_name', _PROP_SQL)} AS sig
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A'""",
+    "V_preset_sigs": f"""SELECT DISTINCT p_brand AS preset_id, {T.sig('l_linenumber', "p_name || CASE WHEN l_quantity > 48 THEN ' old' ELSE '' END", _PROP_SQL)} AS sig
+      FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "V_containers": """SELECT o_orderkey AS container_id, CAST(round(o_totalprice * 100) AS BIGINT) AS n_bytes_before,
       CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 3 ELSE 6 END AS rc, o_custkey AS root_id, o_orderdate AS mtime,
       o_orderpriority AS priority FROM orders""",
@@ -137,6 +137,9 @@ def obj_type():
     return F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(4)
 
 
+_FACTS = {}
+
+
 class Views:
     """Lazy stand-in views for one directory of tables."""
 
@@ -183,6 +186,15 @@ class Views:
             "container_id", "asset_id", "ord", "obj_type", "coord_idx", "slot", "material", "property",
             keys.owner_key(F.col("obj_type"), F.col("slot")).alias("owner_key"))
 
+    @property
+    def facts(self):
+        """Assets and bindings in the co-partitioned store, written once for a session and directory."""
+        from assetlake.operators.facts import write_facts
+        key = (self.spark.sparkContext.applicationId, self.dir, self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if key not in _FACTS:
+            _FACTS[key] = write_facts(self.assets, self.bindings)
+        return _FACTS[key]
+
     @cached_property
     def gbindings(self):
         g = keys.group_of(F.col("obj_type"), F.col("coord_idx"))
@@ -207,11 +219,15 @@ class Views:
             name.alias("shader"))
 
     @cached_property
-    def preset_sigs(self):
+    def preset_bindings(self):
+        """A preset for each brand, from all its lines; some carry a material that no container has any more. With repeats."""
         from assetlake.functions.text import signature
-        rows = self.lines.where("l_returnflag = 'A'")
-        return rows.select(F.col("p_brand").alias("preset_id"), signature(
-            F.col("l_linenumber"), F.col("p_name"), property_of_part()).alias("sig")).distinct()
+        name = F.concat("p_name", F.when(F.col("l_quantity") > 48, " old").otherwise(""))
+        return self.lines.select(F.col("p_brand").alias("preset_id"), signature(F.col("l_linenumber"), name, property_of_part()).alias("sig"))
+
+    @cached_property
+    def preset_sigs(self):
+        return self.preset_bindings.distinct()
 
     @cached_property
     def containers(self):
