@@ -151,29 +151,55 @@ def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(token), 0), one), "")
 
 
-def translate_glossary(df: DataFrame, key: str, c: str, terms: DataFrame) -> DataFrame:
-    """P20 for a glossary table (source, target) of any size: (key, translated), one row for each distinct key.
-
-    Every stretch of a text as long as some source meets the glossary in an equi join; of the hits of one text, which are
-    at most one for each position, the leftmost are taken in turn. Texts move only as the hits' positions."""
-    terms = terms.where(F.col("source") != "").groupBy("source").agg(F.max("target").alias("target"))
-    texts = df.select(F.col(key).alias("_k"), F.col(c).alias("_t")).dropDuplicates(["_k"])
-    lengths = terms.groupBy(F.length("source").alias("_len")).agg(F.count(F.lit(1)).alias("_n")).agg(F.collect_list("_len")).scalar()
-    at = F.explode(F.sequence(F.lit(1), F.length("_t")))
-    probes = texts.where(F.length("_t") > 0).withColumn("_l", lengths).select("_k", "_t", "_l", at.alias("_at"))
-    probes = probes.select("_k", "_at", F.explode("_l").alias("_n"), "_t").where(F.col("_at") + F.col("_n") - 1 <= F.length("_t"))
-    probes = probes.select("_k", "_at", "_n", F.expr("substring(_t, _at, _n)").alias("source"))
-    hits = probes.join(terms, "source").groupBy("_k", "_at").agg(F.max(F.struct("_n", "target")).alias("h"))
-    hits = hits.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_at", "h._n", "h.target"))).alias("_h"))
-    j = texts.join(hits, "_k", "left")
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+PREFIX = 4  # characters of a term that a place in a text must show before the whole term is looked up
+CHUNK = 256  # hits that one step of the last pass gathers
+
+
+def translate_glossary(df: DataFrame, c: str, terms: DataFrame, name: str = "translated") -> DataFrame:
+    """P20 for a glossary table (source, target) of any size: every row of ``df`` with the translation of column ``c``.
+
+    A trie cut after its first levels: a place in a text first shows its next 1 to 4 characters, which meet the distinct
+    prefixes of the glossary in an equi join; only places with a known prefix are read on, once for each length that terms
+    of this prefix have, and meet the whole terms in a second join. Of the longest terms at their places the leftmost are
+    taken in turn. Cost follows the length of a text: it is taken apart into characters once and never searched from its
+    start again. Equal texts are translated once; a null text stays null. Of a source named twice the greatest target counts."""
+    terms = terms.where(F.col("source").isNotNull() & (F.col("source") != "")).groupBy("source").agg(F.max("target").alias("target"))
+    n_chars = F.length("source")
+    prefixes = terms.groupBy(F.substring("source", 1, PREFIX).alias("prefix")).agg(F.sort_array(F.collect_set(n_chars)).alias("lengths"))
+    digest = F.sha2(F.col(c), 256)
+    chars = F.split(F.col("_t"), "")
+    texts = df.where(F.col(c) != "").select(digest.alias("_d"), F.col(c).alias("_t")).dropDuplicates(["_d"])
+    part = lambda all_, at, n: F.array_join(F.slice(all_, at, n), "")  # noqa: E731  places count from 1
+    cut = texts.select("_d", chars.alias("_c"))
+    starts = lambda n: F.transform(F.col("_c"), lambda _, i: part(F.col("_c"), i + 1, F.lit(n)))
+    probes = cut.select("_d", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), starts(n).alias("p")) for n in range(1, PREFIX + 1)])).alias("x"))
+    probes = probes.select("_d", "x.n", F.posexplode("x.p").alias("at", "prefix"))
+    # a prefix of fewer than PREFIX characters is a whole term; at the end of a text all cuts are as short, and only one is right
+    probes = probes.where(F.length("prefix") == F.col("n"))
+    places = probes.join(prefixes, "prefix").groupBy("_d").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "lengths")).alias("_places"))
+    looked = cut.join(places, "_d").select("_d", "_c", F.explode("_places").alias("p")).select("_d", "_c", "p.at", F.explode("p.lengths").alias("n"))
+    looked = looked.where(F.col("at") + F.col("n") - 1 <= F.size("_c")).select("_d", "at", "n", part(F.col("_c"), F.col("at"), F.col("n")).alias("source"))
+    hits = looked.join(terms, "source").groupBy("_d", "at").agg(F.max(F.struct("n", "target")).alias("h"))
+    hits = hits.groupBy("_d").agg(F.sort_array(F.collect_list(F.struct("at", "h.n", "h.target"))).alias("_h"))
+
+    empty = F.array().cast("array<struct<from:int,at:int,target:string>>")
 
     def take(state, hit):
-        gap = F.substring(F.col("_t"), state["at"], hit["_at"] - state["at"])
-        return F.when(hit["_at"] < state["at"], state).otherwise(F.struct(
-            (hit["_at"] + hit["_n"]).alias("at"), F.concat(state["out"], gap, hit["target"]).alias("out")))
-    done = F.aggregate("_h", start, take, lambda s: F.concat(s["out"], F.col("_t").substr(s["at"], F.length("_t"))))
-    return j.select(F.col("_k").alias(key), F.coalesce(done, F.col("_t")).alias("translated"))
+        """One hit: left out if it begins inside the one before."""
+        kept = F.struct(state["end"].alias("from"), hit["at"].alias("at"), hit["target"].alias("target"))
+        return F.when(hit["at"] < state["end"], state).otherwise(F.struct((hit["at"] + hit["n"]).alias("end"), F.concat(state["kept"], F.array(kept)).alias("kept")))
+
+    def chunk(state, k):
+        inner = F.aggregate(F.slice("_h", k * CHUNK + 1, CHUNK), F.struct(state["end"].alias("end"), empty.alias("kept")), take)
+        return F.struct(inner["end"].alias("end"), F.concat(state["done"], F.array(inner["kept"])).alias("done"))
+    taken = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("_h") - 1) / CHUNK).cast("int")),
+                        F.struct(F.lit(1).alias("end"), F.array().cast("array<array<struct<from:int,at:int,target:string>>>").alias("done")), chunk)
+    done = texts.join(hits, "_d").select("_d", chars.alias("_c"), taken.alias("_s"))
+    pieces = F.transform(F.flatten("_s.done"), lambda h: F.concat(part(F.col("_c"), h["from"], h["at"] - h["from"]), F.coalesce(h["target"], F.lit(""))))
+    rest = part(F.col("_c"), F.col("_s.end"), F.greatest(F.size("_c") - F.col("_s.end") + 1, F.lit(0)))
+    done = done.select("_d", F.concat(F.array_join(pieces, ""), rest).alias("_new"))
+    j = df.withColumn("_key", digest).join(done, F.col("_key") == F.col("_d"), "left")
+    return j.withColumn(name, F.coalesce("_new", F.col(c))).drop("_key", "_d", "_new")
 
 
 # ---- fixed values: script range, and the two shapes of "script then ASCII name" ({s} is the script range) ----

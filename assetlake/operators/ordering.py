@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from assetlake.functions import keys
 from assetlake.functions.classify import class_ord
 from assetlake.functions.text import parse_display_number
-from assetlake.session import cut_lineage
 
 
 def order_by_class(df: DataFrame, *after) -> DataFrame:
@@ -43,21 +42,45 @@ def cap_details(df: DataFrame, n: int, by=("container_id", "kind"), ord=("ord",)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+SAMPLED = 20  # rows of the sample for each slice: slices then differ by about a fifth in size
+
+
+def _sliced(df: DataFrame, key: Column, n_slices: int) -> DataFrame:
+    """``df`` with the slice (_slice: 0, 1, ...) of each row in the order of ``key``, an orderable struct.
+
+    Bounds are every 20th of a sample of some 20 rows a slice, kept in order by one aggregate (a few thousand keys at most)
+    and read as a scalar subquery. A row is in the sample by the hash of its key alone, so every reader of ``df`` cuts it at
+    the same places and nothing has to be written down in between."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    rate = F.greatest(F.floor(total / F.lit(SAMPLED * n_slices)), F.lit(1))
+    sample = df.select(key.alias("k")).where(F.pmod(F.xxhash64(F.lit(3), "k"), rate) == 0)
+    bounds = sample.agg(F.sort_array(F.collect_set("k")).alias("b")).select(F.filter("b", lambda x, i: i % SAMPLED == SAMPLED - 1)).scalar()
+    placed = df.withColumns({"_bounds": bounds, "_key": key})
+    return placed.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds", "_key")
+
+
 def rank_within(df: DataFrame, by, order, name: str = "rank", buckets: int = None) -> DataFrame:
-    """Row number per key without putting a key into one task.
-
-    Rows are range partitioned on (key, order); the split is written down once (cut_lineage), because
-    range bounds are sampled and must not change between the two reads below. Numbers inside a slice
-    come from a window on (key, slice); slices of a key are stacked by their counts."""
-    by, order = list(by), list(order)
-    args = [buckets] if buckets else []
-    cut = cut_lineage(df.repartitionByRange(*args, *by, *order).withColumn("_slice", F.spark_partition_id()))
+    """Row number per key without putting a key into one task, by distributed prefix sums.
+
+    ``order``: columns, ascending (negate a number to turn it round). Rows are cut into slices of the order (key, order); a
+    window numbers each slice of a key, the slices' counts add up along a key, and a row's number is its place in its slice
+    plus what stands before. Rows equal in key and order are told apart by a hash of their values; only rows equal in all
+    columns cannot be told apart, and share a slice. ``df`` must give the same rows each time it is read. ``buckets``: the
+    number of slices (default: the session's shuffle partitions, at most 256, as every row is compared with their bounds)."""
+    by, order = list(by), [F.col(c) if isinstance(c, str) else c for c in order]
+    n = min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256)
+    tie = F.xxhash64(*df.columns)
+    key = F.struct(*[F.col(c) for c in by], *[o.alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
+    cut = _sliced(df, key, n)
     sizes = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     w = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_slice", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_off"))
-    inner = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
-    numbered = cut.withColumn("_n", inner).join(offsets, by + ["_slice"])
-    return numbered.withColumn(name, F.col("_n") + F.col("_off")).drop("_n", "_off", "_slice")
+    offsets = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slice").alias("_s"), F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_off"))
+    numbered = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order, tie)))
+    same = F.col("_slice") == F.col("_s")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    j = numbered.join(offsets, same)
+    return j.withColumn(name, F.col("_n") + F.col("_off")).select(*df.columns, name)
 
 
 def dedupe_names(df: DataFrame, existing: DataFrame, order=("path",)) -> DataFrame:

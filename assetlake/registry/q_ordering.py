@@ -43,7 +43,7 @@ FROM (SELECT DISTINCT container_id, owner_key, asset_id FROM V_bindings) JOIN V_
 def w4(v):
     rows = v.bindings.select("container_id", "owner_key", "asset_id").distinct().join(
         v.assets.select("container_id", "asset_id", "n_bytes"), ["container_id", "asset_id"])
-    ranked = W.rank_within(rows, ["container_id", "owner_key"], [F.col("n_bytes").desc(), F.col("asset_id")], "pos")
+    ranked = W.rank_within(rows, ["container_id", "owner_key"], [-F.col("n_bytes"), F.col("asset_id")], "pos")
     return W.order_assets(ranked).select("container_id", "owner_key", "asset_id", "n_bytes", "pos")
 
 

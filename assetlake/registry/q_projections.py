@@ -283,7 +283,26 @@ def p20_table(v):
                           F.concat(F.lit("["), F.upper("c_name"), F.lit("]")).alias("target"))
     more = v.spark.createDataFrame([("1-URGENT", "now"), ("2-HIGH", "soon"), ("<", "?"), ("", "never")], "source string, target string")
     t = v.orders.select("o_orderkey", F.concat(F.lit("<"), F.col("o_custkey").cast("string"), F.lit("> for "), "o_orderpriority").alias("t"))
-    return text.translate_glossary(t, "o_orderkey", "t", c.unionByName(more))
+    return text.translate_glossary(t, "t", c.unionByName(more)).select("o_orderkey", "translated")
+
+
+@query("P20_translate_long_texts", """
+WITH RECURSIVE w AS (SELECT DISTINCT word, count(*) OVER (PARTITION BY word) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM benchmark)),
+t AS (SELECT doc_id, regexp_extract_all(text, '(?s)[a-z]+|[^a-z]+') AS parts FROM documents),
+u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM t)
+SELECT doc_id, sha256(string_agg(CASE WHEN prev = ' ' AND next = ' ' THEN coalesce('<' || n || '>', part) ELSE part END, '' ORDER BY i)) AS digest FROM (
+  SELECT doc_id, part, i, n, right(lag(part) OVER p, 1) AS prev, left(lead(part) OVER p, 1) AS next FROM u LEFT JOIN w ON part = word WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+GROUP BY doc_id""")
+def p20_long(v):
+    """Whole documents, a glossary of all benchmark words between two spaces: the number of times the benchmark has them.
+
+    Both spaces belong to a term, so that no word inside another is found; each space of the text is doubled first, which
+    gives every word its own."""
+    words = v.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    terms = words.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("source"), F.concat(F.lit(" <"), F.col("n").cast("string"), F.lit("> ")).alias("target"))
+    doubled = v.documents.select("doc_id", F.replace("text", F.lit(" "), F.lit("  ")).alias("t"))
+    out = text.translate_glossary(doubled, "t", terms)
+    return out.select("doc_id", F.sha2(F.replace("translated", F.lit("  "), F.lit(" ")), 256).alias("digest"))
 
 
 @query("P21_strip_tail", "SELECT p_partkey, p_name AS tail, p_name || '!' AS fragment FROM part")

@@ -267,6 +267,44 @@ def i1(v):
     return I.new_files(v.files, manifest, ident).select("page_id")
 
 
+_LISTED = """one AS (SELECT path || '#' || page_id AS path, mtime, n_chars AS length FROM V_files),
+two AS (SELECT path || '#' || page_id AS path, CASE WHEN event_type = 'view' THEN mtime + INTERVAL 1 SECOND ELSE mtime END AS mtime,
+  CASE WHEN event_type = 'error' THEN n_chars + 1 ELSE n_chars END AS length FROM V_files JOIN events ON event_id = page_id WHERE event_type <> 'signup')"""
+
+
+@query("I1_stream_arrivals", f"""
+WITH {_LISTED}, a AS (SELECT *, CASE WHEN length % 7 = 3 THEN 2 ELSE 0 END AS rc FROM one),
+todo AS (SELECT a.path, coalesce(two.mtime, a.mtime) AS mtime, coalesce(two.length, a.length) AS length FROM a LEFT JOIN two USING (path)
+  WHERE rc = 2 OR two.mtime <> a.mtime OR two.length <> a.length),
+b AS (SELECT *, CASE WHEN length % 11 = 5 THEN 4 ELSE 0 END AS rc FROM todo)
+SELECT path, length, rc, CAST(0 AS INT) AS batch_id FROM a UNION ALL SELECT path, length, rc, 1 FROM b UNION ALL
+SELECT path, length, 0, 2 FROM b WHERE rc = 4""")
+def i1_stream(v):
+    """Two listings of the corpus, the second without some files and with others changed, and a third run without any: only
+    what is new, changed or failed before is scanned."""
+    import os
+    import uuid
+
+    from assetlake.session import shared_dir
+    home = os.path.join(shared_dir(v.spark), "arrivals-" + uuid.uuid4().hex)
+    one = v.files.select(F.concat_ws("#", "path", "page_id").alias("path"), F.col("mtime").alias("modificationTime"), F.col("n_chars").cast("long").alias("length"), "page_id")
+    e = F.col("event_type")
+    two = one.join(v.events.select("event_id", "event_type"), F.col("event_id") == F.col("page_id")).where("event_type <> 'signup'").select(
+        "path", F.when(e == "view", F.col("modificationTime") + F.expr("interval 1 second")).otherwise(F.col("modificationTime")).alias("modificationTime"),
+        (F.col("length") + (e == "error").cast("long")).alias("length"))
+
+    def run(fails, code):
+        listing = v.spark.readStream.schema("path string, modificationTime timestamp, length long").option("recursiveFileLookup", "true").parquet(home + "/listings")
+        rc = F.when(fails, code).otherwise(0)
+        I.scan_arrivals(listing, lambda d: d.withColumn("rc", rc), home + "/scans", home + "/checkpoint")
+    one.drop("page_id").write.parquet(home + "/listings/1")
+    run(F.col("length") % 7 == 3, 2)
+    two.write.parquet(home + "/listings/2")
+    run(F.col("length") % 11 == 5, 4)
+    run(F.lit(False), 2)
+    return I.outcomes(v.spark, home + "/scans").select("path", "length", "rc", "batch_id")
+
+
 @query("I2_running_totals", """
 SELECT event_type AS class, count(*) AS n_assets, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS n_bytes,
   CAST(max(user_id) AS BIGINT) AS max_dim FROM events GROUP BY 1""")
@@ -282,7 +320,7 @@ def i2(v):
     rows = src.select(F.col("event_type").alias("class"), F.round(F.col("value") * 100).cast("long").alias("n_bytes"),
                       F.col("user_id").alias("dim"))
     I.drain(I.running_totals(rows), home + "/checkpoint", home + "/totals")
-    return v.spark.read.parquet(home + "/totals")
+    return I.read_totals(v.spark, home + "/totals")
 
 
 @query("I2_batch_equals_stream", """

@@ -41,7 +41,51 @@ def test_stream_totals_equal_batch_as_files_arrive(spark, tmp_path):
             shutil.copy(f, src / f"{i}.parquet")
         I.drain(I.running_totals(spark.readStream.schema(schema).parquet(str(src))), ck, out)
     want = I.running_totals(spark.createDataFrame(data, schema))
-    assert rows(spark.read.parquet(out)) == rows(want)
+    assert rows(I.read_totals(spark, out)) == rows(want)
+    assert I.current_version(spark, out) == 1
+
+
+def totals(spark, *data):
+    return spark.createDataFrame(data, "class string, n_assets long, n_bytes long, max_dim int")
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "totals")
+    assert I.current_version(spark, root) is None and I.read_totals(spark, root).count() == 0
+    I.upsert_totals(totals(spark, ("a", 1, 1, 1), (None, 2, 2, 2)), 0, root)
+    I.upsert_totals(totals(spark, (None, 5, 5, 5), ("b", 3, 3, 3)), 1, root)
+    want = {("a", 1, 1, 1), (None, 5, 5, 5), ("b", 3, 3, 3)}
+    assert {tuple(r) for r in I.read_totals(spark, root).collect()} == want
+    for again in (0, 1):
+        I.upsert_totals(totals(spark, ("a", 9, 9, 9)), again, root)
+    assert {tuple(r) for r in I.read_totals(spark, root).collect()} == want and I.current_version(spark, root) == 1
+    before = I.read_totals(spark, root)
+    totals(spark, ("half", 1, 1, 1)).write.parquet(root + "/v=2")  # an attempt that failed before the pointer moved
+    assert {tuple(r) for r in I.read_totals(spark, root).collect()} == want
+    I.upsert_totals(totals(spark, ("a", 7, 7, 7)), 2, root)
+    assert {tuple(r) for r in I.read_totals(spark, root).collect()} == want - {("a", 1, 1, 1)} | {("a", 7, 7, 7)}
+    assert {tuple(r) for r in before.collect()} == want  # readers of the version before go on
+    assert sorted(p.name for p in (tmp_path / "totals").glob("v=*")) == ["v=1", "v=2"]
+
+
+def test_stream_scans_new_changed_and_failed_files(spark, tmp_path):
+    from datetime import datetime, timezone
+    at = lambda n: datetime(2024, 1, 1, 0, 0, n, tzinfo=timezone.utc)
+    schema, root, listings = "path string, modificationTime timestamp, length long", str(tmp_path / "scans"), str(tmp_path / "listings")
+    known = spark.createDataFrame([("old", at(0), 1)], schema)
+
+    def run(k, rows_, bad=()):
+        if rows_:
+            spark.createDataFrame(rows_, schema).write.parquet(f"{listings}/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(listings)
+        scan = lambda d: d.withColumn("rc", F.when(F.col("path").isin(*bad), 2).otherwise(0))
+        I.scan_arrivals(stream, scan, root, str(tmp_path / "ck"), known)
+        return sorted((r.path, r.length) for r in I.outcomes(spark, root).where(F.col("batch_id") == k).collect())
+    assert run(0, [("a", at(1), 5), ("b", at(1), 6), ("old", at(0), 1), ("a", at(1), 5)], bad=["b", "none"]) == [("a", 5), ("b", 6)]
+    assert run(1, [("a", at(1), 5), ("b", at(1), 6), ("c", at(2), 7)], bad=["b", "c"]) == [("b", 6), ("c", 7)]
+    assert run(2, [("a", at(3), 5), ("c", at(2), 8), ("c", at(2), 7)], bad=["none"]) == [("a", 5), ("b", 6), ("c", 8)]
+    assert run(3, [("a", at(3), 5), ("b", at(1), 6)], bad=["none"]) == []
+    assert {(r.path, r.length) for r in I.stream_manifest(spark, root).collect()} == {("a", 5), ("b", 6), ("c", 8)}
 
 
 def test_file_stream_lists_images(spark, tmp_path):
