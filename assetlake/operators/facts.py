@@ -101,6 +101,34 @@ def preset_asset_rules(facts: Facts, asset_rules: DataFrame, runs: DataFrame = N
     return best.select(*ASSET_KEY, rule(F.col("f.format"), F.col("s")).alias("asset_rule"))
 
 
+def found_rules(facts: Facts, asset_rules: DataFrame, runs: DataFrame) -> DataFrame:
+    """Distinct (container_id, preset_id, rule_no) of rules that found something: an asset with the rule's id got any rule,
+    or one of the rule's signatures exists on the container, even if that match was not used."""
+    used = match_asset_rules(facts, asset_rules, runs).select("container_id", F.concat(F.lit("i"), F.col("asset_id").cast("string")).alias("token"))
+    carried = facts.bindings.select("container_id", F.concat(F.lit("s"), "sig").alias("token"))
+    tokens = _tagged(carried.unionByName(used).distinct(), runs)
+    return tokens.join(rule_tokens(asset_rules, "rule_no"), ["preset_id", "token"]).select("container_id", "preset_id", "rule_no").distinct()
+
+
+def missed_counts(facts: Facts, asset_rules: DataFrame, runs: DataFrame) -> DataFrame:
+    """J9 as a complement: for each run (container_id, preset_id) how many rules its preset has (n_rules) and how many of them
+    found nothing (n_missed). Only what was found is listed; containers never meet the rules they missed."""
+    total = asset_rules.groupBy("preset_id").agg(F.count_distinct("rule_no").alias("n_rules"))
+    found = found_rules(facts, asset_rules, runs).groupBy("container_id", "preset_id").agg(F.count(F.lit(1)).alias("_found"))
+    rows = runs.select("container_id", "preset_id").distinct().join(total, "preset_id").join(found, ["container_id", "preset_id"], "left")
+    return rows.select("container_id", "preset_id", "n_rules", (F.col("n_rules") - F.coalesce("_found", F.lit(0).cast("long"))).alias("n_missed"))
+
+
+def missed_rules(facts: Facts, asset_rules: DataFrame, runs: DataFrame, asked: DataFrame = None) -> DataFrame:
+    """(container_id, preset_id, rule_no) of rules that found nothing, for the containers of ``asked`` (container_id; None:
+    for all runs). Rules are listed only for runs that miss any."""
+    if asked is not None:
+        runs = runs.join(asked.select("container_id"), "container_id", "left_semi")
+    some = missed_counts(facts, asset_rules, runs).where("n_missed > 0").select("container_id", "preset_id")
+    every = some.join(asset_rules.select("preset_id", "rule_no").distinct(), "preset_id")
+    return every.join(found_rules(facts, asset_rules, runs), ["container_id", "preset_id", "rule_no"], "left_anti").select("container_id", "preset_id", "rule_no")
+
+
 def fingerprint(facts: Facts) -> DataFrame:
     """A7 (plain containers) on the store: signatures of containers, one row for each asset that carries one. Not distinct:
     whoever counts them must."""

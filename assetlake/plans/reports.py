@@ -49,11 +49,18 @@ def plan_corpus(inv: dict, plan: DataFrame = None, owner_rules: DataFrame = None
     """Q4: rule, reason, format, cap and target size for every asset of the corpus.
 
     inv["assets"] carries width, height, flat_alpha and circle_only (defaults when absent)."""
-    assets = inv["assets"]
+    df = R.resolve_rules(_with_alpha(inv["assets"]), inv["bindings"], plan=plan, owner_rules=owner_rules, **kw)
+    return _sized_plan(df, own_max, up, protect)
+
+
+def _with_alpha(assets: DataFrame) -> DataFrame:
     for c in ("flat_alpha", "circle_only"):
         if c not in assets.columns:
             assets = assets.withColumn(c, F.lit(c == "flat_alpha"))
-    df = R.resolve_rules(assets, inv["bindings"], plan=plan, owner_rules=owner_rules, **kw)
+    return assets
+
+
+def _sized_plan(df: DataFrame, own_max: int, up: int, protect: bool) -> DataFrame:
     df = R.decide_format(df)
     df = R.protect_exclusive(df, own_max) if protect else df.withColumn("protected", F.lit(False))
     return R.plan_sizes(df, up)
@@ -74,17 +81,29 @@ def summarise(candidates: DataFrame, containers: DataFrame) -> dict:
     return {"outcomes": outcomes, "containers": rollup, "batch": S.batch_summary(co), "lists": S.batch_lists(co)}
 
 
-def compare_plans(inv: dict, plans: DataFrame, plan_ids, bytes_per_pixel: float = 1.0, **kw) -> DataFrame:
+PROFILE = ["class", "risky", "exclusive", "width", "height", "flat_alpha", "circle_only", "n_bytes"]
+
+
+def asset_profiles(inv: dict) -> DataFrame:
+    """Assets that no plan can tell apart, as one row with their number (weight): PROFILE and weight."""
+    df = R.resolve_rules(_with_alpha(inv["assets"]), inv["bindings"])
+    return df.groupBy(*PROFILE).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def compare_plans(inv: dict, plans: DataFrame, plan_ids, bytes_per_pixel: float = 1.0, own_max: int = 4096, up: int = 0,
+                  protect: bool = True) -> DataFrame:
     """Q6: the same corpus under several plans, side by side per class: assets a plan changes and bytes
     after scaling every changed asset by its share of kept pixels.
 
-    Plans meet assets through the class key; the pivot runs on (class, plan) rows."""
-    df = plan_corpus(inv, plan=plans, **kw)
+    Assets collapse to distinct profiles with weights before plans meet them through the class key, so the sweep grows with
+    the profiles, not with the assets; the pivot runs on (class, plan) rows."""
+    df = R.rules_by_class(asset_profiles(inv), plans).withColumn("rule", F.col("class_rule"))
+    df = _sized_plan(df.withColumn("keep", F.coalesce(F.col("rule.format") == "keep", F.lit(False))), own_max, up, protect)
     share = (F.col("target_width") * F.col("target_height")).cast("double") / F.greatest(
         F.col("width") * F.col("height"), F.lit(1))
     after = F.when(F.col("keep"), F.col("n_bytes")).otherwise(
         F.least(F.floor(F.col("n_bytes") * share * F.lit(float(bytes_per_pixel))), F.col("n_bytes")))
     per = df.groupBy("class", "plan_id").agg(
-        F.count_if(~F.col("keep")).alias("changed"), F.sum(after).cast("long").alias("bytes_after"))
+        F.sum(F.when(~F.col("keep"), F.col("weight")).otherwise(0)).alias("changed"), F.sum(after * F.col("weight")).cast("long").alias("bytes_after"))
     return per.groupBy("class").pivot("plan_id", list(plan_ids)).agg(
         F.first("changed").alias("changed"), F.first("bytes_after").alias("bytes_after"))

@@ -105,9 +105,17 @@ used AS (SELECT DISTINCT container_id, CAST(asset_id AS VARCHAR) AS asset_id FRO
 seen AS (SELECT DISTINCT container_id, preset_id, rule_no FROM rs JOIN V_csigs USING (sig))
 SELECT container_id, preset_id, rule_no FROM want ANTI JOIN used USING (container_id, asset_id) ANTI JOIN seen USING (container_id, preset_id, rule_no)""")
 def j9(v):
-    sigs = A.asset_signatures(v.bindings)
-    ar, r = asset_rules(v), runs(v)
-    return P.missed_rules(ar, P.match_asset_rules(v.assets, sigs, ar, r), sigs, r)
+    return FT.missed_rules(v.facts, asset_rules(v), runs(v))
+
+
+@query("J9_missed_counts", f"""
+WITH {HITS_SQL}, used AS (SELECT DISTINCT container_id, CAST(asset_id AS VARCHAR) AS asset_id FROM hits),
+found AS (SELECT container_id, preset_id, rule_no FROM runs JOIN ar USING (preset_id) JOIN used USING (container_id, asset_id)
+  UNION SELECT container_id, preset_id, rule_no FROM runs JOIN rs USING (preset_id) JOIN V_csigs USING (container_id, sig))
+SELECT container_id, preset_id, n_rules, n_rules - coalesce(n, 0) AS n_missed FROM runs JOIN (SELECT preset_id, count(*) AS n_rules FROM ar GROUP BY 1) USING (preset_id)
+LEFT JOIN (SELECT container_id, preset_id, count(*) AS n FROM found GROUP BY ALL) USING (container_id, preset_id)""")
+def j9_counts(v):
+    return FT.missed_counts(v.facts, asset_rules(v), runs(v))
 
 
 @query("J10_match_score", """

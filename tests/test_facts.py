@@ -53,6 +53,33 @@ def test_the_store_gives_what_the_plain_joins_give(spark, with_runs):
     assert not [t for t in spark.catalog.listTables() if t.name == store.assets.inputFiles()[0].rsplit("/", 2)[1]]
 
 
+def test_missed_rules_as_a_complement(spark):
+    assets, b, rules = small_case(spark, 3)
+    runs = spark.createDataFrame([(c, f"p{c % 4}") for c in range(9)], "container_id long, preset_id string")
+    store, sigs = FT.write_facts(assets, b, 3), A.asset_signatures(b)
+    want = rows(P.missed_rules(rules, P.match_asset_rules(assets, sigs, rules, runs), sigs, runs))
+    assert rows(FT.missed_rules(store, rules, runs)) == want and len(want) > 10
+    counts = {(r.container_id, r.preset_id): (r.n_rules, r.n_missed) for r in FT.missed_counts(store, rules, runs).collect()}
+    for (c, p), (n, missed) in counts.items():
+        assert n == rules.where(F.col("preset_id") == p).count() and missed == sum(w[:2] == (c, p) for w in want)
+    assert len(counts) == 7  # two containers run a preset without rules
+    asked = spark.createDataFrame([(1,), (2,)], "container_id long")
+    assert rows(FT.missed_rules(store, rules, runs, asked)) == [w for w in want if w[0] in (1, 2)]
+
+
+def test_the_sweep_meets_profiles_not_assets(spark):
+    from assetlake.operators.resolve import builtin_plans
+    from assetlake.plans import reports
+    n = 500
+    assets = spark.range(n).select(F.lit(1).alias("container_id"), F.col("id").alias("asset_id"), F.lit(1000).cast("long").alias("n_bytes"),
+                                   F.lit(4000).alias("width"), F.lit(2000).alias("height"))
+    b = assets.select("container_id", "asset_id", F.lit("MainTex").alias("property"), F.lit(1).alias("owner_key"))
+    inv = {"assets": assets, "bindings": b}
+    assert [r.weight for r in reports.asset_profiles(inv).collect()] == [n]
+    r = reports.compare_plans(inv, builtin_plans(spark).where("plan_id in ('optimise', 'quality')"), ["optimise", "quality"], protect=False).first()
+    assert (r.optimise_changed, r.quality_changed, r.optimise_bytes_after, r.quality_bytes_after) == (n, n, 1000 * n, 262 * n)
+
+
 def crowd(spark, n=3000):
     """One signature on every container, a few on many, one of its own for each."""
     c = spark.range(n).select(F.col("id").alias("container_id"), F.lit("d").alias("rel_dir"), F.lit("clothes").alias("kind"))
