@@ -153,14 +153,16 @@ def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
 
 PREFIX = 4  # characters of a term that a place in a text must show before the whole term is looked up
 CHUNK = 256  # hits that one step of the last pass gathers
+FEW_PREFIXES = 200_000  # of at most 4 characters each: some megabytes in every task
 
 
 def translate_glossary(df: DataFrame, c: str, terms: DataFrame, name: str = "translated") -> DataFrame:
     """P20 for a glossary table (source, target) of any size: every row of ``df`` with the translation of column ``c``.
 
-    A trie cut after its first levels: a place in a text first shows its next 1 to 4 characters, which meet the distinct
-    prefixes of the glossary in an equi join; only places with a known prefix are read on, once for each length that terms
-    of this prefix have, and meet the whole terms in a second join. Of the longest terms at their places the leftmost are
+    A trie cut after its first levels: only places whose character begins some term go on; such a place shows its next 1 to 4
+    characters (those of the lengths in use), which meet the distinct prefixes of the glossary in an equi join; only places
+    with a known prefix are read on, once for each length that terms of this prefix have, and meet the whole terms in a
+    second join. The prefixes are counted first: up to ``FEW_PREFIXES`` they are broadcast, more are joined by a shuffle. Of the longest terms at their places the leftmost are
     taken in turn. Cost follows the length of a text: it is taken apart into characters once and never searched from its
     start again. Equal texts are translated once; a null text stays null. Of a source named twice the greatest target counts."""
     terms = terms.where(F.col("source").isNotNull() & (F.col("source") != "")).groupBy("source").agg(F.max("target").alias("target"))
@@ -171,14 +173,19 @@ def translate_glossary(df: DataFrame, c: str, terms: DataFrame, name: str = "tra
     texts = df.where(F.col(c) != "").select(digest.alias("_d"), F.col(c).alias("_t")).dropDuplicates(["_d"])
     part = lambda all_, at, n: F.array_join(F.slice(all_, at, n), "")  # noqa: E731  places count from 1
     cut = texts.select("_d", chars.alias("_c"))
-    starts = lambda n: F.transform(F.col("_c"), lambda _, i: part(F.col("_c"), i + 1, F.lit(n)))
-    probes = cut.select("_d", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), starts(n).alias("p")) for n in range(1, PREFIX + 1)])).alias("x"))
-    probes = probes.select("_d", "x.n", F.posexplode("x.p").alias("at", "prefix"))
-    # a prefix of fewer than PREFIX characters is a whole term; at the end of a text all cuts are as short, and only one is right
-    probes = probes.where(F.length("prefix") == F.col("n"))
-    places = probes.join(prefixes, "prefix").groupBy("_d").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "lengths")).alias("_places"))
-    looked = cut.join(places, "_d").select("_d", "_c", F.explode("_places").alias("p")).select("_d", "_c", "p.at", F.explode("p.lengths").alias("n"))
-    looked = looked.where(F.col("at") + F.col("n") - 1 <= F.size("_c")).select("_d", "at", "n", part(F.col("_c"), F.col("at"), F.col("n")).alias("source"))
+    known, lengths = prefixes.agg(F.count(F.lit(1)), F.collect_set(F.length("prefix"))).first()  # at most four lengths
+    if known <= FEW_PREFIXES:
+        prefixes = F.broadcast(prefixes)
+    firsts = terms.agg(F.array_join(F.collect_set(F.substring("source", 1, 1)), "")).scalar()
+    begins = cut.withColumn("_f", firsts).select("_d", "_c", F.filter(
+        F.sequence(F.lit(1), F.size("_c")), lambda i: F.contains(F.col("_f"), F.get(F.col("_c"), i - 1))).alias("_b"))
+    # near a text's end the cuts of several lengths are the same; everything read off a text is made before rows are
+    shown = lambda i: F.array_distinct(F.array(*[F.struct(i.alias("at"), part(F.col("_c"), i, F.lit(n)).alias("prefix")) for n in sorted(lengths or [1])]))
+    probes = begins.select("_d", F.explode(F.flatten(F.transform("_b", shown))).alias("p")).select("_d", "p.at", "p.prefix")
+    places = probes.join(prefixes, "prefix").groupBy("_d").agg(F.collect_list(F.struct("at", "lengths")).alias("_places"))
+    read = lambda p: F.transform(p["lengths"], lambda n: F.struct(p["at"].alias("at"), n.alias("n"), part(F.col("_c"), p["at"], n).alias("source")))
+    looked = cut.join(places, "_d").select("_d", F.explode(F.flatten(F.transform("_places", read))).alias("l")).select("_d", "l.at", "l.n", "l.source")
+    looked = looked.where(F.length("source") == F.col("n"))
     hits = looked.join(terms, "source").groupBy("_d", "at").agg(F.max(F.struct("n", "target")).alias("h"))
     hits = hits.groupBy("_d").agg(F.sort_array(F.collect_list(F.struct("at", "h.n", "h.target"))).alias("_h"))
 
