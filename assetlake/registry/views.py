@@ -293,7 +293,7 @@ class Views:
         v, i = F.col("v"), F.col("i")
         height = self.embeddings.agg((F.floor(F.max("vec_id") / 32) + 1).cast("int")).scalar()
         return self._cells().select(
-            F.lit(0).alias("img_id"), F.floor(F.col("vec_id") / 32).cast("int").alias("y"), ((F.col("vec_id") % 32) * 64 + i).cast("int").alias("x"),
+            F.floor(F.col("vec_id") / (1 << 40)).cast("int").alias("img_id"), F.floor(F.col("vec_id") / 32).cast("int").alias("y"), ((F.col("vec_id") % 32) * 64 + i).cast("int").alias("x"),
             v.alias("r"), ((v * 3) % 256).alias("g"), (255 - v).alias("b"), F.when(i % 2 == 0, 255).otherwise(v).alias("a"),
             F.lit(2048).alias("width"), height.alias("height"))
 
