@@ -73,7 +73,6 @@ UP_CEILING = 4096
 HEAD_BYTES = 1 << 20
 HDR_HEADER_LINES = 64
 REPORT_PROPERTY_CHARS = 56
-DETAIL_CAPS = {"default": 12, "ids": 20}
 
 # ---- fixed values: built-in plans, (format, size) for maintex and for every other class -------------------
 BUILTIN_PLANS = {
@@ -83,15 +82,6 @@ BUILTIN_PLANS = {
     "performance": (("auto", 1024), ("auto", 512)),
     "aggressive": (("auto", 1024), ("auto", 512)),
 }
-# ---- fixed values: settings stored with the built-in plans ---------------------------------------------------
-BUILTIN_SETTINGS = {
-    "optimise": {"own_protect": True, "own_max": 0, "sharpen": "", "sharpen_pct": 100, "sharpen_mode": None},
-    "quality": {"own_protect": True, "own_max": 4096, "sharpen": "", "sharpen_pct": 100, "sharpen_mode": None},
-    "performance": {"own_protect": True, "own_max": 2048, "sharpen": "edge", "sharpen_pct": 150,
-                    "sharpen_mode": "cas"},
-    "aggressive": {"own_protect": False, "own_max": 2048, "sharpen": "edge", "sharpen_pct": 200,
-                   "sharpen_mode": "cas"},
-}
 
 # ---- fixed values: luminance weights (r, g, b) and shift -------------------------------------------------------
 LUMA = (77, 151, 28)

@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 from assetlake.fixed import CLASS_KEYWORDS, CLASS_ORDER, DATA_CLASSES, RISKY_WORDS
 
-_PRIORITY = [c for c, _ in CLASS_KEYWORDS] + ["other"]
-
 
 def property_rank(prop: Column, rules=CLASS_KEYWORDS) -> Column:
     """Priority of one property: 0 is the first class of ``rules``, len(rules) means no hit.

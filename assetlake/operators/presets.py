@@ -240,11 +240,6 @@ def build_presets(bindings: DataFrame, owner_rules: DataFrame = None, asset_rule
     return out
 
 
-def build_preset(bindings: DataFrame, container_id, **kw) -> dict:
-    """R10 for one container."""
-    return build_presets(bindings.where(F.col("container_id") == container_id), **kw)
-
-
 def infer_kind(owner_rules: DataFrame) -> DataFrame:
     """A preset with any group x slot key is for grouped containers."""
     return owner_rules.groupBy("preset_id").agg(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from assetlake import fixed as K
 from assetlake.functions import keys
-from assetlake.functions.classify import is_data_class
 from assetlake.functions.rules import no_rule, rule, rule_text
 from assetlake.functions.sizes import shrink_scale, target_size, upscale_plan
 from assetlake.operators.assets import asset_profile
@@ -260,7 +259,3 @@ def merge_settings(*layers, fields) -> dict:
     """Presence semantics over nullable columns, first layer wins: an absent field never acts as
     false or 0. layers are column prefixes (explicit, file, default); returns {field: Column}."""
     return {f: F.coalesce(*[F.col(p + f) for p in layers]) for f in fields}
-
-
-def is_colour(cls: Column) -> Column:
-    return ~is_data_class(cls)
