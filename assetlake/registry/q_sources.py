@@ -12,6 +12,7 @@ from assetlake.registry.views import _PROP_SQL
 from assetlake.sources import containers as C
 from assetlake.sources import corpus, rules_json, sinks
 from assetlake.sources import sniff as N
+from assetlake.sources import walk as W
 from assetlake.streaming import incremental as I
 
 # ---- listing ------------------------------------------------------------------------------------
@@ -40,6 +41,27 @@ def s1(v):
     return kept.join(out, "host", "left_anti").select("page_id", "rel_dir")
 
 
+@query("S1_walk_tree", f"""
+WITH {_LISTING}, named AS (SELECT page_id, rel_dir, host, split_part(rel_dir, '/', 2) AS lang FROM dirs)
+SELECT page_id, rel_dir FROM named WHERE NOT contains(rel_dir, '[Zip]') AND length(host) % 4 <> 0
+AND host NOT IN (SELECT max(host) FROM dirs) AND NOT (lang <> '' AND (length(host) + length(lang)) % 4 = 1)""")
+def s1_walk(v):
+    files = _listing(v).select("path", "host", F.split("path", "/").alias("p"))
+    steps = F.sequence(F.lit(2), F.size("p") - 1)
+    entries = files.select("p", F.explode(steps).alias("n")).select(
+        F.array_join(F.slice("p", F.lit(1), F.col("n")), "/").alias("dir"), F.get("p", F.col("n")).alias("name"), (F.col("n") < F.size("p") - 1).alias("is_dir"))
+    host, lang = F.get(F.split("dir", "/"), F.lit(2)), F.get(F.split("dir", "/"), F.lit(3))
+    # a marker at the root hides nothing; every fourth host, and some directories one step below a host, have one
+    marked = (host.isNull() | (lang.isNull() & (F.length(host) % 4 == 0))
+              | (lang.isNotNull() & (F.size(F.split("dir", "/")) == 4) & ~lang.contains("[Zip]") & ((F.length(host) + F.length(lang)) % 4 == 1)))
+    marks = entries.where(marked).select("dir", F.lit(corpus.DEFAULT_MARKER).alias("name"), F.lit(False).alias("is_dir"))
+    tree = entries.unionByName(marks).distinct().withColumns({"length": F.lit(0).cast("long"), "modificationTime": F.lit(None).cast("timestamp")})
+    out = files.agg(F.max("host")).first()[0]
+    roots = files.limit(1).select(F.lit("file:/corpus").alias("dir"))
+    found = W.walk(roots, W.table_lister(tree), exclude=f"file:/corpus/{(out or '').upper()}")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.png\z", 1).cast("long").alias("page_id"), "rel_dir")
+
+
 @query("S2_head", """
 SELECT doc_id, CAST(least(1048576, strlen(text)) AS INT) AS n_head, md5(text) AS digest FROM documents""")
 def s2(v):

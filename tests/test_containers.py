@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetlake.operators.outcomes import verify
 from assetlake.operators.summaries import classed
 from assetlake.sources import containers as C
-from assetlake.sources import corpus, rules_json
+from assetlake.sources import corpus, rules_json, walk
 from assetlake.sources.sniff import header_dims, sniff
 
 HDR = b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y 20 +X 40\n"
@@ -141,10 +141,31 @@ def test_tree_listing_twice(spark, tmp_path):
     for _ in range(2):
         got = corpus.list_corpus(spark, str(tmp_path), exclude=str(tmp_path / "out"))
         assert rows(got, "rel_dir") == [("",), ("",), ("e",), ("sub",), ("sub/deep",)]
+        assert rows(walk.walk_corpus(spark, f"file:{tmp_path}", exclude=f"file:{tmp_path}/OUT"), "path", "rel_dir", "length") == rows(got, "path", "rel_dir", "length")
     assert corpus.list_corpus(spark, str(tmp_path), recurse=False).count() == 2
+    assert walk.walk_corpus(spark, str(tmp_path), recurse=False).count() == 2
+    assert walk.walk_corpus(spark, str(tmp_path / "missing")).count() == 0
     assert corpus.default_output("/d/X", True) == "/d/X/X[zip]" and corpus.default_output("/d/a.png", False) == "/d/compressed"
 
 
+def test_walk_does_not_descend_into_pruned_directories(spark):
+    tree = {"": [("a.png", 0), ("sub", 1), ("X[ZIP]", 1), ("hidden", 1), (corpus.DEFAULT_MARKER, 0)], "/sub": [("b.png", 0), ("deep", 1)],
+            "/sub/deep": [("c.png", 0), ("d.txt", 0)], "/X[ZIP]": [("no.png", 0)], "/hidden": [("no.png", 0), ("in", 1), (corpus.DEFAULT_MARKER, 0)],
+            "/hidden/in": [("no.png", 0)]}
+    entries = spark.createDataFrame([("/r" + d, n, bool(k), 1, None) for d, es in tree.items() for n, k in es],
+                                    "dir string, name string, is_dir boolean, length long, modificationTime timestamp")
+    listed, lister = [], walk.table_lister(entries)
+
+    def watched(frontier):
+        listed.extend(r.dir for r in frontier.collect())
+        return lister(frontier)
+
+    roots = spark.createDataFrame([("/r",)], "dir string")
+    assert rows(walk.walk(roots, watched), "path") == [("/r/a.png",), ("/r/sub/b.png",), ("/r/sub/deep/c.png",)]
+    assert sorted(listed) == ["/r", "/r/hidden", "/r/sub", "/r/sub/deep"]
+    assert walk.walk(roots.limit(0), lister).count() == 0
+
+
 def test_plan_files_round_trip(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"maintex": {"format": "auto", "size": 1024, "sh": 50}, "mask": {"size": 1.5, "ga": "x"}}')
     plan = rules_json.read_plan(spark, str(tmp_path / "p.json"))
