@@ -1,41 +1,159 @@
 """LM scoring: stupid-backoff scores computed relationally.
 
-Counts of all n-grams up to ``order`` are tables keyed by the n-gram's hash; a document's n-grams are exploded, joined to
-them and summed. A document is scored by the counts of the others: its own are taken off, else every n-gram would be known.
+1. Documents are read once into blocks of some million words, written as word codes with the block's vocabulary of hashes.
+2. Each block explodes its n-grams of all orders and counts them; its different n-grams go to the count tables, which are
+   partitioned by ranges of the n-gram's hash. So a frequent n-gram is one row a block there, however often it occurs.
+3. A partition sums the counts of the blocks and answers each block in the order it asked, with totals alone.
+4. A block joins its exploded n-grams to the totals, takes off what each document holds itself (else every n-gram would
+   be known), and sums by document.
+Hashes travel sorted, as differences, with a compressor over their byte planes. The number of partitions follows the number of
+words, so neither a block nor a partition grows with the corpus.
 """
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.llm.common import materialise, row_key, whole
+from assetlake.llm.common import WordHashes, gram_hashes, materialise, row_key, scramble, whole
 
+BLOCK = "block long, doc_ids array<long>, row_keys array<long>, lengths array<int>, n_words long, vocabulary binary, codes binary"
+SCORE = "doc_id long, row_key long, n_words long, score double"
 
-def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4) -> DataFrame:
-    """One row for each different (doc_id, text) of ``docs``: doc_id, row_key, n_words and score, the sum of the words' log
-    scores (0 without words: null, empty and blank texts).
 
-    Repeated rows are one document; a null doc_id is a document like others. Extra columns are ignored; an empty table gives
-    an empty result. A word never seen elsewhere gets what one occurrence among all words would, after all backoffs.
-    """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), whole().alias("text")).distinct()
-    d = d.withColumn("rid", F.xxhash64("doc_id", "row_key")).withColumn("w", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    grams = None
+def pack(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, plane by plane, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpack(b: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def pack_hashes(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_hashes(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+
+
+def encode(words: np.ndarray) -> tuple[bytes, bytes]:
+    """Word hashes as (vocabulary, codes): frequent words have small codes, words of like frequency lie sorted."""
+    v, code, n = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.lexsort((v, -np.frexp(n)[1]))
+    rank = np.empty(len(v), np.uint32)
+    rank[order] = np.arange(len(v), dtype=np.uint32)
+    return pack_hashes(v[order]), pack(rank[code])
+
+
+def _blocks(block_words):
+    def run(batches):
+        hashes, first, made = WordHashes(), TaskContext.get().partitionId() << 32, 0
+        ids, keys, words, held = [], [], [], 0
+
+        def block():
+            lengths = [len(w) for w in words]
+            vocabulary, codes = encode(np.concatenate(words))
+            return pa.RecordBatch.from_pylist([{
+                "block": first + made, "doc_ids": ids, "row_keys": keys, "lengths": lengths, "n_words": sum(lengths), "vocabulary": vocabulary,
+                "codes": codes}], pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("row_keys", pa.list_(pa.int64())),
+                                             ("lengths", pa.list_(pa.int32())), ("n_words", pa.int64()), ("vocabulary", pa.binary()), ("codes", pa.binary())]))
+
+        for batch in batches:
+            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids.append(doc)
+                keys.append(key)
+                words.append(hashes(text.encode().split()))  # bytes: only ASCII white space splits
+                held += len(words[-1]) + 1
+                if held >= block_words:
+                    yield block()
+                    ids, keys, words, held, made = [], [], [], 0, made + 1
+        if ids:
+            yield block()
+    return run
+
+
+def _grams(vocabulary, codes, lengths, order):
+    """The document of each word, its place there, and for each order the hashes of n-grams with the places of their last words."""
+    words = unpack_hashes(vocabulary)[unpack(codes, np.uint32)]
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    ends = np.cumsum(lengths)
+    place = np.arange(len(words)) - np.repeat(ends - lengths, lengths)
+    out = []
     for k in range(1, order + 1):
-        at = F.when(F.size("w") >= k, F.sequence(F.lit(k), F.size("w"))).otherwise(F.array().cast("array<int>"))
-        g = d.select("rid", "w", F.explode(at).alias("at")).select(
-            "rid", "at", F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.slice("w", F.col("at") - k + 1, k)).alias("gram"))
-        grams = g if grams is None else grams.unionByName(g)
-    grams = materialise(grams)
-    own = grams.groupBy("rid", "gram").agg(F.count("*").alias("own"))
-    total = own.groupBy("gram").agg(F.sum("own").alias("total"))
-    others = own.join(total, "gram").select("rid", "gram", (F.col("total") - F.col("own")).alias("n"))
-    n = [F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"n{k}") for k in range(1, order + 1)]
-    words = grams.join(others, ["rid", "gram"]).groupBy("rid", "at").agg(*n)
-    along = Window.partitionBy("rid").orderBy("at")
-    words = words.withColumns({f"c{k}": F.lag(f"n{k}").over(along) for k in range(1, order)})
-    size = grams.where("k = 1").agg(F.greatest(F.count("*"), F.lit(1))).first()[0]
-    score = F.log(F.greatest("n1", F.lit(1)) * F.lit(backoff ** (order - 1)) / F.lit(float(size)))
-    for k in range(2, order + 1):
-        score = F.when(F.col(f"n{k}") > 0, F.log(F.lit(backoff ** (order - k)) * F.col(f"n{k}") / F.col(f"c{k - 1}"))).otherwise(score)
-    sums = words.groupBy("rid").agg(F.count("*").alias("n_words"), F.sum(score).alias("score"))
-    return d.select("doc_id", "row_key", "rid").join(sums, "rid", "left").select(
-        "doc_id", "row_key", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+        at = np.flatnonzero(place >= k - 1)
+        g = gram_hashes(words, k)
+        out.append((at, scramble(g[at - (k - 1)] + np.uint64(k)) if len(at) else np.empty(0, np.uint64)))
+    return doc, out
+
+
+def _ask(order, partitions):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, grams = _grams(row["vocabulary"], row["codes"], np.array(row["lengths"], np.int64), order)
+                asked, n = np.unique(np.concatenate([g for _, g in grams]), return_counts=True)
+                part = ((asked >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(part, prepend=-1))
+                for a, z in zip(starts, np.r_[starts[1:], len(part)]):
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array([part[a]], pa.int64()), "block": pa.array([row["block"]], pa.int64()),
+                        "asked": pa.array([pack_hashes(asked[a:z])], pa.binary()), "n": pa.array([pack(n[a:z].astype(np.uint32))], pa.binary())})
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    asked = [unpack_hashes(b) for b in table["asked"].to_pylist()]
+    n = np.concatenate([unpack(b, np.uint32) for b in table["n"].to_pylist()]).astype(np.int64)
+    different, which = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.zeros(len(different), np.int64)
+    np.add.at(total, which, n)
+    cuts = np.cumsum([len(a) for a in asked])[:-1]
+    return pa.table({"block": table["block"], "part": table["part"], "total": pa.array([pack(x) for x in np.split(total[which], cuts)], pa.binary())})
+
+
+def _score(order, backoff, size):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
+        lengths = np.array(row["lengths"], np.int64)
+        doc, grams = _grams(row["vocabulary"], row["codes"], lengths, order)
+        asked = np.unique(np.concatenate([g for _, g in grams]))
+        parts = sorted(zip(answers["part"].to_pylist(), answers["total"].to_pylist()))
+        total = np.concatenate([unpack(b, np.int64) for _, b in parts]) if parts else np.empty(0, np.int64)
+        score = context = None
+        for k, (at, g) in enumerate(grams, 1):
+            which = np.searchsorted(asked, g)
+            _, pair, own = np.unique(doc[at] * max(len(asked), 1) + which, return_inverse=True, return_counts=True)
+            others = np.zeros(len(doc), np.int64)
+            others[at] = total[which] - own[pair]
+            if k == 1:
+                score = np.log(np.maximum(others, 1) * backoff ** (order - 1) / size)
+            else:
+                seen = np.flatnonzero(others)
+                score[seen] = np.log(backoff ** (order - k) * others[seen] / context[seen - 1])
+            context = others
+        sums = np.bincount(doc, score, len(lengths)) if len(doc) else np.zeros(len(lengths))
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "row_key": pa.array(row["row_keys"], pa.int64()),
+                         "n_words": pa.array(lengths), "score": pa.array(sums, pa.float64())})
+    return run
+
+
+def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_words: int = 3_000_000, part_grams: int = 2_000_000) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, row_key, n_words and score, the sum of the words' log scores (0 without
+    words: null, empty and blank texts).
+
+    Every row is a document of its own, a repeated one too, which then finds all its n-grams in its copies; a null doc_id
+    is one like others. Extra columns are ignored; an empty table gives an empty result. A word never seen elsewhere gets
+    what one occurrence among all words would, after all backoffs. ``block_words`` and ``part_grams`` bound what a task
+    holds (a text longer than a block is a block by itself); results do not depend on them."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), whole().alias("text"))
+    blocks = materialise(d.mapInArrow(_blocks(block_words), BLOCK))
+    size = blocks.agg(F.sum("n_words")).first()[0] or 0
+    partitions = max(1, -(-order * size // part_grams))
+    asks = blocks.mapInArrow(_ask(order, partitions), "part long, block long, asked binary, n binary")
+    answers = asks.groupBy("part").applyInArrow(_total, "block long, part long, total binary")
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, backoff, max(size, 1)), SCORE)
+    return found.withColumn("score", F.round("score", 6))

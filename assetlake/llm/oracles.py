@@ -35,6 +35,20 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({TEXT}, '{WORD}') AS w FROM documents),
+x AS MATERIALIZED (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, i, k, list_slice(w, i - k + 1, i) AS g FROM x, (VALUES (1), (2), (3)) AS o(k) WHERE i >= k),
+n AS (SELECT r, i, k, count(*) OVER (PARTITION BY g) - count(*) OVER (PARTITION BY g, r) AS n FROM g),
+p AS (SELECT r, i, max(n) FILTER (WHERE k = 1) AS n1, coalesce(max(n) FILTER (WHERE k = 2), 0) AS n2, coalesce(max(n) FILTER (WHERE k = 3), 0) AS n3
+  FROM n GROUP BY r, i),
+c AS (SELECT *, lag(n1) OVER (PARTITION BY r ORDER BY i) AS c1, lag(n2) OVER (PARTITION BY r ORDER BY i) AS c2 FROM p),
+s AS (SELECT r, CASE WHEN n3 > 0 THEN ln(CAST(n3 AS DOUBLE) / c2) WHEN n2 > 0 THEN ln(0.4::DOUBLE * n2 / c1)
+  ELSE ln(greatest(n1, 1) * 0.16::DOUBLE / (SELECT count(*) FROM x)) END AS s FROM c),
+t AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(t.s, 0.0::DOUBLE), 6) AS score FROM d LEFT JOIN t USING (r)
+"""
+
 OP8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate({TEXT}, {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -150,5 +164,5 @@ FROM w JOIN c USING (r), b
 """
 
 
-ORACLES = {"op11_hard_negatives": OP11, "op12_license_scan": _op12(), "op13_vector_codes": _op13(), "op4_quality_rules": OP4, "op6_minhash_near_dedup": OP6, "op8_decontaminate": OP8, "op9_phrase_dedup": OP9,
+ORACLES = {"op11_hard_negatives": OP11, "op12_license_scan": _op12(), "op13_vector_codes": _op13(), "op2_lm_scores": OP2, "op4_quality_rules": OP4, "op6_minhash_near_dedup": OP6, "op8_decontaminate": OP8, "op9_phrase_dedup": OP9,
            "op10_line_dedup": OP10}
