@@ -33,6 +33,8 @@ def test_scores(spark, docs, rows, none):
         assert got.keys() == want.keys()
         assert all(sorted(got[k]) == pytest.approx(sorted(want[k]), abs=1e-4) for k in want)
     assert lm_score.score_documents(none).count() == 0
+    empty = lm_score.score_documents(cases.frame(spark, [(1, None, "s"), (2, " ", "s"), (2, " ", "s")]), block_words=1).collect()
+    assert sorted((r.doc_id, r.n_words, r.score) for r in empty) == [(1, 0, 0.0), (2, 0, 0.0), (2, 0, 0.0)]
 
 
 def test_surrogates(spark, docs, none):
