@@ -68,7 +68,8 @@ class MinHash:
 
     @staticmethod
     def sketch(low):
-        planes = [(low[:SKETCH] >> np.uint64(62 - p)) & np.uint64(1) for p in range(PLANES)]
+        mixed = scramble(low[:SKETCH])  # the high bits of a minimum over many values are zero
+        planes = [(mixed >> np.uint64(p)) & np.uint64(1) for p in range(PLANES)]
         return np.packbits(np.concatenate(planes).astype(np.uint8)).view(np.int64)
 
 
