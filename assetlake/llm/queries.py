@@ -63,7 +63,7 @@ def op9_phrase_dedup(spark, sf_dir):
 
 def op10_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     return kept.select("row.doc_id", F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"),
                        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 

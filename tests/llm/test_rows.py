@@ -99,19 +99,19 @@ def _brute(rows, items):
 
 
 def test_line_dedup(docs, rows, none):
-    j = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
+    j = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     got = j.select("row.doc_id", "lines", "dropped", F.sha2(F.coalesce("kept", F.lit("")), 256)).collect()
     want = cases.lines(rows)
     same(got, want)
     assert sum(x[2] for x in want) > 5 and j.select("row.*").columns == docs.columns
-    assert line_dedup.apply_bitmaps(none, line_dedup.drop_bitmaps(none)).count() == 0
+    assert line_dedup.apply_bitmaps(none, line_dedup.keep_bitmaps(none)).count() == 0
 
 
 def test_line_dedup_long_document(spark):
     line = "a line of more than forty characters that many hold"
     rows = [(i, "\n".join([f"own {i} {k}" for k in range(200)] + [line] * 3), "s") for i in range(6)]
     df = cases.frame(spark, rows)
-    j = line_dedup.apply_bitmaps(df, line_dedup.drop_bitmaps(df))
+    j = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
     same(j.select("row.doc_id", "lines", "dropped", F.sha2("kept", 256)).collect(), cases.lines(rows))
 
 
