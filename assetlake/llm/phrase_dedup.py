@@ -7,10 +7,11 @@ and neighbouring windows mostly share one, so a text has one seed for about eigh
 2. Seeds found in two classes, or twice in one text, may belong to repeated windows. Rows (seed, class) are
    range-partitioned and sorted by both and streamed, so a very frequent seed spreads over partitions.
 3. For these seeds alone, the stretches of text whose windows have the seed (segments) are dealt out by seed; a seed with
-   many segments is dealt over several salts. A task reads its groups in document order: it confirms the windows that
-   recur, joins neighbouring ones to passages, compiles the passages of one shard of groups into an Aho-Corasick
-   automaton and streams the shard's segments through it to locate every occurrence. Occurrences of a window after its
-   first one are covered. Of a salted seed, the first windows of every salt are compared once more.
+   many segments is dealt over several salts. A task reads its groups in document order. Hashes only propose: windows
+   that recur, and that never occur without one another, make one passage, so each lies in one passage. The words of
+   each different passage become a pattern of the shard's Aho-Corasick automaton; every segment that came to the shard is
+   streamed through it, and what it locates decides: all occurrences of a passage in a group after the first one are
+   covered. Of a salted seed, the windows not covered in their salt are compared once more.
 4. Covered words leave the text.
 """
 import hashlib
@@ -28,8 +29,6 @@ from assetlake.llm.common import WordHashes, gram_hashes, materialise, row_key,
 RUN = 6
 #: Segments of one (seed, salt) group, about, and of one shard's automaton, at least.
 GROUP, SHARD = 1024, 8192
-#: Windows of a passage in one pattern at most; so not more than this many patterns end at one word.
-BLOCK = 12
 KEYS = ["doc_id", "row_key"]
 
 
@@ -147,7 +146,7 @@ def _segments(width):
 
 
 class Shard:
-    """Some whole groups of segments in order: confirm, compile, locate."""
+    """Some whole groups of segments in order: propose passages, compile, locate."""
 
     def __init__(self, width):
         self.width, self.hashes = width, WordHashes()
@@ -172,39 +171,59 @@ class Shard:
         key = h ^ group[seg]
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
-        first, recurs = np.empty(len(key), bool), np.empty(len(key), bool)
-        first[order] = new
-        size = np.diff(np.r_[np.flatnonzero(new), len(key)])
-        recurs[order] = np.repeat(size > 1, size)
+        heads = np.flatnonzero(new)
+        kind = np.empty(len(key), np.int64)  # windows of one hash in one group
+        kind[order] = np.cumsum(new) - 1
+        ends = np.r_[pos[1:] == 0, True]  # last windows of their segments
 
         def runs(marks):
             """First and last windows of the runs of marked windows inside segments."""
             starts = np.flatnonzero(marks & (~np.r_[False, marks[:-1]] | (pos == 0)))
-            ends = np.flatnonzero(marks & (~np.r_[marks[1:], False] | np.r_[pos[1:] == 0, True]))
-            return starts, ends
-
-        # passages: neighbouring windows that recur, as one pattern or, if long, several
-        a = ahocorasick.Automaton()
-        for lo, hi in zip(*(x.tolist() for x in runs(recurs))):
-            o = int(begin[seg[lo]] + pos[lo])
-            for at in range(o, o + hi - lo + 1, BLOCK):
-                to = min(at + BLOCK, o + hi - lo + 1) + w - 1
-                a.add_word(" %s " % b" ".join(words[at:to]).decode("latin-1"), to - at)
+            return starts, np.flatnonzero(marks & (~np.r_[marks[1:], False] | ends))
+
+        def always(neighbour):
+            """For each kind the kind that is its neighbour wherever it occurs, or -1."""
+            low, high = (f.reduceat(neighbour[order], heads) for f in (np.minimum, np.maximum))
+            return np.where(low == high, low, -1)
+
+        after = always(np.where(ends, -1, np.r_[kind[1:], -1]))
+        before = always(np.where(pos == 0, -1, np.r_[-1, kind[:-1]]))
+        goes_on = after >= 0
+        goes_on[goes_on] = before[after[goes_on]] >= 0
+        opens = np.diff(np.r_[heads, len(key)]) > 1
+        opens[after[goes_on]] = False
+
+        # passages: one pattern for each, in the words of its first occurrence
+        a, sizes = ahocorasick.Automaton(), []
+        stops = np.flatnonzero(~goes_on[kind])
+        lows = order[heads[opens]]
+        for lo, hi in zip(lows.tolist(), stops[np.searchsorted(stops, lows)].tolist()):
+            o, n = int(begin[seg[lo]] + pos[lo]), hi - lo + w
+            text = " %s " % b" ".join(words[o:o + n]).decode("latin-1")
+            if text not in a:
+                a.add_word(text, len(sizes))
+                sizes.append(n)
         found = np.zeros(len(key) + 1, np.int64)
-        if len(a):
+        hits = []
+        if sizes:
             a.make_automaton()
-            hits = [(i, end, n) for i in np.unique(seg[recurs]).tolist() for end, n in a.iter(" %s " % rows[i][6].decode("latin-1"))]
-            i, end, n = np.array(hits).T
+            hits = [(i, end, p) for i, r in enumerate(rows) for end, p in a.iter(" %s " % r[6].decode("latin-1"))]
+        if hits:
+            i, end, p = np.array(hits).T
             spaces = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # where the space behind each word is
             last = np.searchsorted(spaces, end + np.r_[0, spaces][begin[i]]) - begin[i]
+            number = np.cumsum([0] + [x[:2] != y[:2] for x, y in zip(rows, rows[1:])])  # of each segment's group
+            later = np.ones(len(i), bool)
+            later[np.unique(number[i] * len(sizes) + p, return_index=True)[1]] = False  # the first one in a group stays
+            i, last, n = i[later], last[later], np.array(sizes)[p[later]]
             np.add.at(found, base[i] + last - n + 1, 1)
             np.add.at(found, base[i] + last - w + 2, -1)
-        gone = (np.cumsum(found[:-1]) > 0) & ~first
+        gone = np.cumsum(found[:-1]) > 0
         cover, firsts = [], []
         for lo, hi in zip(*(x.tolist() for x in runs(gone))):
             r, at = rows[seg[lo]], int(pos[lo])
             cover.append((r[3], r[4], r[5] + at, r[5] + at + hi - lo + w))
-        salted = np.array([r[2] for r in rows])[seg] & first
+        salted = np.array([r[2] for r in rows])[seg] & ~gone
         for x in np.flatnonzero(salted).tolist():
             r = rows[seg[x]]
             firsts.append((r[0], int(h.view(np.int64)[x]), r[3], r[4], r[5] + int(pos[x])))
