@@ -2,13 +2,18 @@
 
 Fixed patterns find labelled credentials. From a bounded sample of them a probabilistic automaton is inferred for each
 kind: the prefix tree of the examples, whose states are merged where their outgoing and ending frequencies are compatible
-(Hoeffding test, also for all states below). Every long token of letters and digits is then scored by its likelihood
-under each automaton, and one that fits a format as well as the examples do becomes a span of kind "inferred".
+(Hoeffding test, also for all states below). One more is inferred from ordinary tokens. Every token of eight and more
+characters, and what is left of one beside a base span, is then scored by its likelihood: it becomes a span of kind
+"inferred" if it fits a format as well as the examples do and far better than it fits ordinary tokens.
+
+The texts are read twice, for the examples and for the spans; no candidates are stored between.
 """
+import heapq
 import math
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +25,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is what remains of all runs
 HINTS = ("passw", "secret", "token", "api")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+SHORTEST = 8  # characters of a candidate, as of a labelled value
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -38,11 +43,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base) -> list[tuple[int, int, str]]:
-    """Tokens of 16 and more characters with letters and digits that touch no base span."""
-    if max(map(len, text.split()), default=0) < 16:
-        return []
-    found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text) if MIXED.match(m[0])]
-    return [c for c in found if not any(b[0] < c[1] and c[0] < b[2] for b in base)] if base else found
+    """(start, end, token) of all tokens of SHORTEST and more characters; of tokens that base spans touch, the pieces beside
+    them that are long enough."""
+    out = []
+    for m in TOKEN.finditer(text):
+        at = m.start()
+        if base:
+            for start, _, end, _ in base:
+                if start < m.end() and end > at:
+                    if start - at >= SHORTEST:
+                        out.append((at, start, text[at:start]))
+                    at = max(at, end)
+        if m.end() - at >= SHORTEST:
+            out.append((at, m.end(), text[at:m.end()]))
+    return out
 
 
 CLASSES = {c: (k, len(chars)) for k, chars in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ",
@@ -143,52 +157,107 @@ class Automaton:
         return total / (len(text) + 1)
 
 
-#: Log likelihood for a character of a token drawn evenly from all characters: formats must beat it.
+#: Log likelihood for a character of a token drawn evenly from all characters: formats must beat it where nothing is known
+#: of ordinary tokens.
 EVEN = -math.log(len(CLASSES))
+#: How much likelier (as a logarithm) a whole token must be under a format than among ordinary tokens.
+ODDS = math.log(1000)
+#: Ordinary tokens in the sample, and different ones that teach at least what is ordinary.
+ORDINARY, FEWEST = 1000, 100
+#: Shapes (tokens with each character's class in its place) whose verdict a task remembers; scores depend on nothing else.
+REMEMBERED = 200_000
+SHAPE = str.maketrans({c: "0123456789:"[k] for c, (k, _) in CLASSES.items()})
+
+
+def fits(token: str, models, ordinary=None) -> bool:
+    usual = EVEN
+    if ordinary:  # a word in capitals is as ordinary as in small letters
+        usual = max(ordinary.score(token), ordinary.score(token.lower()) if token.isupper() else -math.inf) + ODDS / (len(token) + 1)
+    return any(s >= m.floor and s > usual for m in models for s in [m.score(token)])
+
+
+class Smallest:
+    """The distinct values of smallest hash, at most ``limit``; any two such samples merge into that of both."""
+
+    def __init__(self, limit):
+        self.limit, self.heap, self.held = limit, [], set()
+
+    def add(self, value):
+        if value in self.held:
+            return
+        item = (2**63 - 1 - xxhash.xxh3_64_intdigest(value), value)
+        if len(self.heap) < self.limit:
+            heapq.heappush(self.heap, item)
+        elif item > self.heap[0]:
+            self.held.discard(heapq.heapreplace(self.heap, item)[1])
+        else:
+            return
+        self.held.add(value)
+
+    def rows(self):
+        """(hash, value): the smallest hashes are those of the heap's largest items."""
+        return [(-h, v) for h, v in self.heap]
+
+
+def _examples(limits):
+    """A sample of each kind's labelled values and (the last kind) of ordinary tokens from each task."""
+    def run(batches):
+        samples = [Smallest(n) for n in limits]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                base = base_spans(text)
+                for _, kind, _, value in base:
+                    samples[kind].add(value)
+                for value in {c[2] for c in candidates(text, base)}:
+                    samples[-1].add(value)
+        rows = [(k, *r) for k, s in enumerate(samples) for r in s.rows()]
+        kind, hashed, value = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(hashed, pa.int64()), pa.array(value, pa.string())],
+                                         names=["kind", "hash", "value"])
+    return run
 
 
-def fits(token: str, models) -> bool:
-    return any(s >= m.floor and s > EVEN for m in models for s in [m.score(token)])
-
-
-def infer_formats(examples: DataFrame, max_examples: int = 400) -> list[Automaton]:
-    """examples (kind, value): one automaton for each of the base kinds, from its ``max_examples`` distinct values of
-    smallest hash (the bound of the labelled sample). Kinds with fewer than five values teach nothing."""
-    models = []
-    for kind in range(3):
-        v = examples.where(F.col("kind") == kind).select("value").distinct()
-        got = sorted(r[0] for r in v.orderBy(F.xxhash64("value"), "value").limit(max_examples).collect())
-        if len(got) >= 5:
-            models.append(Automaton.infer(got))
-    return models
+def infer_formats(texts: DataFrame, max_examples: int = 400, max_ordinary: int = ORDINARY):
+    """texts (text): one automaton for each of the base kinds, from its ``max_examples`` distinct values of smallest hash, and
+    one for ordinary tokens, from ``max_ordinary`` distinct tokens beside base spans (the bounds of the sample; a task
+    keeps and hands over no more). Kinds with fewer than five values teach nothing, nor do fewer than FEWEST ordinary tokens."""
+    limits = [max_examples] * 3 + [max_ordinary]
+    seen = materialise(texts.mapInArrow(_examples(limits), "kind int, hash long, value string"))
+    got = [sorted(r.value for r in seen.where(F.col("kind") == k).select("hash", "value").distinct().orderBy("hash", "value").limit(n).collect())
+           for k, n in enumerate(limits)]
+    models = [Automaton.infer(v) for v in got[:3] if len(v) >= 5]
+    return models, Automaton.infer(got[3]) if len(got[3]) >= FEWEST else None
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 SCAN = ("doc_id long, row_key long, base array<struct<kind:int,start:long,end:long,value:string>>, "
-        "others array<struct<kind:int,start:long,end:long,value:string>>")
-
-
-def _scan(batches):
-    for batch in batches:
-        base, others = [], []
-        for text in batch.column(2).to_pylist():
-            b = base_spans(text)
-            base.append([{"kind": k, "start": s, "end": e, "value": v} for s, k, e, v in b])
-            others.append([{"kind": 3, "start": s, "end": e, "value": v} for s, e, v in candidates(text, b)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, SPAN), pa.array(others, SPAN)],
-                                         names=["doc_id", "row_key", "base", "others"])
+        "inferred array<struct<kind:int,start:long,end:long,value:string>>")
 
 
-def _score(models):
+def _scan(models, ordinary):
     def run(batches):
+        known = {}
         for batch in batches:
-            kept = [[c for c in row if fits(c["value"], models)] for row in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(kept, SPAN)],
-                                             names=["doc_id", "row_key", "base", "others"])
+            base, inferred = [], []
+            for text in batch.column(2).to_pylist():
+                b, found = base_spans(text), []
+                for start, end, token in candidates(text, b) if models else ():
+                    shape = token.translate(SHAPE)
+                    hit = known.get(shape)
+                    if hit is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        hit = known[shape] = fits(token, models, ordinary)
+                    if hit:
+                        found.append({"kind": 3, "start": start, "end": end, "value": token})
+                base.append([{"kind": k, "start": s, "end": e, "value": v} for s, k, e, v in b])
+                inferred.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, SPAN), pa.array(inferred, SPAN)],
+                                             names=["doc_id", "row_key", "base", "inferred"])
     return run
 
 
-def find_secrets(docs: DataFrame, max_examples: int = 400) -> DataFrame:
+def find_secrets(docs: DataFrame, max_examples: int = 400, max_ordinary: int = ORDINARY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row_key, base and inferred, both arrays of (kind, start, end, value) with
     offsets in characters; kind is a number in KINDS.
 
@@ -196,6 +265,4 @@ def find_secrets(docs: DataFrame, max_examples: int = 400) -> DataFrame:
     credentials nothing is inferred. Extra columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), whole().alias("text"))
-    found = materialise(d.mapInArrow(_scan, SCAN))
-    models = infer_formats(found.select(F.explode("base").alias("b")).select("b.kind", "b.value"), max_examples)
-    return found.mapInArrow(_score(models), SCAN).withColumnRenamed("others", "inferred")
+    return d.mapInArrow(_scan(*infer_formats(d.select("text"), max_examples, max_ordinary)), SCAN)

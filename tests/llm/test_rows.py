@@ -70,6 +70,24 @@ def test_inferred_formats_on_held_out_tokens():
     assert len(models[0].steps) < 40  # states were merged
 
 
+def test_labelled_format_is_found_bare(spark):
+    """Passwords of eight characters, some labelled, others bare in the same texts and beside a labelled one, among words."""
+    r, v = random.Random(12), cases.vocabulary(2000, 6)
+    word = lambda: "".join(x for x in r.choice(v) + r.choice(v) if x.isascii())
+    draw = lambda: "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(8))
+    bare = [draw() for _ in range(120)]
+    text = [" ".join(word() for _ in range(40)) + f" {b} " + " ".join(word() for _ in range(40)) + f" password: {draw()}" for b in bare]
+    text += [" ".join(word() for _ in range(60)) + " see www.example.com/index.html, version 1.2.3-beta2 or mail0.example.com" for _ in range(60)]
+    text.append("q7Xz4Tb9Rk2M" + "token=" + draw())  # the piece before a base span
+    got = {x.doc_id: x for x in secret_scan.find_secrets(cases.frame(spark, [(i, t, "s") for i, t in enumerate(text)])).collect()}
+    hits = [b in [x.value for x in got[i].inferred] for i, b in enumerate(bare)]
+    assert sum(hits) >= 100
+    other = [x.value for i, g in got.items() for x in g.inferred if i >= 120 or x.value != bare[i]]
+    assert len(other) <= 30 and not {"www.example.com/index.html", "1.2.3-beta2", "mail0.example.com"} & set(other), other
+    assert all(text[i][x.start:x.end] == x.value for i, g in got.items() for x in g.inferred)
+    assert secret_scan.candidates("q7Xz4Tb9Rk2M" + "token=abcdefgh", secret_scan.base_spans("q7Xz4Tb9Rk2Mtoken=abcdefgh")) == [(0, 12, "q7Xz4Tb9Rk2M")]
+
+
 def test_decontamination(spark, docs, rows, none):
     long = next(t for d, t, _ in rows if d == 406)
     w = long.split()
