@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions.rules import format_rank, no_rule, rule
+from assetlake.operators import rule_units
 from assetlake.operators.assets import asset_signatures
 from assetlake.operators.skew import salted_join
 from assetlake.operators.summaries import fingerprint
@@ -258,13 +259,6 @@ def apply_preset_owners(parts: DataFrame, owner_rules: DataFrame) -> DataFrame:
                        F.when(has & (F.col("_r.size") > 0), F.col("_r.size")).otherwise(F.lit(0)).alias("size"))
 
 
-def _any_match(assets, sigs, asset_rules, runs):
-    """Hits by id or signature, ids even when both sides have signatures (unlike J8)."""
-    by = ["sig"] + ([] if runs is None else ["preset_id"])
-    by_sig = _with_preset(sigs, runs).join(_rule_sigs(asset_rules), by).select(*ASSET_KEY, "preset_id", "rule_no")
-    return by_sig.unionByName(_id_pairs(assets, asset_rules, runs, "rule_no").select(*ASSET_KEY, "preset_id", "rule_no"))
-
-
 def apply_preset_assets(assets: DataFrame, sigs: DataFrame, asset_rules: DataFrame, runs: DataFrame = None) -> DataFrame:
     """R21, assets: the rule with the highest number wins, as later entries overwrite earlier ones.
 
@@ -283,13 +277,4 @@ def apply_preset_assets(assets: DataFrame, sigs: DataFrame, asset_rules: DataFra
 def preset_counts(asset_rules: DataFrame, sigs: DataFrame, assets: DataFrame, runs: DataFrame = None) -> DataFrame:
     """R21 counters per preset and container: hits (asset x rule) and rules without any target. With ``runs``
     (container_id, preset_id) a container without any hit has its row too: no hit, all rules missed."""
-    hits = _any_match(assets, sigs, asset_rules, runs).distinct()
-    per = hits.groupBy("container_id", "preset_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.count_distinct("rule_no").alias("_found"))
-    total = asset_rules.groupBy("preset_id").agg(F.count_distinct("rule_no").alias("_rules"))
-    if runs is not None:
-        per = runs.select("container_id", "preset_id").distinct().join(per, ["container_id", "preset_id"], "left")
-    zero = F.lit(0).cast("long")
-    return per.join(total, "preset_id").select(
-        "container_id", "preset_id", F.coalesce("n_hits", zero).alias("n_hits"),
-        (F.col("_rules") - F.coalesce("_found", zero)).alias("n_missed"))
+    return rule_units.preset_counts(assets, sigs, asset_rules, runs)
