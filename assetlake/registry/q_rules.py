@@ -113,8 +113,7 @@ def r2_two(v):
 
 @query("R3_merge_preset_hits", f"WITH {HITS} SELECT container_id, asset_id, format, size, n_hits FROM best")
 def r3(v):
-    ar = asset_rules(v)
-    m = P.merge_preset_hits(P.match_asset_rules(v.assets, A.asset_signatures(v.bindings), ar, runs(v)), ar)
+    m = FT.merge_preset_hits(v.facts, asset_rules(v), runs(v))
     return m.select("container_id", "asset_id", "asset_rule.format", "asset_rule.size", "n_hits")
 
 
@@ -331,7 +330,7 @@ WITH {_R21} SELECT container_id, preset_id, coalesce(n_hits, 0) AS n_hits, n - c
 FROM runs LEFT JOIN (SELECT container_id, preset_id, count(*) AS n_hits, count(DISTINCT rule_no) AS found FROM h GROUP BY ALL)
 USING (container_id, preset_id) JOIN (SELECT preset_id, count(DISTINCT rule_no) AS n FROM ar GROUP BY 1) USING (preset_id)""")
 def r21c(v):
-    return P.preset_counts(asset_rules(v), A.asset_signatures(v.bindings), v.assets, runs(v))
+    return P.preset_counts(asset_rules(v), v.facts.bindings, v.facts.assets, runs(v))
 
 
 @query("R21_preset_counts_no_hit", f"""
