@@ -55,8 +55,18 @@ def _sliced(df: DataFrame, key: Column, n_slices: int) -> DataFrame:
     rate = F.greatest(F.floor(total / F.lit(SAMPLED * n_slices)), F.lit(1))
     sample = df.select(key.alias("k")).where(F.pmod(F.xxhash64(F.lit(3), "k"), rate) == 0)
     bounds = sample.agg(F.sort_array(F.collect_set("k")).alias("b")).select(F.filter("b", lambda x, i: i % SAMPLED == SAMPLED - 1)).scalar()
-    placed = df.withColumns({"_bounds": bounds, "_key": key})
-    return placed.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds", "_key")
+    return df.withColumn("_bounds", bounds).withColumn("_slice", _place(F.col("_bounds"), key, n_slices)).drop("_bounds")
+
+
+def _place(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the sorted ``bounds`` (a sample: about ``most``) are not above ``key``, by binary search. The key is bound to a
+    variable, or each step would make it anew; the result is never null, or joins on it would compute it once more."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length() + 2))])
+
+    def search(k):
+        return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+            (low + step <= F.size(bounds)) & (F.get(bounds, low + step - 1) <= k), low + step).otherwise(low))
+    return F.coalesce(F.get(F.transform(F.array(key), search), F.lit(0)), F.lit(0))
 
 
 def rank_within(df: DataFrame, by, order, name: str = "rank", buckets: int = None) -> DataFrame:
@@ -66,7 +76,7 @@ def rank_within(df: DataFrame, by, order, name: str = "rank", buckets: int = Non
     window numbers each slice of a key, the slices' counts add up along a key, and a row's number is its place in its slice
     plus what stands before. Rows equal in key and order are told apart by a hash of their values; only rows equal in all
     columns cannot be told apart, and share a slice. ``df`` must give the same rows each time it is read. ``buckets``: the
-    number of slices (default: the session's shuffle partitions, at most 256, as every row is compared with their bounds)."""
+    number of slices (default: the session's shuffle partitions, at most 256, as every task holds their bounds)."""
     by, order = list(by), [F.col(c) if isinstance(c, str) else c for c in order]
     n = min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256)
     tie = F.xxhash64(*df.columns)

@@ -74,3 +74,16 @@ def test_glossary_on_a_long_text(spark):
     d = spark.createDataFrame([(unit * 5000,)], "t string")
     g = spark.createDataFrame([("quick", "slow"), ("fox", "dog"), ("brown f", "no"), ("brown fox q", "no")], "source string, target string")
     assert text.translate_glossary(d, "t", g).first().translated == "the slow noox " * 5000
+
+
+def test_slices_by_binary_search(spark):
+    from bisect import bisect_right
+    for n in (0, 1, 2, 7, 255, 300):
+        bounds = list(range(0, 2 * n, 2))
+        got = spark.range(-1, 2 * n + 1).select("id", W._place(F.lit(bounds).cast("array<bigint>"), F.col("id"), max(n, 1)).alias("s"))
+        assert not got.schema["s"].nullable and all(r.s == bisect_right(bounds, r.id) for r in got.collect())
+
+
+def test_order_assets_joins_once(spark, small):
+    from assetlake.registry import QUERIES
+    assert "lineitem.parquet" not in plan(QUERIES["W4_order_assets"](spark, small))  # ranks and sort read what was written
