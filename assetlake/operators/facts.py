@@ -24,20 +24,24 @@ class Facts(NamedTuple):
 
 
 def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``df`` lies in ``buckets`` partitions by the asset key."""
     spark = df.sparkSession
-    (df.repartition(buckets, *ASSET_KEY).write.bucketBy(buckets, *ASSET_KEY).sortBy(*ASSET_KEY)
+    (df.write.bucketBy(buckets, *ASSET_KEY).sortBy(*ASSET_KEY)
      .option("path", os.path.join(shared_dir(spark), name)).saveAsTable(name))
     return spark.table(name)
 
 
-def write_facts(assets: DataFrame, bindings: DataFrame, buckets: int = None) -> Facts:
+def write_facts(assets: DataFrame, bindings: DataFrame, buckets: int = None, repeated: bool = False) -> Facts:
     """Both tables in the shared folder, under names of their own. ``buckets``: as many as the session shuffles into by
-    default; choose it for bucket files of some hundred megabytes."""
+    default; choose it for bucket files of some hundred megabytes. ``repeated``: rows of an asset key may repeat in ``assets``;
+    the first is kept. Rows move once: repeats go and signatures come after that."""
     spark = assets.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "assetlake_facts_" + uuid.uuid4().hex
     sig = text.signature(keys.owner_key(F.col("obj_type"), F.col("slot")), F.col("material"), F.col("property"))
-    return Facts(_bucketed(assets, name + "_assets", n), _bucketed(bindings.withColumn("sig", sig), name + "_bindings", n))
+    a, b = (df.repartition(n, *ASSET_KEY) for df in (assets, bindings))
+    return Facts(_bucketed(a.dropDuplicates(ASSET_KEY) if repeated else a, name + "_assets", n),
+                 _bucketed(b.withColumn("sig", sig), name + "_bindings", n))
 
 
 def drop_facts(facts: Facts) -> None:

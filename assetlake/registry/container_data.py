@@ -89,7 +89,7 @@ def container_files(v):
     whole = (F.when(t == "SMALL", _hex(F.concat(F.lit("not an image "), name)))
              .when(t == "LARGE", F.concat(head, data)).otherwise(F.concat(head, data, assets, lists, shaders)))
     path = F.concat(F.lit("corpus/"), F.regexp_replace("p_brand", "#", ""), F.lit("/part-"), k, F.lit(".png"))
-    return v.part.select(path.alias("path"), F.unhex(whole).alias("content"))
+    return v.spread_part.select(path.alias("path"), F.unhex(whole).alias("content"))
 
 
 PATH_SQL = "'corpus/' || replace(p_brand, '#', '') || '/part-' || p_partkey || '.png'"
@@ -117,7 +117,7 @@ def preset_files(v):
             .when(t == "MEDIUM", F.lit(_PNG)).otherwise(F.concat(F.lit(_PNG), mark, le, body)))
     ext = F.when(t == "LARGE", F.lit(".json")).otherwise(F.lit(".png"))
     path = F.concat(F.lit("presets/[preset]"), F.col("p_type"), F.lit("_"), k, ext)
-    return v.part.select(path.alias("path"), F.unhex(full).alias("content"))
+    return v.spread_part.select(path.alias("path"), F.unhex(full).alias("content"))
 
 
 PRESET_PATH_SQL = "'presets/[preset]' || p_type || '_' || p_partkey || CASE p_type WHEN 'LARGE' THEN '.json' ELSE '.png' END"

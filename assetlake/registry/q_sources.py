@@ -9,6 +9,7 @@ from assetlake.registry import sqltext as T
 from assetlake.registry.core import query, with_place
 from assetlake.registry.rules_data import PLANS_SQL, asset_rules, brand_plans
 from assetlake.registry.views import _PROP_SQL
+from assetlake.session import cut_lineage
 from assetlake.sources import containers as C
 from assetlake.sources import corpus, rules_json, sinks
 from assetlake.sources import sniff as N
@@ -84,8 +85,9 @@ def s5(v):
 
 # ---- containers -----------------------------------------------------------------------------------
 
-def _inventory(v):
-    return C.inventory(C.inventory_records(D.container_files(v)))
+def _inventory(v, written=False):
+    records = C.inventory_records(D.container_files(v))
+    return C.inventory(cut_lineage(records) if written else records)
 
 
 _RC = "CASE p_type WHEN 'SMALL' THEN 2 WHEN 'LARGE' THEN 3 WHEN 'MEDIUM' THEN 4 ELSE 0 END"
@@ -139,7 +141,7 @@ WITH a AS ({_ASSETS}) SELECT {D.PATH_SQL} AS container_id, p_type NOT IN ('SMALL
 FROM part LEFT JOIN (SELECT container_id, count(*) AS n, count(*) FILTER (WHERE fmt = 'HDR') AS h, count(*) FILTER (WHERE fmt = 'UNKNOWN') AS u
   FROM a GROUP BY 1) s ON s.container_id = {D.PATH_SQL}""")
 def r16(v):
-    inv = _inventory(v)
+    inv = _inventory(v, written=True)  # containers and assets: files are walked once
     return O.verify(inv["containers"], inv["assets"])
 
 

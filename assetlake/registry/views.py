@@ -156,6 +156,11 @@ class Views:
             return self.table(name)
         raise AttributeError(name)
 
+    @cached_property
+    def spread_part(self):
+        """The part table dealt over tasks: a whole row group is one task otherwise, and each row becomes a file."""
+        return self.part.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
     @cached_property
     def lines(self):
         return self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
@@ -171,15 +176,18 @@ class Views:
             F.col("l_discount").alias("disc"), (F.col("p_size") * 128).alias("dim"), cents("p_retailprice").alias("n_bytes"),
             "p_type")
 
-    @cached_property
-    def assets(self):
+    def _asset_rows(self, repeated):
         promo = F.col("p_type") == "PROMO"
-        # size, edges and type depend on the asset id, so one row per key is the distinct row
         rows = self.base.select("container_id", "asset_id", "n_bytes", "dim", "p_type")
-        return rows.dropDuplicates(["container_id", "asset_id"]).select(
+        # size, edges and type depend on the asset id, so one row per key is the distinct row
+        return (rows if repeated else rows.dropDuplicates(["container_id", "asset_id"])).select(
             "container_id", "asset_id", "n_bytes", "dim", F.col("dim").alias("width"), (F.col("dim") - 64).alias("height"),
             (~promo).alias("flat_alpha"), (promo & (F.col("dim") > 3000)).alias("circle_only"), "p_type")
 
+    @cached_property
+    def assets(self):
+        return self._asset_rows(False)
+
     @cached_property
     def bindings(self):
         return self.base.where("disc > 0.02").select(
@@ -192,7 +200,7 @@ class Views:
         from assetlake.operators.facts import write_facts
         key = (self.spark.sparkContext.applicationId, self.dir, self.spark.conf.get("spark.sql.shuffle.partitions"))
         if key not in _FACTS:
-            _FACTS[key] = write_facts(self.assets, self.bindings)
+            _FACTS[key] = write_facts(self._asset_rows(True), self.bindings, repeated=True)
         return _FACTS[key]
 
     @cached_property

@@ -173,3 +173,20 @@ def test_plan_files_round_trip(spark, tmp_path):
         ("maintex", 0, "auto", 1024, 50, None), ("mask", 2, "keep", 0, None, None)]
     text = rules_json.plan_json(plan).first().json
     assert text == '{"maintex": {"format":"auto","size":1024,"sh":50}, "mask": {"format":"keep","size":0}}'
+
+
+def test_files_of_one_row_group_are_walked_by_many_tasks(spark, small):
+    from assetlake.registry import QUERIES
+    for name in ("S3_assets", "S3_containers", "S3_bindings"):
+        assert QUERIES[name](spark, small).rdd.getNumPartitions() >= 4
+
+
+def test_verification_walks_files_once(spark, small):
+    from assetlake.registry import QUERIES
+    assert "MapInPandas" not in QUERIES["R16_verify"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preset_lists_are_gathered_after_the_exchange(spark, small):
+    from assetlake.registry import QUERIES
+    p = QUERIES["K2_preset_json"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert p.count("REPARTITION_BY_NUM") >= 2

@@ -107,3 +107,10 @@ def test_frequent_keys_land_in_many_tasks(spark):
     assert j.count() == 20000 + 2000 and "_salt" not in j.columns
     assert skew.salted_join(sigs.limit(0), few, ["sig"], ["container_id"]).count() == 0
     assert plan(j).count("BroadcastExchange") >= 2
+
+
+def test_the_store_drops_repeats_after_its_exchange(spark):
+    assets, b, _ = small_case(spark)
+    store = FT.write_facts(assets.unionByName(assets), b, 3, repeated=True)
+    assert rows(store.assets) == rows(assets) and store.bindings.where("sig is null").count() == 0
+    FT.drop_facts(store)
