@@ -121,7 +121,7 @@ def preset_json(presets: DataFrame, owner_rules: DataFrame, asset_rules: DataFra
     entries are gathered per preset, never across presets, where its rows lie together: lists gathered before that would only
     fill the memory of the task that reads them."""
     n = int(presets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owner_rules, asset_rules = (df.repartition(n, "preset_id") for df in (owner_rules, asset_rules))
+    presets, owner_rules, asset_rules = (df.repartition(n, "preset_id") for df in (presets, owner_rules, asset_rules))
     part = F.struct("owner_key", F.concat(F.lit('"'), F.col("owner_key").cast("string"), F.lit('": '),
                                           rule_json(F.col("rule"))).alias("t"))
     parts = owner_rules.groupBy("preset_id").agg(F.array_sort(F.collect_list(part)).alias("_p"))
