@@ -5,6 +5,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 from test_facts import small_case
+from test_streaming_and_scale import plan
 
 from assetlake.operators import assets as A
 from assetlake.operators import presets as P
@@ -51,6 +52,12 @@ def test_missed_rules_unfold_last(spark):
     assert shuffled_rows(out) < 6000 and out.count() == 20 * 400
 
 
+def test_missed_rules_meet_runs_once(spark):
+    assets, _, rules, runs = alike(spark)
+    out = U.missed_rules(assets, assets.withColumn("sig", F.lit("y")), rules, runs)
+    assert plan(out).count("Range") <= 2  # the list of runs; hits are read as written
+
+
 def test_preset_counts_list_no_rules(spark):
     assets, sigs, rules, runs = alike(spark)
     out = P.preset_counts(rules, sigs, assets, runs)
