@@ -39,12 +39,20 @@ def match_score(preset_sigs: DataFrame, container_sigs: DataFrame, presets: Data
     """Share of a preset's signatures found on a container, for every pair with a common one.
 
     Pairs that share nothing score 0 and are left out (their number is presets x containers). With ``presets`` and
-    ``containers``, presets without signatures score 1 on the containers of their place. Signatures are an equi-join key and
-    the count combines on the map side; a signature that many containers carry is dealt over salts (``skew``)."""
-    p = preset_sigs.select("preset_id", "sig").distinct()
-    c = container_sigs.select("container_id", "sig").distinct()
+    ``containers``, presets without signatures score 1 on the containers of their place. Signatures that the same
+    presets hold are one class: containers count them by class, so a signature of every preset is no row for each of them, and
+    only the counts meet the presets. A signature that many containers carry is dealt over salts (``skew``)."""
+    p = cut_lineage(preset_sigs.select("preset_id", "sig").distinct())
     n = p.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n_sigs"))
-    hits = salted_join(c, p, ["sig"], ["container_id"]).groupBy("preset_id", "container_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    # fingerprint of the presets that hold a signature, order-free, 2 x 64 bits plus their number
+    same = ["_k", "_h1", "_h2"]
+    holders = p.groupBy("sig").agg(F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("preset_id")).alias("_h1"),
+                                   F.bit_xor(F.xxhash64(F.lit(7), "preset_id")).alias("_h2"))
+    classes = cut_lineage(holders.join(holders.groupBy(*same).agg(F.min("sig").alias("_class")), same).select("sig", "_class"))
+    members = p.join(classes.where("sig = _class"), "sig").select("preset_id", "_class")
+    met = salted_join(container_sigs.select("container_id", "sig"), classes, ["sig"], ["container_id"]).select("container_id", "sig", "_class").distinct()
+    per = met.groupBy("container_id", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    hits = per.join(members, "_class").groupBy("preset_id", "container_id").agg(F.sum("_n").alias("n_hits"))
     out = hits.join(n, "preset_id").select(
         "preset_id", "container_id", "n_hits", "n_sigs", (F.col("n_hits") / F.col("n_sigs")).alias("score"))
     return out if presets is None else out.unionByName(empty_presets(presets, p, containers, by))

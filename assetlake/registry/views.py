@@ -229,13 +229,21 @@ class Views:
     @cached_property
     def preset_bindings(self):
         """A preset for each brand, from all its lines; some carry a material that no container has any more. With repeats."""
+        return self._preset_rows(self._preset_lines)
+
+    @cached_property
+    def _preset_lines(self):
+        return self.lines.select("p_brand", "p_name", "l_linenumber", (F.col("l_quantity") > 48).alias("_old"))
+
+    def _preset_rows(self, lines):
         from assetlake.functions.text import signature
-        name = F.concat("p_name", F.when(F.col("l_quantity") > 48, " old").otherwise(""))
-        return self.lines.select(F.col("p_brand").alias("preset_id"), signature(F.col("l_linenumber"), name, property_of_part()).alias("sig"))
+        name = F.concat("p_name", F.when(F.col("_old"), " old").otherwise(""))
+        return lines.select(F.col("p_brand").alias("preset_id"), signature(F.col("l_linenumber"), name, property_of_part()).alias("sig"))
 
     @cached_property
     def preset_sigs(self):
-        return self.preset_bindings.distinct()
+        """Lines become distinct before their signatures are made."""
+        return self._preset_rows(self._preset_lines.distinct()).distinct()
 
     @cached_property
     def containers(self):

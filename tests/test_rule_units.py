@@ -30,6 +30,21 @@ def shuffled_rows(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+def joined_rows(df):
+    """Rows that the joins of ``df`` put out once it has run."""
+    df.collect()
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = p.metrics().apply("numOutputRows").value() if name.endswith("JoinExec") else 0
+        return own + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def alike(spark, n_rules=400):
     """20 containers of 20 assets, all with one signature; one preset whose rules all carry it, and one rule that doesn't."""
     assets = spark.range(400).select((F.col("id") % 20).alias("container_id"), F.col("id").alias("asset_id"))
@@ -110,3 +125,12 @@ def test_units_give_what_pairs_give(spark, seed, with_runs):
         counts = {(r.container_id, r.preset_id): r.n_missed for r in U.missed_counts(assets, sigs, rules, runs).collect()}
         listed = {tuple(r)[:2]: r["count"] for r in missed.groupBy("container_id", "preset_id").count().collect()}
         assert {k: v for k, v in counts.items() if v} == listed
+
+
+def test_a_signature_of_every_preset_is_counted_once(spark):
+    sigs = spark.range(100 * 30).selectExpr("id % 100 as container_id", "concat('s', floor(id / 100)) as sig")
+    own = spark.range(40 * 30).selectExpr("concat('p', id % 40) as preset_id", "concat('s', floor(id / 40)) as sig")
+    out = P.match_score(own.unionByName(spark.createDataFrame([("p0", "far"), ("p1", "s3")], own.schema)), sigs.unionByName(sigs))
+    assert joined_rows(out) < 40000  # 120,000 hits of a signature of a container with a preset
+    score = {(r.preset_id, r.container_id): (r.n_hits, r.n_sigs) for r in out.collect()}
+    assert len(score) == 100 * 40 and score["p0", 5] == (30, 31) and score["p1", 99] == (30, 30)
