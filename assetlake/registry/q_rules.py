@@ -80,7 +80,8 @@ WITH o AS (SELECT container_id, asset_id, bool_or(group_no NOT IN (0, 1, 2, 5))
 SELECT a.container_id, a.asset_id, coalesce(off, false) OR NOT coalesce(hit, false) AS keep,
   CASE WHEN coalesce(off, false) THEN 'mask' ELSE 'only' END AS source FROM V_assets a LEFT JOIN o USING (container_id, asset_id)""")
 def r1b(v):
-    df = R.resolve_rules(v.assets, v.gbindings, only=["maintex", "matcap"], mask=1 + 2 + 4 + 32)
+    """On the store too: assets are told apart and grouped where they lie, not in the tasks that scan the lines."""
+    df = R.resolve_rules(v.facts.assets, v.grouped(v.facts.bindings), only=["maintex", "matcap"], mask=1 + 2 + 4 + 32)
     return df.select("container_id", "asset_id", "keep", "source")
 
 

@@ -205,8 +205,12 @@ class Views:
 
     @cached_property
     def gbindings(self):
+        return self.grouped(self.bindings)
+
+    @staticmethod
+    def grouped(bindings):
         g = keys.group_of(F.col("obj_type"), F.col("coord_idx"))
-        return self.bindings.withColumn("group_no", g).withColumn("slot_key", F.col("owner_key")).withColumn(
+        return bindings.withColumn("group_no", g).withColumn("slot_key", F.col("owner_key")).withColumn(
             "owner_key", keys.pack_group(F.col("group_no"), F.col("slot_key")))
 
     @cached_property

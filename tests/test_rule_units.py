@@ -10,6 +10,7 @@ from test_streaming_and_scale import plan
 from assetlake.operators import assets as A
 from assetlake.operators import presets as P
 from assetlake.operators import rule_units as U
+from assetlake.registry import QUERIES
 
 RULES = "preset_id string, rule_no int, asset_id string, sigs array<string>, rule struct<format:string,size:int>"
 
@@ -134,3 +135,7 @@ def test_a_signature_of_every_preset_is_counted_once(spark):
     assert joined_rows(out) < 40000  # 120,000 hits of a signature of a container with a preset
     score = {(r.preset_id, r.container_id): (r.n_hits, r.n_sigs) for r in out.collect()}
     assert len(score) == 100 * 40 and score["p0", 5] == (30, 31) and score["p1", 99] == (30, 30)
+
+
+def test_masked_rules_lie_with_their_assets(spark, small):
+    assert plan(QUERIES["R1_resolve_masked"](spark, small)).count("Exchange hashpartitioning") == 0
