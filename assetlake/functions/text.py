@@ -3,7 +3,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake import fixed as K
-from assetlake.functions import keys
+from assetlake.functions import glossary, keys
+from assetlake.operators.skew import salted_join
 
 
 def norm_material(c: Column) -> Column:
@@ -151,61 +152,49 @@ def translate_terms(c: Column, terms: dict, patterns=()) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(token), 0), one), "")
 
 
-PREFIX = 4  # characters of a term that a place in a text must show before the whole term is looked up
-CHUNK = 256  # hits that one step of the last pass gathers
-FEW_PREFIXES = 200_000  # of at most 4 characters each: some megabytes in every task
+DEEPEST = 8  # characters of a term at most that a place in a text must show before the whole term is looked up
+SHALLOW = 4  # the same where the whole term is at hand
+FEW = 50_000  # terms, or heads of terms, that every task may hold
+FEW_CHARS = 4_000_000  # of a glossary that every task may hold
 
 
 def translate_glossary(df: DataFrame, c: str, terms: DataFrame, name: str = "translated") -> DataFrame:
     """P20 for a glossary table (source, target) of any size: every row of ``df`` with the translation of column ``c``.
 
-    A trie cut after its first levels: only places whose character begins some term go on; such a place shows its next 1 to 4
-    characters (those of the lengths in use), which meet the distinct prefixes of the glossary in an equi join; only places
-    with a known prefix are read on, once for each length that terms of this prefix have, and meet the whole terms in a
-    second join. The prefixes are counted first: up to ``FEW_PREFIXES`` they are broadcast, more are joined by a shuffle. Of the longest terms at their places the leftmost are
-    taken in turn. Cost follows the length of a text: it is taken apart into characters once and never searched from its
-    start again. Equal texts are translated once; a null text stays null. Of a source named twice the greatest target counts."""
-    terms = terms.where(F.col("source").isNotNull() & (F.col("source") != "")).groupBy("source").agg(F.max("target").alias("target"))
+    The glossary is measured first. A small one (``FEW`` terms of ``FEW_CHARS`` characters) goes to the tasks as it is, and no
+    row moves. Of a larger one the tasks get a trie cut after its first levels, as deep as ``FEW`` heads allow (``DEEPEST`` at
+    most): terms that are no longer than a head are known by it, for longer ones a text asks once for each different string
+    that begins and is as long as some term. What is asked meets the terms in a join whose frequent strings are dealt over
+    salts, and goes back to its text. Of the longest terms at their places the leftmost are taken in turn. Each different
+    text of a large glossary is translated once; a null text stays null. Of a source named twice the greatest target counts."""
+    terms = terms.where(F.col("source").isNotNull() & (F.col("source") != "")).groupBy("source").agg(
+        F.coalesce(F.max("target"), F.lit("")).alias("target"))
+    head = lambda n: F.substring("source", 1, n)
     n_chars = F.length("source")
-    prefixes = terms.groupBy(F.substring("source", 1, PREFIX).alias("prefix")).agg(F.sort_array(F.collect_set(n_chars)).alias("lengths"))
-    digest = F.sha2(F.col(c), 256)
-    chars = F.split(F.col("_t"), "")
-    texts = df.where(F.col(c) != "").select(digest.alias("_d"), F.col(c).alias("_t")).dropDuplicates(["_d"])
-    part = lambda all_, at, n: F.array_join(F.slice(all_, at, n), "")  # noqa: E731  places count from 1
-    cut = texts.select("_d", chars.alias("_c"))
-    known, lengths = prefixes.agg(F.count(F.lit(1)), F.collect_set(F.length("prefix"))).first()  # at most four lengths
-    if known <= FEW_PREFIXES:
-        prefixes = F.broadcast(prefixes)
-    firsts = terms.agg(F.array_join(F.collect_set(F.substring("source", 1, 1)), "")).scalar()
-    begins = cut.withColumn("_f", firsts).select("_d", "_c", F.filter(
-        F.sequence(F.lit(1), F.size("_c")), lambda i: F.contains(F.col("_f"), F.get(F.col("_c"), i - 1))).alias("_b"))
-    # near a text's end the cuts of several lengths are the same; everything read off a text is made before rows are
-    shown = lambda i: F.array_distinct(F.array(*[F.struct(i.alias("at"), part(F.col("_c"), i, F.lit(n)).alias("prefix")) for n in sorted(lengths or [1])]))
-    probes = begins.select("_d", F.explode(F.flatten(F.transform("_b", shown))).alias("p")).select("_d", "p.at", "p.prefix")
-    places = probes.join(prefixes, "prefix").groupBy("_d").agg(F.collect_list(F.struct("at", "lengths")).alias("_places"))
-    read = lambda p: F.transform(p["lengths"], lambda n: F.struct(p["at"].alias("at"), n.alias("n"), part(F.col("_c"), p["at"], n).alias("source")))
-    looked = cut.join(places, "_d").select("_d", F.explode(F.flatten(F.transform("_places", read))).alias("l")).select("_d", "l.at", "l.n", "l.source")
-    looked = looked.where(F.length("source") == F.col("n"))
-    hits = looked.join(terms, "source").groupBy("_d", "at").agg(F.max(F.struct("n", "target")).alias("h"))
-    hits = hits.groupBy("_d").agg(F.sort_array(F.collect_list(F.struct("at", "h.n", "h.target"))).alias("_h"))
-
-    empty = F.array().cast("array<struct<from:int,at:int,target:string>>")
-
-    def take(state, hit):
-        """One hit: left out if it begins inside the one before."""
-        kept = F.struct(state["end"].alias("from"), hit["at"].alias("at"), hit["target"].alias("target"))
-        return F.when(hit["at"] < state["end"], state).otherwise(F.struct((hit["at"] + hit["n"]).alias("end"), F.concat(state["kept"], F.array(kept)).alias("kept")))
-
-    def chunk(state, k):
-        inner = F.aggregate(F.slice("_h", k * CHUNK + 1, CHUNK), F.struct(state["end"].alias("end"), empty.alias("kept")), take)
-        return F.struct(inner["end"].alias("end"), F.concat(state["done"], F.array(inner["kept"])).alias("done"))
-    taken = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("_h") - 1) / CHUNK).cast("int")),
-                        F.struct(F.lit(1).alias("end"), F.array().cast("array<array<struct<from:int,at:int,target:string>>>").alias("done")), chunk)
-    done = texts.join(hits, "_d").select("_d", chars.alias("_c"), taken.alias("_s"))
-    pieces = F.transform(F.flatten("_s.done"), lambda h: F.concat(part(F.col("_c"), h["from"], h["at"] - h["from"]), F.coalesce(h["target"], F.lit(""))))
-    rest = part(F.col("_c"), F.col("_s.end"), F.greatest(F.size("_c") - F.col("_s.end") + 1, F.lit(0)))
-    done = done.select("_d", F.concat(F.array_join(pieces, ""), rest).alias("_new"))
-    j = df.withColumn("_key", digest).join(done, F.col("_key") == F.col("_d"), "left")
+    n, total, *wide = terms.agg(F.count(F.lit(1)), F.sum(n_chars + F.length("target")), *[
+        F.approx_count_distinct(head(k)) for k in range(1, DEEPEST + 1)]).first()
+    depth = max([k for k, w in enumerate(wide, 1) if w <= FEW], default=1)
+    small = n <= FEW and (total or 0) <= FEW_CHARS
+    if small:
+        depth = min(depth, SHALLOW)
+    short = F.lit(True) if small else n_chars <= depth
+    few = terms.groupBy(head(depth).alias("head")).agg(
+        F.collect_set(n_chars).alias("lengths"), F.collect_list(F.when(short, F.struct("source", "target"))).alias("known")).collect()
+    heads = glossary.Heads({r["head"]: r["lengths"] for r in few})
+    known = {k["source"]: k["target"] for r in few for k in r["known"]}
+    if len(known) == n:
+        put = F.udf(lambda t: None if t is None else glossary.replaced(t, heads, known), "string", useArrow=False)
+        return df.withColumn(name, put(F.col(c)))
+
+    ask = F.udf(lambda t: glossary.asked(t, heads, depth), "array<string>", useArrow=False)
+    put = F.udf(lambda t, s, to: glossary.replaced(t, heads, known, dict(zip(s or (), to or ()))), "string", useArrow=False)
+    key = F.when(F.length(c) < 64, F.col(c)).otherwise(F.sha2(F.col(c), 256))  # the hash has 64 characters
+    texts = df.where(F.col(c) != "").select(key.alias("_d"), F.col(c).alias("_t")).dropDuplicates(["_d"])
+    wanted = texts.select("_d", F.explode(ask("_t")).alias("source"))
+    met = salted_join(wanted, terms.where(~short), ["source"], ["_d"])
+    hits = met.groupBy("_d").agg(F.collect_list(F.struct("source", "target")).alias("_h"))
+    done = texts.join(hits, "_d", "left").select("_d", put("_t", "_h.source", "_h.target").alias("_new"))
+    j = df.withColumn("_key", key).join(done, F.col("_key") == F.col("_d"), "left")
     return j.withColumn(name, F.coalesce("_new", F.col(c))).drop("_key", "_d", "_new")
 
 

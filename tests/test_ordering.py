@@ -1,10 +1,12 @@
 """Ranks by prefix sums, places, and glossary translation by prefix and term, against brute force."""
 import random
+import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assetlake.functions import text
+from assetlake.functions import glossary, text
 from assetlake.operators import ordering as W
 from assetlake.registry.core import with_place
 from test_streaming_and_scale import plan
@@ -76,6 +78,32 @@ def test_glossary_on_a_long_text(spark):
     assert text.translate_glossary(d, "t", g).first().translated == "the slow noox " * 5000
 
 
+def test_a_small_glossary_moves_nothing(spark):
+    d = spark.createDataFrame([("the fox " * 3,), (None,), ("",)], "t string")
+    g = spark.createDataFrame([("the fox", "a dog"), ("the", "le"), ("x", None)], "source string, target string")
+    out = text.translate_glossary(d, "t", g)
+    assert "Exchange" not in plan(out)
+    assert [r.translated for r in out.collect()] == ["a dog " * 3, None, ""]
+
+
+@pytest.mark.parametrize("few", [3, 20, 2000])
+def test_a_large_glossary_with_terms_of_every_text(spark, monkeypatch, few):
+    monkeypatch.setattr(text, "FEW", few)
+    r = random.Random(few)
+    terms = {f"<{k}>": f"[{k}]" for k in range(3000)} | {"<": "?", "for": "4", " everywhere else": "!", "1": "one"}
+    texts = [f"<{r.randrange(6000)}> for 1 everywhere else" + " <7>" * r.randrange(9) for _ in range(4000)]
+    texts += [None, "", "nothing", "<" * 300, "x" * 63, "x" * 64, *["<12> and " * 50, "<12> and " * 50]]
+    d = spark.createDataFrame(enumerate(texts), "k int, t string")
+    g = spark.createDataFrame(terms.items(), "source string, target string")
+    out = text.translate_glossary(d, "t", g)
+    short = lambda t: brute(t, {s: terms[s] for s in set(re.findall("<[0-9]+>", t)) & set(terms)} | {k: terms[k] for k in ("<", "for", " everywhere else", "1")})
+    assert {x.k: x.translated for x in out.collect()} == {k: t if t is None else short(t) for k, t in enumerate(texts)}
+    # the term of one character is found by its head, and the join deals what every text asks for over salts
+    assert "_salt" in plan(out)
+    heads = glossary.Heads({"<": [1, 3]})
+    assert glossary.asked("<a> <b> <a>", heads, 1) in (["<a>", "<b>"], ["<b>", "<a>"])
+
+
 def test_slices_by_binary_search(spark):
     from bisect import bisect_right
     for n in (0, 1, 2, 7, 255, 300):
