@@ -309,9 +309,10 @@ def i1_stream(v):
     import os
     import uuid
 
-    from assetlake.session import shared_dir
+    from assetlake.session import cut_lineage, shared_dir
     home = os.path.join(shared_dir(v.spark), "arrivals-" + uuid.uuid4().hex)
     one = v.files.select(F.concat_ws("#", "path", "page_id").alias("path"), F.col("mtime").alias("modificationTime"), F.col("n_chars").cast("long").alias("length"), "page_id")
+    one = cut_lineage(one)  # both listings come from it: pages are read once
     e = F.col("event_type")
     two = one.join(v.events.select("event_id", "event_type"), F.col("event_id") == F.col("page_id")).where("event_type <> 'signup'").select(
         "path", F.when(e == "view", F.col("modificationTime") + F.expr("interval 1 second")).otherwise(F.col("modificationTime")).alias("modificationTime"),

@@ -35,18 +35,24 @@ SEEN = "micros long, length long"
 
 
 def _newest_if_changed(key, batches, state):
-    """One path: its newest row of the batch if that differs from the identity last seen, or if a failed scan is due again."""
-    rows = pd.concat(batches)
-    listed, seen = rows[~rows["retry"]], tuple(state.get) if state.exists else None
-    if len(listed):
-        newest = max(zip(listed["micros"].astype(int), listed["length"].astype(int)))
-    else:
-        newest = seen or max(zip(rows["micros"].astype(int), rows["length"].astype(int)))
+    """One path: its newest row of the batch if that differs from the identity last seen, or if a failed scan is due again.
+
+    A row that is due again has -1 - length for its length. A path listed once, the usual case, goes on as the frame it
+    came in: making frames is most of what a path costs."""
+    seen, listed, due, n = state.get if state.exists else None, None, None, 0
+    for rows in batches:
+        for micros, length in zip(rows["micros"].tolist(), rows["length"].tolist()):
+            n += 1
+            if length >= 0:
+                listed = max(listed or (micros, length), (micros, length))
+            else:
+                due = max(due or (micros, -1 - length), (micros, -1 - length))
+    newest = listed or seen or due
     if newest != seen:
         state.update(newest)
-    elif not rows["retry"].any():
+    elif due is None:
         return
-    yield pd.DataFrame({"path": [key[0]], "micros": [newest[0]], "length": [newest[1]]})
+    yield rows if n == 1 and listed else pd.DataFrame({"path": [key[0]], "micros": [newest[0]], "length": [newest[1]]})
 
 
 def changed_files(listing: DataFrame) -> DataFrame:
@@ -54,7 +60,8 @@ def changed_files(listing: DataFrame) -> DataFrame:
 
     State is keyed by path and holds the identity (mtime, length) last passed on, so repeated listings of the whole corpus
     cost one shuffled row a file and no join with a growing manifest."""
-    return listing.groupBy("path").applyInPandasWithState(_newest_if_changed, f"path string, {SEEN}", SEEN, "append", "NoTimeout")
+    length = F.when(F.col("retry"), F.lit(-1) - F.col("length")).otherwise(F.col("length"))
+    return listing.select("path", "micros", length.alias("length")).groupBy("path").applyInPandasWithState(_newest_if_changed, f"path string, {SEEN}", SEEN, "append", "NoTimeout")
 
 
 def scan_arrivals(listing: DataFrame, scan: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, manifest: DataFrame = None):

@@ -88,6 +88,25 @@ def test_stream_scans_new_changed_and_failed_files(spark, tmp_path):
     assert {(r.path, r.length) for r in I.stream_manifest(spark, root).collect()} == {("a", 5), ("b", 6), ("c", 8)}
 
 
+def test_a_path_listed_once_goes_on_as_it_came():
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, seen):
+            self.exists, self.get = True, seen
+    state, frame = State(), lambda *rows_: pd.DataFrame([("a", *r) for r in rows_], columns=["path", "micros", "length"])
+    step = lambda *frames: [tuple(r) for f in I._newest_if_changed(("a",), iter(frames), state) for r in f.itertuples(index=False)]
+    once = frame((5, 7))
+    assert next(I._newest_if_changed(("a",), iter([once]), state)) is once and state.get == (5, 7)
+    assert step(frame((5, 7))) == [] and step(frame((5, 7), (5, 6)), frame((4, 9))) == []
+    assert step(frame((5, -8))) == [("a", 5, 7)] and step(frame((5, 7), (5, -8))) == [("a", 5, 7)]
+    assert step(frame((4, 0), (5, -8))) == [("a", 4, 0)] and step(frame((3, 1))) == [("a", 3, 1)] and state.get == (3, 1)
+    state.exists = False
+    assert step(frame((2, -1), (2, -4))) == [("a", 2, 3)] and state.get == (2, 3)
+
+
 def test_file_stream_lists_images(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.png").write_bytes(png())
