@@ -12,6 +12,7 @@ from assetlake.registry import sqltext as T
 from assetlake.registry.core import query
 from assetlake.registry.rules_data import ASSET_RULES_SQL, HITS_SQL, asset_rules, plan_quality, runs
 from assetlake.schemas import RULE
+from assetlake.session import cut_lineage
 
 
 @query("J1_with_props", """
@@ -162,6 +163,7 @@ def j11(v):
     c = _places(v)
     p = c.groupBy("rel_dir", "kind").agg(F.min(F.struct("s_acctbal", "container_id")).alias("m")).select(
         F.col("m.container_id").alias("preset_id"), "rel_dir", "kind")
+    p = cut_lineage(p)  # few rows, and known to be: signatures meet them where they lie
     sigs = FT.fingerprint(v.facts)
     own = sigs.withColumnRenamed("container_id", "preset_id").join(p.select("preset_id"), "preset_id", "left_semi")
     return P.similar_containers(p, own, c, sigs, _J11_MIN).withColumn("score", F.round("score", 9))

@@ -25,6 +25,14 @@ def test_layers_meet_in_place(spark, small, name, exchanges, scans):
     assert got[0] <= exchanges and got[1] <= scans
 
 
+def test_signatures_meet_the_few_presets_where_they_lie(spark, small, monkeypatch):
+    own = []
+    real = P.similar_containers
+    monkeypatch.setattr(P, "similar_containers", lambda p, sigs, *more: own.append(sigs) or real(p, sigs, *more))
+    assert QUERIES["J11_similar_containers"](spark, small).count() > 0
+    assert "Exchange hashpartitioning" not in plan(own[0])
+
+
 def small_case(spark, seed=1):
     r = random.Random(seed)
     assets = [(c, a, 100 * a) for c in range(8) for a in range(30) if r.random() < 0.8]
