@@ -10,6 +10,7 @@ from assetlake.operators import facts as FT
 from assetlake.operators import presets as P
 from assetlake.operators import skew
 from assetlake.registry import QUERIES
+from assetlake.registry.views import Views
 from test_streaming_and_scale import plan
 
 
@@ -33,6 +34,11 @@ def test_signatures_meet_the_few_presets_where_they_lie(spark, small, monkeypatc
     assert "Exchange hashpartitioning" not in plan(own[0])
 
 
+def test_what_parts_alone_decide_is_made_before_lines_meet_them(spark, small):
+    p = plan(Views(spark, small).bindings)
+    assert p.count("DetailTex") == 1 and "Join" in p[:p.index("DetailTex")]
+
+
 def small_case(spark, seed=1):
     r = random.Random(seed)
     assets = [(c, a, 100 * a) for c in range(8) for a in range(30) if r.random() < 0.8]
