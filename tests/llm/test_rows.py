@@ -37,6 +37,23 @@ def test_quality_rules_and_order(spark):
     assert s["many_symbols"]["rejects"] == pytest.approx(1 / 6) and all(x["cost"] > 0 for x in s.values())
 
 
+def test_quality_rules_look_at_bytes_once():
+    """Counts of loud and lettered words without a pattern on each word: the same verdicts as of the patterns."""
+    loud, letter = re.compile(r"[^A-Za-z]*[A-Z][^a-z]*[A-Z][^a-z]*"), re.compile(r"[A-Za-z]|[^\x00-\x7f]")
+    r = random.Random(9)
+    parts = ["A", "B", "z", "É", "é", "漢", "1", "#", "\0", "\x1c", "\x85", " ", " ", "\n", "\u2009", "AB", "THE ", "- "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(3000)]
+    seen = Counter()
+    for x in texts:
+        t = quality.Text(x)
+        words = [w.decode() for w in t.words]
+        want = (2 * sum(bool(loud.fullmatch(w)) for w in words) > t.n, 2 * sum(bool(letter.search(w)) for w in words) < t.n)
+        assert (quality.shouting(t), quality.few_letters(t)) == want, x
+        assert t.base() == list(cases.quality(x)[:5])
+        seen[want] += 1
+    assert len(seen) > 2 and t.lines is t.lines
+
+
 def test_secrets(docs, none, spark):
     r = random.Random(5)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
