@@ -8,6 +8,8 @@ format, each letter and digit from its own alphabet and case; octets stay below
 country of an IBAN are kept. No surrogate meets another or an entity of the corpus while its format has values left.
 """
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,10 @@ NUMBER = rf"(?:{_NO}\+)?{_NO}\p{{Nd}}(?:[ ()-]?\p{{Nd}}){{8,18}}{_END}"
 FORM = rf"{MAIL}|{IBAN}|{HEX}|{IP}|{NUMBER}"
 #: An entity by its format, a name with what leads to it, or a capitalised word: a name if the document has it in one.
 PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{FORM}|{_NO}(?:{NAME}|{_CAP}))|{CUED}"
+#: What a text with any entity has in it. Most texts have nothing of it, and these need not be searched for PATTERN.
+HINTS = [r"(?=[\p{Nd}:@-])(?:@|(?<=[0-9A-Fa-f])[:-][0-9A-Fa-f]|[0-9]\.[0-9]|(?<=[A-Z]{2})[0-9]{2}|\p{Nd}(?:[ ()-]?\p{Nd}){8})",
+         rf"{_NO}(?:(?=[{_FIRST}])(?iu:{_BEFORE}) \p{{Lu}}|(?=\p{{Lu}})(?iu:{_NAMES}))",
+         r"[\u0590-\u08FF\u2E80-\x{10FFFF}]"]  # holds the scripts of CUED
 TOKEN = r"\p{Lu}[\p{L}\p{M}'’]*|(?<![\p{L}\p{M}'’])[\p{IsArabic}\p{IsHebrew}\p{IsHan}]+"
 
 
@@ -198,9 +204,16 @@ def _sorted(m):
     return F.struct(pre.alias("pre"), m.substr(F.length(pre) + 1, F.length(m)).alias("v"), F.when(form, _kind(m)).when(name, F.lit("name")).alias("kind"))
 
 
-def _found(d):
-    """hits: of each match of PATTERN, what leads to it, value and what it is (an entity's kind, name, or null)."""
-    every = F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), _sorted)
+def _may_hold(text):
+    """False only where no match of PATTERN is an entity: its formats, a title, cue or given name, or a script of CUED are needed."""
+    return reduce(or_, [F.col(text).rlike(h) for h in HINTS])
+
+
+def _found(d, wanted=None):
+    """hits: of each match of PATTERN, what leads to it, value and what it is (an entity's kind, name, or null). Rows that are
+    not ``wanted`` are not searched, their hits are null."""
+    matches = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    every = F.transform(matches if wanted is None else F.when(wanted, matches), _sorted)
     words = lambda m: F.array_distinct(F.flatten(F.transform(F.filter(m, lambda x: x["kind"] == "name"), lambda x: F.transform(_tokens(x), _lower))))
 
     def hit(m, known):
@@ -217,12 +230,13 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     Null texts stay null and have no entities. Repeated rows are one document, a null doc_id is one like others. Extra
     columns are ignored; an empty table gives an empty result. ``key`` is the secret of the draw.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text")).distinct()
-    d = d.withColumn("rid", F.xxhash64("doc_id", "row_key"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text"))
+    rid = F.xxhash64("doc_id", "row_key")
     hits = F.filter("hits", lambda h: h["kind"].isNotNull())
     parts = lambda h: F.when(h["kind"] == "name", F.transform(_tokens(h), _lower)).otherwise(F.array(_norm(h["v"], h["kind"])))
     each = F.flatten(F.transform(hits, lambda h: F.transform(parts(h), lambda x: F.struct(h["kind"].alias("kind"), x.alias("norm")))))
-    units = materialise(_found(d).select("rid", F.explode(F.array_distinct(each)).alias("u")).select("rid", "u.kind", "u.norm").distinct())
+    some = d.where(_may_hold("text")).distinct().withColumn("rid", rid)
+    units = materialise(_found(some).select("rid", F.explode(F.array_distinct(each)).alias("u")).select("rid", "u.kind", "u.norm").distinct())
     names = materialise(_surrogates(units.select("kind", "norm").distinct(), key))
     drawn = units.join(names, ["kind", "norm"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws(" ", "kind", "norm"), F.struct("new", "given")))).alias("news"))
@@ -238,7 +252,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         to = F.element_at("news", F.concat(h["kind"], F.lit(" "), _norm(h["v"], h["kind"])))["new"]
         form = F.when(h["kind"] == "ip", to).otherwise(_as(h["v"], to, h["kind"]))
         return F.concat(h["pre"], F.when(h["kind"].isNull(), h["v"]).when(h["kind"] == "name", run).otherwise(form))
-    j = _found(d.join(drawn, "rid", "left"))
+    j = d.distinct().withColumn("rid", rid).join(drawn, "rid", "left")
+    j = _found(j, F.col("news").isNotNull())
     text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.transform("hits", replaced),
                                    lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     n = F.when(F.col("news").isNull(), F.lit(0)).otherwise(F.size(hits))

@@ -1,10 +1,12 @@
 """LM scores against plain Python; surrogates keep format, coreference and distinctness."""
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 
 from assetlake.llm import lm_score, pii
 
@@ -68,3 +70,30 @@ def test_surrogates_of_names_scripts_and_small_formats(spark):
     assert t[7][:2] == "DE" and t[7] != texts[7] and re.fullmatch(r"([0-9a-f]{2}:){5}[0-9a-f]{2}", t[7].split()[-1])
     full, was = t[8].split(), texts[8].split()
     assert len(set(full)) == len(was) and all(x != y for x, y in zip(full, was)) and t[9] == texts[9]
+
+
+def test_only_texts_with_a_hint_are_searched(spark):
+    """A hint is in every text that holds an entity, and in every character of the scripts of cued names."""
+    r = random.Random(8)
+    parts = ["Anna", "anna", "Anna5", "Hansa", "ſarah", "\u212aarl", "Élodie", "Mr", "mr.", "Dr", "don", "my name is", "Ich heiße", "κ", "г-н", "Smith", "Иван", "von", "السيد", "محمد", "王", "先生",
+             "a@b.de", "é.x@ü-y.gr", "@", "1.2.3.4", "1.2", "12", "٣٤", "123456789", "+49 (30) 123-456-789", "١٢٣٤٥٦٧٨٩", "DE44", "5001 0517 5407 3249 31", "DE44500105175407324931",
+             "aa:bb:cc:dd:ee:ff", "AA-BB-CC-DD-EE-FF", "1:2:3:4:5:6:7:8", "made-by", "x", "Word", "’", "'s", "_", "-", ".", "\n"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randrange(1, 6))) for _ in range(6000)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    holds = F.size(F.filter("hits", lambda h: h["kind"].isNotNull())) > 0
+    n = pii._found(d).select(holds.alias("holds"), pii._may_hold("text").alias("hint")).groupBy("holds", "hint").count().collect()
+    n = {(x.holds, x.hint): x["count"] for x in n}
+    assert n[True, True] > 2000 and n[False, False] > 500 and (True, False) not in n
+    assert pii._found(d, F.lit(False)).where("hits is not null").count() == 0
+    letters = spark.createDataFrame([(chr(c),) for c in [*range(0x20, 0xD800), *range(0xE000, 0x30000)]], "text string")
+    assert letters.where(F.col("text").rlike(r"[\p{IsArabic}\p{IsHebrew}\p{IsHan}]") & ~F.col("text").rlike(pii.HINTS[2])).count() == 0
+
+
+def test_only_texts_with_a_hint_move_before_surrogates_are_drawn(spark, monkeypatch):
+    texts = [f"plain words number {k} without any" for k in range(50)] + ["write to a@b.de", "write to a@b.de", None]
+    seen = []
+    real = pii._found
+    monkeypatch.setattr(pii, "_found", lambda d, *more: seen.append(d.select("text").collect()) or real(d, *more))
+    out = {x.doc_id: x for x in pii.replace_entities(cases.frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [len(x) for x in seen] == [2, 53]
+    assert [out[i].n_entities for i in (0, 50, 51, 52)] == [0, 1, 1, 0] and out[50].text == out[51].text != texts[50]
